@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tokenloom.functions.text import project_path
-from tokenloom.operators import delivery, rolling
+from tokenloom.operators import delivery, drift, rolling
 from tokenloom.sources.tables import TOKENS, table
 
 
@@ -54,6 +54,16 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return rolling.trailing(_trees(spark, folder)).where("total_7 = 0 and total_30 <> 0").select(F.col("entity").alias("project"), _day_text())
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return drift.file_changes(table(spark, folder, "raw_record"))
+
+
+def p5_table(spark: SparkSession, folder: str) -> DataFrame:
+    """Every readable record under one schema."""
+    lines = table(spark, folder, "raw_record")
+    return drift.consistent(lines, drift.union_schema(lines))
+
+
 _STRIP = r"regexp_replace({c}, '^[\s\p{{Z}}\p{{Cf}}\x00-\x20]+|[\s\p{{Z}}\p{{Cf}}\x00-\x20]+$', '', 'g')"
 _KEY = r"nullif(regexp_replace(lower(" + _STRIP + r"), '^(?:claude|codex):(?:v\d+:)?', ''), '')"
 _KEPT = f"""(select * from (select *, {_KEY.format(c='dedup_key')} as k from usage_event)
@@ -72,7 +82,7 @@ rolled as (select project, strftime(date '1970-01-01' + cast(day as int), '%Y-%m
   from dense window w7 as (partition by project order by day rows 6 preceding), w30 as (partition by project order by day rows 29 preceding))
 """
 
-QUERIES = {"p4_found": p4_found, "p4_rolling": p4_rolling, "p6_found": p6_found, "p6_kept": p6_kept}
+QUERIES = {"p4_found": p4_found, "p4_rolling": p4_rolling, "p5_found": p5_found, "p5_table": p5_table, "p6_found": p6_found, "p6_kept": p6_kept}
 
 SQL = {
     "p4_found": _ROLLING + "select project, day_text from rolled where total_7 = 0 and total_30 <> 0",
