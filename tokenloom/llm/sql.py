@@ -1,0 +1,25 @@
+"""SQL for the queries of this subpackage that SQL can express on whole tables."""
+
+BLANK = r"[\s\p{Z}\p{Cf}\x00-\x20]"
+_STRIP = rf"regexp_replace({{c}}, '^{BLANK.replace('{', '{{').replace('}', '}}')}+|{BLANK.replace('{', '{{').replace('}', '}}')}+$', '', 'g')"
+
+_TIMELINE = f"""
+with all_rows as (select lower({_STRIP.format(c='source')}) as source, lower({_STRIP.format(c="coalesce(session, '')")}) as session, dedup_key, event_id,
+    coalesce(ts_ms, 0) <= 0 as undated, greatest(coalesce(ts_ms, 0), 0) as ts, order_no, regexp_replace(lower(kind), '[^a-z]', '', 'g') as kind, call_id,
+    title, detail, coalesce({_STRIP.format(c='detail')} <> '', false) as filled from replay_event),
+rows_once as (select * from all_rows qualify dedup_key is null or row_number() over (partition by source, session, dedup_key order by event_id) = 1),
+placed as (select *, row_number() over (partition by source, session order by undated, ts, order_no, event_id) as pos from rows_once),
+messages as (select *, row_number() over w as m, lead(kind) over w as next_kind from placed where kind in ('user', 'assistant') and filled window w as (partition by source, session order by pos)),
+talk as (select source, session, count(*) as n, max(case when m = 1 and kind = 'assistant' then 1 else 0 end) as opens_wrong,
+    max(case when kind = 'user' and coalesce(next_kind, 'user') = 'user' then 1 else 0 end) as silent from messages group by all),
+numbers as (select source, session, count(distinct case when order_no >= 0 then order_no end) as there, max(order_no) as largest from placed group by all),
+calls as (select source, session, call_id, min(case when kind = 'toolcall' then pos end) as called, min(case when kind <> 'toolcall' then pos end) as answered
+    from placed where kind in ('toolcall', 'toolresult', 'toolerror') group by all),
+orphans as (select distinct source, session from calls where answered is not null and (call_id is null or called is null or called > answered)),
+every as (select source, session from placed union select lower({_STRIP.format(c='source')}), lower({_STRIP.format(c="coalesce(session, '')")}) from replay_request),
+judged as (select e.source, e.session, case when t.n is null then 'empty' when n.there < n.largest + 1 or t.opens_wrong = 1 or o.source is not null then 'broken'
+    when t.silent = 1 then 'missing_reply' end as defect
+  from every e left join talk t using (source, session) left join numbers n using (source, session) left join orphans o using (source, session))
+"""
+
+SQL = {"p3_found": _TIMELINE + "select source, session, defect from judged where defect is not null"}
