@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tokenloom.llm import conversations
+from tokenloom.llm import conversations, history
 from tokenloom.llm.sql import SQL
 from tokenloom.sources.tables import table
 
@@ -16,5 +16,9 @@ def p3_conversations(spark: SparkSession, folder: str) -> DataFrame:
     return conversations.conversations(table(spark, folder, "replay_event"), table(spark, folder, "replay_request"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_conversations": p3_conversations}
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return history.repeats(history.prepared(*(table(spark, folder, t) for t in ("bundle_event", "usage_bundle", "device_record"))))
+
+
+QUERIES = {"p3_found": p3_found, "p3_conversations": p3_conversations, "p7_found": p7_found}
 

@@ -22,4 +22,20 @@ judged as (select e.source, e.session, case when t.n is null then 'empty' when n
   from every e left join talk t using (source, session) left join numbers n using (source, session) left join orphans o using (source, session))
 """
 
-SQL = {"p3_found": _TIMELINE + "select source, session, defect from judged where defect is not null"}
+_HOST = f"regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower({_STRIP.format(c='host')}), '^[a-z]+://', ''), '^[^@]*@', ''), '[:/].*$', ''), '[.].*$', '')"
+_REPEATS = f"""
+with recursive x as (select e.row_id, nullif(regexp_replace(lower({_STRIP.format(c='e.id')}), '^(?:claude|codex):(?:v[0-9]+:)?', ''), '') as k, e.session, e.ts,
+    e.input_tokens as t1, e.output_tokens as t2, e.cache_read as t3, e.cache_write_5m as t4, e.cache_write_1h as t5,
+    coalesce('host ' || nullif({_HOST}, ''), 'device ' || b.device_id) as machine
+  from bundle_event e left join usage_bundle b using (bundle_id) left join device_record d using (device_id)),
+links as (
+  select min(row_id) over (partition by k) as a, row_id as b from x where k is not null
+  union select a.row_id, b.row_id from x a join x b on a.machine = b.machine and a.session = b.session and a.row_id < b.row_id and abs(a.ts - b.ts) <= 120
+    and abs(a.t1 - b.t1) * 50 <= greatest(a.t1, b.t1) and abs(a.t2 - b.t2) * 50 <= greatest(a.t2, b.t2) and abs(a.t3 - b.t3) * 50 <= greatest(a.t3, b.t3)
+    and abs(a.t4 - b.t4) * 50 <= greatest(a.t4, b.t4) and abs(a.t5 - b.t5) * 50 <= greatest(a.t5, b.t5)),
+both as (select a, b from links where a <> b union select b, a from links where a <> b),
+reach as (select a as node, b as other from both union select r.node, e.b from reach r join both e on e.a = r.other)
+"""
+
+SQL = {
+    "p3_found": _TIMELINE + "select source, session, defect from judged where defect is not null"}
