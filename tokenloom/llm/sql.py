@@ -33,9 +33,11 @@ links as (
   union select a.row_id, b.row_id from x a join x b on a.machine = b.machine and a.session = b.session and a.row_id < b.row_id and abs(a.ts - b.ts) <= 120
     and abs(a.t1 - b.t1) * 50 <= greatest(a.t1, b.t1) and abs(a.t2 - b.t2) * 50 <= greatest(a.t2, b.t2) and abs(a.t3 - b.t3) * 50 <= greatest(a.t3, b.t3)
     and abs(a.t4 - b.t4) * 50 <= greatest(a.t4, b.t4) and abs(a.t5 - b.t5) * 50 <= greatest(a.t5, b.t5)),
-both as (select a, b from links where a <> b union select b, a from links where a <> b),
-reach as (select a as node, b as other from both union select r.node, e.b from reach r join both e on e.a = r.other)
+ways as (select a, b from links where a <> b union select b, a from links where a <> b),
+reach as (select a as node, b as other from ways union select r.node, e.b from reach r join ways e on e.a = r.other)
 """
 
 SQL = {
-    "p3_found": _TIMELINE + "select source, session, defect from judged where defect is not null"}
+    "p3_found": _TIMELINE + "select source, session, defect from judged where defect is not null",
+    "p7_found": _REPEATS + "select min(other) as row_id_a, node as row_id_b from reach group by node having min(other) < node",
+}
