@@ -2,11 +2,16 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tokenloom.llm import conversations, history
+from tokenloom.llm import conversations, history, mapping
 from tokenloom.llm.sql import SQL
 from tokenloom.sources.tables import table
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    names = mapping.reference_names(table(spark, folder, "model_reference"))
+    return mapping.mapped(mapping.free_values(table(spark, folder, "usage_event"), table(spark, folder, "summary_report")), names)
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return conversations.defects(table(spark, folder, "replay_event"), table(spark, folder, "replay_request"))
 
@@ -20,5 +25,5 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return history.repeats(history.prepared(*(table(spark, folder, t) for t in ("bundle_event", "usage_bundle", "device_record"))))
 
 
-QUERIES = {"p3_found": p3_found, "p3_conversations": p3_conversations, "p7_found": p7_found}
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_conversations": p3_conversations, "p7_found": p7_found}
 
