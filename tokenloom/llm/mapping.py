@@ -159,14 +159,15 @@ def mapped(values: DataFrame, names: list[str], value: str = "raw_value") -> Dat
     """`values` with the entry that each non-blank value names as `model_name`; literal entries left out."""
     rows = values.where(F.col(value).isNotNull() & (strip(F.col(value)) != "") & ~F.col(value).isin(names))
     schema = rows.schema.simpleString()[len("struct<") : -1].replace(":", " ")
-    at = rows.columns.index(value)
+    columns = rows.columns
+    at = columns.index(value)
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reference = Reference(names)
         for batch in batches:
             coded = batch.column(at).dictionary_encode()
             entries = pa.array([reference.match(v) for v in coded.dictionary.to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns, entries.take(coded.indices)], [*rows.columns, "model_name"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, entries.take(coded.indices)], [*columns, "model_name"])
 
     return rows.mapInArrow(match, f"{schema}, model_name string")
 

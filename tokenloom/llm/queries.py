@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tokenloom.llm import conversations, history, mapping
+from tokenloom.llm import conversations, history, mapping, packing, tokens
 from tokenloom.llm.sql import SQL
 from tokenloom.sources.tables import table
 
@@ -25,5 +25,14 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return history.repeats(history.prepared(*(table(spark, folder, t) for t in ("bundle_event", "usage_bundle", "device_record"))))
 
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_conversations": p3_conversations, "p7_found": p7_found}
+def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
+    return tokens.encoded(table(spark, folder, "documents"))
+
+
+def p9_containers(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    return packing.containers(tokens.sizes(documents), rows=documents.count())
+
+
+QUERIES = {"p8_ids": p8_ids, "p9_containers": p9_containers, "p2_found": p2_found, "p3_found": p3_found, "p3_conversations": p3_conversations, "p7_found": p7_found}
 
