@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tokenloom.llm import conversations, history, mapping, packing, tokens
+from tokenloom.llm import conversations, history, languages, mapping, packing, tokens
 from tokenloom.llm.sql import SQL
 from tokenloom.sources.tables import table
 
@@ -34,5 +34,16 @@ def p9_containers(spark: SparkSession, folder: str) -> DataFrame:
     return packing.containers(tokens.sizes(documents), rows=documents.count())
 
 
-QUERIES = {"p8_ids": p8_ids, "p9_containers": p9_containers, "p2_found": p2_found, "p3_found": p3_found, "p3_conversations": p3_conversations, "p7_found": p7_found}
+def p10_labels(spark: SparkSession, folder: str) -> DataFrame:
+    """Language and confidence of every document and of its segments."""
+    documents = table(spark, folder, "documents")
+    return languages.labelled(documents, languages.fitted_model(documents))
+
+
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    rows = languages.doubtful(p10_labels(spark, folder)).selectExpr("doc_id", "posexplode(segments) as (at, segment)")
+    return rows.selectExpr("doc_id", "at + 1 as segment_no", "segment.lang as lang")
+
+
+QUERIES = {"p10_found": p10_found, "p10_labels": p10_labels, "p8_ids": p8_ids, "p9_containers": p9_containers, "p2_found": p2_found, "p3_found": p3_found, "p3_conversations": p3_conversations, "p7_found": p7_found}
 
