@@ -2,11 +2,20 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tokenloom.llm import conversations, history, languages, mapping, packing, tokens
+from tokenloom.llm import conversations, history, languages, mapping, packing, personal, tokens
 from tokenloom.llm.sql import SQL
 from tokenloom.sources.tables import table
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return personal.found(table(spark, folder, "replay_event"))
+
+
+def p1_redacted(spark: SparkSession, folder: str) -> DataFrame:
+    """The timeline rows with typed placeholders."""
+    return personal.redacted(table(spark, folder, "replay_event"))
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     names = mapping.reference_names(table(spark, folder, "model_reference"))
     return mapping.mapped(mapping.free_values(table(spark, folder, "usage_event"), table(spark, folder, "summary_report")), names)
@@ -45,5 +54,15 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     return rows.selectExpr("doc_id", "at + 1 as segment_no", "segment.lang as lang")
 
 
-QUERIES = {"p10_found": p10_found, "p10_labels": p10_labels, "p8_ids": p8_ids, "p9_containers": p9_containers, "p2_found": p2_found, "p3_found": p3_found, "p3_conversations": p3_conversations, "p7_found": p7_found}
-
+QUERIES = {
+    "p1_found": p1_found,
+    "p1_redacted": p1_redacted,
+    "p2_found": p2_found,
+    "p3_found": p3_found,
+    "p3_conversations": p3_conversations,
+    "p7_found": p7_found,
+    "p8_ids": p8_ids,
+    "p9_containers": p9_containers,
+    "p10_found": p10_found,
+    "p10_labels": p10_labels,
+}
