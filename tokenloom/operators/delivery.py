@@ -13,6 +13,7 @@ surplus but for the one with the smallest number. An empty table gives an empty
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from tokenloom.functions.text import message_key
 
@@ -20,24 +21,25 @@ SALTS = 32
 KEY, SOURCE, SALT, PLACE = "__key", "__source", "__salt", "__place"
 
 
-def _ranked(df: DataFrame, source: Column, key: Column, better: list[Column], row: Column) -> tuple[DataFrame, Window, Window]:
-    keyed = df.withColumns({SOURCE: source, KEY: message_key(key), SALT: F.pmod(F.xxhash64(row), F.lit(SALTS))})
+def _ranked(df: DataFrame, source: Column, key: Column, better: list[Column], row: Column, clean: bool) -> tuple[DataFrame, WindowSpec, WindowSpec]:
+    keyed = df.withColumns({SOURCE: source, KEY: message_key(key) if clean else key, SALT: F.pmod(F.xxhash64(row), F.lit(SALTS))})
     order = [c.desc_nulls_last() for c in better] + [row.asc()]
     return keyed, Window.partitionBy(SOURCE, KEY, SALT).orderBy(*order), Window.partitionBy(SOURCE, KEY).orderBy(*order)
 
 
-def kept(df: DataFrame, source: Column, key: Column, better: list[Column], row: Column) -> DataFrame:
-    """`df` with one row of each message, and all rows without an identifier."""
-    keyed, within, over = _ranked(df, source, key, better, row)
+def kept(df: DataFrame, source: Column, key: Column, better: list[Column], row: Column, clean: bool = True) -> DataFrame:
+    """`df` with one row of each message, and all rows without an identifier. Unless `clean`,
+    identifiers count as they are written."""
+    keyed, within, over = _ranked(df, source, key, better, row, clean)
     has = F.col(KEY).isNotNull()
     best = keyed.where(has).withColumn(PLACE, F.row_number().over(within)).where(F.col(PLACE) == 1)
     best = best.withColumn(PLACE, F.row_number().over(over)).where(F.col(PLACE) == 1).drop(PLACE)
     return best.unionByName(keyed.where(~has)).drop(SOURCE, KEY, SALT)
 
 
-def surplus(df: DataFrame, source: Column, key: Column, better: list[Column], row: Column) -> DataFrame:
+def surplus(df: DataFrame, source: Column, key: Column, better: list[Column], row: Column, clean: bool = True) -> DataFrame:
     """The rows of `df` that `kept` leaves out."""
-    keyed, within, over = _ranked(df, source, key, better, row)
+    keyed, within, over = _ranked(df, source, key, better, row, clean)
     local, final = "__local", "__final"
     placed = keyed.where(F.col(KEY).isNotNull()).withColumn(local, F.row_number().over(within))
     # Losers within a salt are surplus already: only winners travel on.
@@ -46,14 +48,15 @@ def surplus(df: DataFrame, source: Column, key: Column, better: list[Column], ro
     return winners.drop(final).unionByName(losers).drop(local, SOURCE, KEY, SALT)
 
 
-def accept_batch(stored: DataFrame, batch: DataFrame, source: Column, key: Column, better: list[Column], row: Column) -> tuple[DataFrame, DataFrame]:
+def accept_batch(stored: DataFrame, batch: DataFrame, source: Column, key: Column, better: list[Column], row: Column, clean: bool = True) -> tuple[DataFrame, DataFrame]:
     """(new, better): of a newly arrived batch the messages not stored yet (an anti-join against
     the stored identifiers) and those that beat the stored copy. Replacing the stored rows of
     the second and appending the first leaves the store as one pass over everything would.
     Both tables need the same columns; `stored` holds one row a message.
     """
-    best = kept(batch, source, key, better, row).withColumns({SOURCE: source, KEY: message_key(key)})
-    ids = stored.select(source.alias(SOURCE), message_key(key).alias(KEY), F.struct(*better).alias("__old"), row.alias("__row")).where(F.col(KEY).isNotNull())
+    name = message_key(key) if clean else key
+    best = kept(batch, source, key, better, row, clean).withColumns({SOURCE: source, KEY: name})
+    ids = stored.select(source.alias(SOURCE), name.alias(KEY), F.struct(*better).alias("__old"), row.alias("__row")).where(F.col(KEY).isNotNull())
     fresh = best.join(ids.select(SOURCE, KEY), [SOURCE, KEY], "left_anti").drop(SOURCE, KEY)
     now = F.struct(*better)
     wins = (now > F.col("__old")) | ((now == F.col("__old")) & (row < F.col("__row")))
