@@ -1,13 +1,21 @@
 """Classes of linked rows, and work that survives the loss of an executor."""
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SALTS = 32
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder inside the one that the cluster shares (spark.checkpoint.dir); a temporary
+    one only where the session names none, as in tests."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    return f"{shared.rstrip('/')}/{uuid.uuid4()}" if shared else tempfile.mkdtemp()
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """`df` written to the shared checkpoint folder of the session (spark.checkpoint.dir), its
     lineage cut. Only where the session names no folder, as in tests, a temporary one is used."""

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tokenloom.functions.display import preview
+
 SESSION = ["source", "session"]
 #: Fixed value: what stands for a detail that the limit leaves no room for.
 OMITTED = "[detail omitted: replay text limit reached]"
@@ -177,3 +179,27 @@ def blocks(records: DataFrame) -> DataFrame:
         F.coalesce(F.when(use, F.to_json(b("$.input", "variant"))).when(result, b("$.content")).otherwise(b("$.text")), F.lit("")).alias("detail"),
         F.when(use, b("$.id")).when(result, b("$.tool_use_id")).alias("call_id"), F.concat(F.lit("claude:"), "uuid", F.lit(":"), F.col("position").cast("string")).alias("dedup_key"))
     return whole.unionByName(parts.where("kind is not null"))
+
+
+def items(records: DataFrame) -> DataFrame:
+    """The events of the second source's response items: `records` (session, seq, record) to
+    session, seq, kind, title, detail, call_id and dedup_key. Messages without text are left out."""
+    g = lambda path, kind="string": F.try_variant_get("record", path, kind)
+    rows = records.where(g("$.type") == "response_item").withColumns({"type": g("$.payload.type"), "role": F.coalesce(g("$.payload.role"), F.lit("system"))})
+    part = lambda path: lambda v: F.try_variant_get(v, path, "string")
+    shown = F.filter(F.slice(F.coalesce(g("$.payload.content", "array<variant>"), F.array().cast("array<variant>")), 1, 64), lambda v: part("$.type")(v).isin("input_text", "output_text", "text", "input_image"))
+    texts = F.transform(shown, lambda v: F.when(part("$.type")(v) == "input_image", "[image]").otherwise(preview(F.coalesce(part("$.text")(v), F.lit("")))))
+    said = preview(F.concat_ws(" ", texts))
+    call, output = F.col("type").isin("function_call", "custom_tool_call"), F.col("type").isin("function_call_output", "custom_tool_call_output")
+    own = F.left(F.coalesce(F.when(g("$.payload.call_id", "variant").isNotNull(), g("$.payload.call_id")).otherwise(F.when(call, g("$.payload.id"))), F.lit("")), F.lit(512))
+    value = F.when(call, F.coalesce(g("$.payload.arguments"), g("$.payload.input"))).when(output, g("$.payload.output"))
+    failed = g("$.payload.status").isin("failed", "error", "cancelled")
+    kind = (
+        F.when(call, "ToolCall").when(output & (F.coalesce(failed, F.lit(False)) | reports_failure(F.when(output, g("$.payload.output")))), "ToolError").when(output, "ToolResult")
+        .when(F.col("type") == "message", F.when(F.col("role") == "user", "User").when(F.col("role") == "assistant", "Assistant").otherwise("System"))
+    )
+    key = F.when((F.col("type") == "message") & g("$.payload.id").isNotNull(), F.concat(F.lit("codex:message:"), F.left(g("$.payload.id"), F.lit(512)))).when(call & (own != ""), F.concat(F.lit("codex:call:"), own)).when(output & (own != ""), F.concat(F.lit("codex:result:"), own))
+    out = rows.select(
+        "session", "seq", kind.alias("kind"), F.when(call, preview(F.coalesce(g("$.payload.name"), F.lit("tool")))).when(output, "tool result").otherwise(preview(F.col("role"))).alias("title"),
+        F.when(call | output, value_preview(value)).otherwise(said).alias("detail"), F.when((call | output) & (own != ""), own).alias("call_id"), key.alias("dedup_key"))
+    return out.where(F.col("kind").isNotNull() & (~F.col("kind").isin("User", "Assistant", "System") | (F.col("detail") != "")))

@@ -4,9 +4,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tokenloom.functions import display
-from tokenloom.functions.models import pricing_key
 from tokenloom.operators import calendar, delivery, devices, pricing, rollups
 from tokenloom.operators.filters import SHARED, UsageFilter, billable, last_days, synthetic
+from tokenloom.plans.registry import Registry
 from tokenloom.sources.tables import TOKENS, table
 
 #: Queries end with a given day instead of the clock's.
@@ -65,17 +65,8 @@ PRICED = EVENTS + ", " + RATES + f""", pr as (select e.*, case when coalesce(a.m
 SUMS = ", ".join(f"cast(sum({t}) as bigint) as {t}" for t in TOKENS) + ", cast(sum(total) as bigint) as total, count(*) as requests, count(distinct case when session <> '' then source || chr(1) || session end) as sessions, coalesce(max(ts), 0) as last_ts"
 COSTS = "cast(sum(cost) as double) / 1e6 as cost_usd, cast(sum(priced_tokens) as bigint) as priced_tokens, cast(sum(unpriced_tokens) as bigint) as unpriced_tokens, case when sum(total) = 0 then 1.0 else cast(sum(priced_tokens) as double) / cast(sum(total) as double) end as coverage"
 
-QUERIES = {}
-SQL = {}
-
-
-def query(name: str, sql: str):  # noqa: ANN201
-    def keep(f):  # noqa: ANN001, ANN202
-        QUERIES[name] = f
-        SQL[name] = sql
-        return f
-
-    return keep
+_all = Registry()
+query, QUERIES, SQL = _all.query, _all.queries, _all.sql
 
 
 def with_cost(df: DataFrame) -> DataFrame:
