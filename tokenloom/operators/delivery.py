@@ -15,37 +15,43 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
+from tokenloom.functions.names import unused
 from tokenloom.functions.text import message_key
 
 SALTS = 32
-KEY, SOURCE, SALT, PLACE = "__key", "__source", "__salt", "__place"
 
 
-def _ranked(df: DataFrame, source: Column, key: Column, better: list[Column], row: Column, clean: bool) -> tuple[DataFrame, WindowSpec, WindowSpec]:
-    keyed = df.withColumns({SOURCE: source, KEY: message_key(key) if clean else key, SALT: F.pmod(F.xxhash64(row), F.lit(SALTS))})
+def _ranked(df: DataFrame, source: Column, key: Column, better: list[Column], row: Column, clean: bool) -> tuple[DataFrame, list[str], WindowSpec, WindowSpec]:
+    """`df` with helper columns, their names (identifier last), and the rankings within a salt and over all."""
+    names = s, t, k = unused(df, "__source", "__salt", "__key")
+    keyed = df.withColumns({s: source, t: F.pmod(F.xxhash64(row), F.lit(SALTS)), k: message_key(key) if clean else key})
     order = [c.desc_nulls_last() for c in better] + [row.asc()]
-    return keyed, Window.partitionBy(SOURCE, KEY, SALT).orderBy(*order), Window.partitionBy(SOURCE, KEY).orderBy(*order)
+    return keyed, names, Window.partitionBy(s, k, t).orderBy(*order), Window.partitionBy(s, k).orderBy(*order)
 
 
 def kept(df: DataFrame, source: Column, key: Column, better: list[Column], row: Column, clean: bool = True) -> DataFrame:
     """`df` with one row of each message, and all rows without an identifier. Unless `clean`,
     identifiers count as they are written."""
-    keyed, within, over = _ranked(df, source, key, better, row, clean)
-    has = F.col(KEY).isNotNull()
-    best = keyed.where(has).withColumn(PLACE, F.row_number().over(within)).where(F.col(PLACE) == 1)
-    best = best.withColumn(PLACE, F.row_number().over(over)).where(F.col(PLACE) == 1).drop(PLACE)
-    return best.unionByName(keyed.where(~has)).drop(SOURCE, KEY, SALT)
+    keyed, names, within, over = _ranked(df, source, key, better, row, clean)
+    (place,) = unused(keyed, "__place")
+    has = F.col(names[-1]).isNotNull()
+    best = keyed.where(has).withColumn(place, F.row_number().over(within)).where(F.col(place) == 1)
+    best = best.withColumn(place, F.row_number().over(over)).where(F.col(place) == 1).drop(place)
+    return best.unionByName(keyed.where(~has)).drop(*names)
 
 
 def surplus(df: DataFrame, source: Column, key: Column, better: list[Column], row: Column, clean: bool = True) -> DataFrame:
     """The rows of `df` that `kept` leaves out."""
-    keyed, within, over = _ranked(df, source, key, better, row, clean)
-    local, final = "__local", "__final"
-    placed = keyed.where(F.col(KEY).isNotNull()).withColumn(local, F.row_number().over(within))
-    # Losers within a salt are surplus already: only winners travel on.
-    losers = placed.where(F.col(local) > 1)
-    winners = placed.where(F.col(local) == 1).withColumn(final, F.row_number().over(over)).where(F.col(final) > 1)
-    return winners.drop(final).unionByName(losers).drop(local, SOURCE, KEY, SALT)
+    keyed, names, within, over = _ranked(df, source, key, better, row, clean)
+    s, _, k = names
+    local, final = unused(keyed, "__local", "__final")
+    placed = keyed.where(F.col(k).isNotNull()).withColumn(local, F.row_number().over(within))
+    # Losers within a salt are surplus already. They go on with a partition of their own each, so
+    # that the second ranking sees only winners without reading the rows twice.
+    lost = F.col(local) > 1
+    second = Window.partitionBy(s, k, F.when(lost, row)).orderBy(*[c.desc_nulls_last() for c in better], row.asc())
+    ranked = placed.withColumn(final, F.row_number().over(second))
+    return ranked.where(lost | (F.col(final) > 1)).drop(local, final, *names)
 
 
 def accept_batch(stored: DataFrame, batch: DataFrame, source: Column, key: Column, better: list[Column], row: Column, clean: bool = True) -> tuple[DataFrame, DataFrame]:
@@ -55,9 +61,10 @@ def accept_batch(stored: DataFrame, batch: DataFrame, source: Column, key: Colum
     Both tables need the same columns; `stored` holds one row a message.
     """
     name = message_key(key) if clean else key
-    best = kept(batch, source, key, better, row, clean).withColumns({SOURCE: source, KEY: name})
-    ids = stored.select(source.alias(SOURCE), name.alias(KEY), F.struct(*better).alias("__old"), row.alias("__row")).where(F.col(KEY).isNotNull())
-    fresh = best.join(ids.select(SOURCE, KEY), [SOURCE, KEY], "left_anti").drop(SOURCE, KEY)
+    s, k, old, at = unused(batch, "__source", "__key", "__old", "__row")
+    best = kept(batch, source, key, better, row, clean).withColumns({s: source, k: name})
+    ids = stored.select(source.alias(s), name.alias(k), F.struct(*better).alias(old), row.alias(at)).where(F.col(k).isNotNull())
+    fresh = best.join(ids.select(s, k), [s, k], "left_anti").drop(s, k)
     now = F.struct(*better)
-    wins = (now > F.col("__old")) | ((now == F.col("__old")) & (row < F.col("__row")))
-    return fresh, best.join(ids, [SOURCE, KEY]).where(wins).drop(SOURCE, KEY, "__old", "__row")
+    wins = (now > F.col(old)) | ((now == F.col(old)) & (row < F.col(at)))
+    return fresh, best.join(ids, [s, k]).where(wins).drop(s, k, old, at)
