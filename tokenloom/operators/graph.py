@@ -40,26 +40,31 @@ def stars(df: DataFrame, keys: list[str], row: str = "row_id") -> tuple[DataFram
 def components(edges: DataFrame) -> DataFrame:
     """node, root of every node of the edges a, b: root is the smallest node that links lead to.
 
-    Each round points every node to its smallest neighbour, halves the paths, and contracts the
-    edges; what is left are edges between roots. Rounds end when no edge is left. A node with
-    very many edges meets them as partial minima, and its edges fall together after one round.
+    Each round points every node to the neighbour (or itself) with the smallest hash of the round,
+    shortens these paths twice, and moves the edges to where they point; edges that fall together
+    vanish. With hashes no chain of links is long, whatever the numbers of its nodes, so the edges
+    shrink by a constant factor a round. A node with very many edges meets them as partial minima.
     """
     left = checkpointed(_ordered(edges))
-    roots = None
+    to = None
+    turn = 0
     while not left.isEmpty():
-        both = left.select(F.col("a").alias("node"), F.col("b").alias("to")).unionByName(left.select(F.col("b").alias("node"), F.col("a").alias("to")))
-        up = both.groupBy("node").agg(F.min("to").alias("to")).select("node", F.least("node", "to").alias("root"))
+        turn += 1
+        both = left.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(left.select(F.col("b").alias("node"), F.col("a").alias("other")))
+        rank = lambda c: F.struct(F.xxhash64(c, F.lit(turn)).alias("h"), F.col(c).alias("at"))  # noqa: B023, E731
+        up = both.groupBy("node").agg(F.min(rank("other")).alias("low")).select("node", F.least(rank("node"), F.col("low"))["at"].alias("at"))
         for _ in range(2):
-            next_up = up.select(F.col("node").alias("root"), F.col("root").alias("__higher"))
-            up = up.join(next_up, "root", "left").select("node", F.coalesce("__higher", "root").alias("root"))
+            further = up.select(F.col("node").alias("at"), F.col("at").alias("__on"))
+            up = up.join(further, "at", "left").select("node", F.coalesce("__on", "at").alias("at"))
         up = checkpointed(up)
-        as_a, as_b = (up.select(F.col("node").alias(k), F.col("root").alias(f"__{k}")) for k in "ab")
+        as_a, as_b = (up.select(F.col("node").alias(k), F.col("at").alias(f"__{k}")) for k in "ab")
         left = checkpointed(_ordered(left.join(as_a, "a").join(as_b, "b").select(F.col("__a").alias("a"), F.col("__b").alias("b"))))
-        if roots is None:
-            roots = up
-        else:
-            roots = checkpointed(roots.join(up.select(F.col("node").alias("root"), F.col("root").alias("__higher")), "root", "left").select("node", F.coalesce("__higher", "root").alias("root")))
-    return roots if roots is not None else left.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        to = up if to is None else checkpointed(to.join(up.select(F.col("node").alias("at"), F.col("at").alias("__on")), "at", "left").select("node", F.coalesce("__on", "at").alias("at")))
+    if to is None:
+        return left.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    # Also nodes that others point to are nodes, so the smallest of a class is among them.
+    smallest = to.groupBy("at").agg(F.min("node").alias("root"))
+    return to.join(smallest, "at").select("node", "root")
 
 
 def _ordered(edges: DataFrame) -> DataFrame:
