@@ -1,0 +1,61 @@
+"""Freely typed model names."""
+
+import random
+
+import pytest
+
+from tokenloom.llm import mapping
+
+NAMES = ["orlanda-4.1-mini", "orlanda-5", "kestrivon-3-large", "kestrivon-3.5-small", "mirrowend-2"]
+
+
+@pytest.mark.parametrize("value, entry", [
+    ("ORLANDA_4.1_Mini", 0), ("mini orlanda v4,1", 0), ("eu.talvane.orlanda:4_1:mn@20250102", 0), ("`proxy/v1/orlnada - 4.1 - mini (high)`", 0), ("ｏｒｌａｎｄａ－５－２０２５０１０２", 1), ("Orlanda 5.0 [medium effort]​", 1),
+    ("hub:kestirvon 3 lg-high.", 2), ("KeSTRIVONN-V3.5-sm-2024-01-02-low", 3), ("mirowend 2", 4), ("orlanda-4.1", None), ("orlanda-4.1-small", None), ("kestrivon-3", None), ("mirrowend-2-vision", None), ("zephyrine-2", None), ("???", None), ("n/a", None), ("2", None), ("orlanda-5-mini-large", None)])
+def test_values(value, entry):
+    assert mapping.Reference(NAMES).match(value) == (mapping.UNMATCHED if entry is None else NAMES[entry])
+
+
+def distance(a, b):
+    prev2, prev = None, list(range(len(b) + 1))
+    for i, c in enumerate(a, 1):
+        row = [i]
+        for j, e in enumerate(b, 1):
+            v = min(prev[j] + 1, row[-1] + 1, prev[j - 1] + (c != e))
+            if i > 1 and j > 1 and c == b[j - 2] and a[i - 2] == e:
+                v = min(v, prev2[j - 2] + 1)
+            row.append(v)
+        prev2, prev = prev, row
+    return prev[-1]
+
+
+def test_trie_against_brute_force():
+    rnd = random.Random(1)
+    words = ["".join(rnd.choices("abc", k=rnd.randint(1, 8))) for _ in range(200)]
+    trie = mapping.Trie()
+    for w in words:
+        trie.add(w, w)
+    for _ in range(300):
+        q = "".join(rnd.choices("abcd", k=rnd.randint(0, 9)))
+        most = rnd.randint(0, 3)
+        assert trie.search(q, most) == {w: d for w in words if (d := distance(q, w)) <= most}
+
+
+def test_rows(spark):
+    rows = spark.createDataFrame([("t", 1, "orlanda-5"), ("t", 2, " orlanda-5"), ("t", 3, None), ("t", 4, " \t"), ("t", 5, "nothing"), ("t", 5, "nothing"), ("t", 6, "x" * 100_000)], "record_table string, row_id long, raw_value string")
+    out = sorted(tuple(r) for r in mapping.mapped(rows, NAMES).collect())
+    assert [(r[1], r[3]) for r in out] == [(2, "orlanda-5"), (5, "UNMATCHED"), (5, "UNMATCHED"), (6, "UNMATCHED")] and out[0][2] == " orlanda-5"
+    assert mapping.mapped(rows, []).where("model_name <> 'UNMATCHED'").count() == 0
+    assert mapping.mapped(rows.where("false"), NAMES).count() == 0
+    # A clashing column is replaced.
+    from pyspark.sql import functions as F
+
+    assert mapping.mapped(rows.withColumn("MODEL_NAME", F.lit(1)), NAMES).columns == ["record_table", "row_id", "raw_value", "model_name"]
+
+
+def test_reference_list_is_bounded(spark, monkeypatch):
+    df = spark.createDataFrame([("a",), ("b",), (None,)], "model_name string")
+    assert mapping.reference_names(df) == ["a", "b"]
+    monkeypatch.setattr(mapping, "MOST_ENTRIES", 1)
+    with pytest.raises(ValueError):
+        mapping.reference_names(df)

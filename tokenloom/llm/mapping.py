@@ -156,8 +156,10 @@ def reference_names(entries: DataFrame, name: str = "model_name") -> list[str]:
 
 
 def mapped(values: DataFrame, names: list[str], value: str = "raw_value") -> DataFrame:
-    """`values` with the entry that each non-blank value names as `model_name`; literal entries left out."""
-    rows = values.where(F.col(value).isNotNull() & (strip(F.col(value)) != "") & ~F.col(value).isin(names))
+    """`values` with the entry that each non-blank value names as `model_name`; literal entries
+    left out. A column that already has this name is replaced."""
+    values = values.drop(*(c for c in values.columns if c.lower() == "model_name"))
+    rows = values.where(F.col(value).isNotNull() & (strip(F.col(value)) != "") & (~F.col(value).isin(names) if names else F.lit(True)))
     schema = rows.schema.simpleString()[len("struct<") : -1].replace(":", " ")
     columns = rows.columns
     at = columns.index(value)
