@@ -1,10 +1,12 @@
 """Messages delivered at least once: keep exactly one copy of each.
 
 Rows are partitioned by message identifier and ranked; the best is kept. Ties are broken by
-the row's own number, so the result doesn't depend on how rows are spread. The ranking is
-done twice: first within a salted part of each identifier, then among the parts' winners.
-An identifier that holds a third of all rows is thus ranked by `SALTS` tasks, and what is
-left of it for the last task is at most `SALTS` rows.
+the row's own number (a whole number), so the result doesn't depend on how rows are spread.
+
+An identifier may hold a third of all rows. `kept` needs only the winner of each, and ranks by
+an aggregate: every task sends on one row an identifier. `surplus` needs all the others, and
+ranks twice: first within a salted part of each identifier, then among the parts' winners, of
+which there are at most `SALTS`.
 
 Nulls: a null or blank identifier never equals another, such rows are always kept. A null
 rank or count sorts last. Repeated rows (equal in every column but the row number) are
@@ -31,13 +33,16 @@ def _ranked(df: DataFrame, source: Column, key: Column, better: list[Column], ro
 
 def kept(df: DataFrame, source: Column, key: Column, better: list[Column], row: Column, clean: bool = True) -> DataFrame:
     """`df` with one row of each message, and all rows without an identifier. Unless `clean`,
-    identifiers count as they are written."""
-    keyed, names, within, over = _ranked(df, source, key, better, row, clean)
-    (place,) = unused(keyed, "__place")
-    has = F.col(names[-1]).isNotNull()
-    best = keyed.where(has).withColumn(place, F.row_number().over(within)).where(F.col(place) == 1)
-    best = best.withColumn(place, F.row_number().over(over)).where(F.col(place) == 1).drop(place)
-    return best.unionByName(keyed.where(~has)).drop(*names)
+    identifiers count as they are written.
+
+    The rows of a message meet as partial winners, one a task, in a single shuffle; rows without
+    an identifier are groups of their own by their number."""
+    keyed, names, _, _ = _ranked(df, source, key, better, row, clean)
+    s, t, k = names
+    alone, best = unused(keyed, "__alone", "__best")
+    groups = keyed.drop(t).withColumn(alone, F.when(F.col(k).isNull(), row)).groupBy(s, k, alone)
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    return groups.agg(F.max_by(F.struct(*columns), F.struct(*better, -row)).alias(best)).select(f"{best}.*")
 
 
 def surplus(df: DataFrame, source: Column, key: Column, better: list[Column], row: Column, clean: bool = True) -> DataFrame:

@@ -16,12 +16,6 @@ def _assistant_rank() -> dict[str, Column | list[Column]]:
     return {"source": F.lit("claude"), "key": F.col("message_id"), "better": [F.col("has_stop_reason").cast("int"), F.col("output_tokens")], "row": F.col("record_no")}
 
 
-def kept_usage(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
-    """usage_event with one row of each message."""
-    need = dict.fromkeys(("source", "dedup_key", "dedup_rank", "output_tokens", "seq", *columns))
-    return delivery.kept(table(spark, folder, "usage_event").select(*need), **_usage_rank())
-
-
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     usage = table(spark, folder, "usage_event").select("source", "dedup_key", "dedup_rank", "output_tokens", "seq")
     spoken = table(spark, folder, "assistant_record").select("message_id", "has_stop_reason", "output_tokens", "record_no")
@@ -36,9 +30,11 @@ def p6_kept(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _trees(spark: SparkSession, folder: str) -> DataFrame:
-    rows = kept_usage(spark, folder, "ts", "project", *TOKENS).where("ts <> 0")
+    """Of each row only its project, day and total go through the deduplication."""
     total = sum((F.coalesce(F.col(t), F.lit(0)).cast("long") for t in TOKENS), F.lit(0).cast("long"))
-    return rolling.plant(rolling.shards(rolling.daily(rows, project_path(F.col("project")), F.floor(F.col("ts") / 86400), total)))
+    day = F.when(F.col("ts") != 0, F.floor(F.col("ts") / 86400)).cast("int")
+    rows = table(spark, folder, "usage_event").select("source", "dedup_key", "dedup_rank", "output_tokens", "seq", project_path(F.col("project")).alias("project"), day.alias("day"), total.alias("total"))
+    return rolling.plant(rolling.shards(rolling.daily(delivery.kept(rows, **_usage_rank()), F.col("project"), F.col("day"), F.col("total"))))
 
 
 def _day_text() -> Column:
