@@ -30,7 +30,7 @@ def by_day(events: DataFrame, late: str | None = None) -> DataFrame:
 
 
 def by_hour(events: DataFrame) -> DataFrame:
-    return events.where("ts > 0").groupBy(F.hour(F.timestamp_seconds("ts")).alias("hour")).agg(F.sum("total").alias("total"), F.count("*").alias("requests"))
+    return events.where("ts > 0").groupBy(F.hour(F.timestamp_seconds("ts")).cast("long").alias("hour")).agg(F.sum("total").alias("total"), F.count("*").alias("requests"))
 
 
 def finished(stream: DataFrame, mode: str) -> DataFrame:
