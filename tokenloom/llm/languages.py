@@ -71,9 +71,13 @@ def language_of_label(label: Column) -> Column:
 
 def sentences(text: str) -> list[str]:
     """The words of each sentence of natural language, in order."""
-    text = unicodedata.normalize("NFKC", text).lower()
-    text = _NOISE.sub(" ", _FENCE.sub("\n", text))
-    text = text.replace("​", "").replace("﻿", "").replace("­", "")
+    if not text.isascii():
+        text = unicodedata.normalize("NFKC", text).replace("\u200b", "").replace("\ufeff", "").replace("\u00ad", "")
+    text = text.lower()
+    if "```" in text:
+        text = _FENCE.sub("\n", text)
+    if "<|" in text or "\\u" in text or "http" in text:
+        text = _NOISE.sub(" ", text)
     out = []
     for part in _SENTENCE.split(text):
         if not part or _COMMAND.match(part):
@@ -153,8 +157,9 @@ class Model:
                 letters += len(units[end])
                 end += 1
             cell, owner = grams(units[begin:end])
-            for k in range(len(self.names)):
-                out[begin:end, k] = np.bincount(owner, self.table[cell, k], end - begin)
+            # Of each order the cells come unit by unit.
+            first = np.concatenate([[0], np.nonzero((owner[1:] != owner[:-1]) | (cell[1:] // CELLS != cell[:-1] // CELLS))[0] + 1])
+            np.add.at(out, begin + owner[first], np.add.reduceat(self.table[cell], first, axis=0))
             begin = end
         return out / ORDERS
 
@@ -204,6 +209,34 @@ def labelled_segments(scores: np.ndarray, lengths: np.ndarray, names: list[str])
     return names[langs[main]], float(sure[pick == main].sum() / lengths.sum()), segments
 
 
+def label_texts(texts: list[str | None], model: Model | None) -> list[tuple[str | None, float | None, list[tuple[str, float]]]]:
+    """(language, confidence, segments) of each text. Equal sentences are scored once; texts whose
+    sentences all point to one language need no mixture."""
+    units = [sentences(t) if t and model else [] for t in texts]
+    flat = [u for own in units for u in own]
+    if not flat:
+        return [(None, None, [])] * len(texts)
+    code: dict[str, int] = {}
+    at = np.array([code.setdefault(u, len(code)) for u in flat])
+    scores = model.score(list(code))[at]
+    lengths = np.array([len(u) for u in flat], float)
+    best = scores.argmax(1)
+    sure = lengths / np.exp(scores - scores.max(1, keepdims=True)).sum(1)
+    counts = np.array([len(own) for own in units])
+    ends = np.cumsum(counts)
+    out = []
+    for n, end in zip(counts.tolist(), ends.tolist()):
+        own = slice(end - n, end)
+        if not n:
+            out.append((None, None, []))
+        elif (best[own] == best[end - 1]).all():
+            lang, confidence = model.names[best[end - 1]], float(sure[own].sum() / lengths[own].sum())
+            out.append((lang, confidence, [(lang, confidence)]))
+        else:
+            out.append(labelled_segments(scores[own], lengths[own], model.names))
+    return out
+
+
 def fitted_model(documents: DataFrame, sample: int = SAMPLE) -> Model | None:
     """The model of a corpus, from its bounded sample of labelled rows."""
     some = documents.select("doc_id", "text", language_of_label(F.col("lang")).alias("label")).where(F.col("label").isin(*LANGUAGES) & (F.length("text") <= SAMPLE_CHARS))
@@ -225,17 +258,7 @@ def labelled(documents: DataFrame, model: Model | None) -> DataFrame:
         for batch in batches:
             langs, sure, runs = [], [], []
             for part in _by_letters(batch.column(2).to_pylist()):
-                units = [sentences(t) if t and known else [] for t in part]
-                flat = [u for own in units for u in own]
-                scores = known.score(flat) if flat else None
-                at = 0
-                for own in units:
-                    if not own:
-                        langs.append(None), sure.append(None), runs.append([])
-                        continue
-                    lengths = np.array([len(u) for u in own], float)
-                    lang, confidence, segments = labelled_segments(scores[at : at + len(own)], lengths, known.names)
-                    at += len(own)
+                for lang, confidence, segments in label_texts(part, known):
                     langs.append(lang), sure.append(confidence)
                     runs.append([{"lang": a, "confidence": b} for a, b in segments])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(langs, pa.string()), pa.array(sure, pa.float64()), pa.array(runs, segment)], ["doc_id", "label", "lang", "confidence", "segments"])
