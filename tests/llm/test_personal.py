@@ -39,6 +39,11 @@ def mentions(text):
     ("late! Kola M. Trezuski <kola@mail.example>;", [("person_name", "Kola M. Trezuski"), ("email", "kola@mail.example")]),
     ("si ça casse <lioba@mail.example>", [("email", "lioba@mail.example")]),
     ("Monday Morning Report, Copper Finch is only the project name, Bloom Filter and Merkle Tree", []),
+    ("Lieferung an Am Mühlgraben 87, 00832 Griliburgh", [("street_address", "Am Mühlgraben 87, 00832 Griliburgh")]),
+    ("Lieferung an Kirchgasse 129, 00235 Kolimere; I live at Weberstraße 149, 00711 Port Ellery", [("street_address", "Kirchgasse 129, 00235 Kolimere"), ("street_address", "Weberstraße 149, 00711 Port Ellery")]),
+    ("Monday Morning Report <kola@mail.example>", [("email", "kola@mail.example")]),
+    ("Monday Morning Report Kola Trezuski <kola@mail.example>", [("person_name", "Kola Trezuski"), ("email", "kola@mail.example")]),
+    ("Monday Morning Report SHATISSA OSLIMURA said the totals were off", [("person_name", "SHATISSA OSLIMURA")]),
     ("", []), (None, [])])
 def test_mentions(text, found):
     assert mentions(text) == found

@@ -208,6 +208,10 @@ def _addresses(text: str, at: int) -> Span | None:
     begin = max(text.rfind("\n", 0, at) + 1, at - 60)
     for pattern in ADDRESSES:
         for m in pattern.finditer(text, begin, min(len(text), at + 120)):
+            # A cue in front may look like a part of the street's name.
+            cue = max((m.group().lower().rfind(f"{c} ", 0, max(0, at - m.start())) + len(c) + 1 for c in ADDRESS_CUES if f"{c} " in m.group().lower()), default=0)
+            if cue:
+                m = pattern.match(text, m.start() + cue, m.end()) or m
             if m.start() <= at < m.end() and (m.start() == 0 or not (text[m.start() - 1].isalnum() or text[m.start() - 1] in "/_.-")):
                 return m.start(), m.end(), "street_address"
     return None
@@ -283,6 +287,10 @@ def _names_of_addresses(text: str, found: list[Span]) -> list[Span]:
         before = text[: span[0]].rstrip(" ")
         free = not before or before[-1] in ".!?;|\n" or mark == "\t"
         inside_other = any(b < span[1] and span[0] < e and k in ("street_address", "email") for b, e, k in found)
+        # One capital word right in front: a title in title case, not a name.
+        title = regex.search(r"(?:\p{Lu}[\p{L}'’-]* )+$", text[max(0, span[0] - 60) : span[0]])
+        if title and len(title.group().split()) == 1 and title.group().isupper() == text[span[0] : span[1]].isupper():
+            continue
         if not inside_other and (free or not small):
             out.append(span)
     return out
