@@ -178,7 +178,11 @@ def mixture(scores: np.ndarray, rounds: int = 30) -> tuple[np.ndarray, np.ndarra
             weight = np.exp(joint - top)
             total = weight.sum(1, keepdims=True)
             posterior = weight / total
-            share = np.maximum(posterior.mean(0), 1e-6)
+            new = np.maximum(posterior.mean(0), 1e-6)
+            done = np.abs(new - share).max() < 1e-7
+            share = new
+            if done:
+                break
         return float((top + np.log(total)).sum()) - price * len(langs), share, posterior
 
     best, share, posterior = fitted(chosen)
