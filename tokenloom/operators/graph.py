@@ -41,7 +41,7 @@ def components(edges: DataFrame) -> DataFrame:
     """node, root of every node of the edges a, b: root is the smallest node that links lead to.
 
     Each round points every node to the neighbour (or itself) with the smallest hash of the round,
-    shortens these paths twice, and moves the edges to where they point; edges that fall together
+    halves these paths, and moves the edges to where they point; edges that fall together
     vanish. With hashes no chain of links is long, whatever the numbers of its nodes, so the edges
     shrink by a constant factor a round. A node with very many edges meets them as partial minima.
     """
@@ -53,10 +53,9 @@ def components(edges: DataFrame) -> DataFrame:
         both = left.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(left.select(F.col("b").alias("node"), F.col("a").alias("other")))
         rank = lambda c: F.struct(F.xxhash64(c, F.lit(turn)).alias("h"), F.col(c).alias("at"))  # noqa: B023, E731
         up = both.groupBy("node").agg(F.min(rank("other")).alias("low")).select("node", F.least(rank("node"), F.col("low"))["at"].alias("at"))
-        for _ in range(2):
-            further = up.select(F.col("node").alias("at"), F.col("at").alias("__on"))
-            up = up.join(further, "at", "left").select("node", F.coalesce("__on", "at").alias("at"))
         up = checkpointed(up)
+        further = up.select(F.col("node").alias("at"), F.col("at").alias("__on"))
+        up = checkpointed(up.join(further, "at", "left").select("node", F.coalesce("__on", "at").alias("at")))
         as_a, as_b = (up.select(F.col("node").alias(k), F.col("at").alias(f"__{k}")) for k in "ab")
         left = checkpointed(_ordered(left.join(as_a, "a").join(as_b, "b").select(F.col("__a").alias("a"), F.col("__b").alias("b"))))
         to = up if to is None else checkpointed(to.join(up.select(F.col("node").alias("at"), F.col("at").alias("__on")), "at", "left").select("node", F.coalesce("__on", "at").alias("at")))
