@@ -1,6 +1,6 @@
 """Queries on usage events: deduplication, filters, roll-ups, costs, calendars, devices, reports."""
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tokenloom.functions import display
@@ -144,7 +144,7 @@ def filter_billable(spark: SparkSession, folder: str) -> DataFrame:
 @query("filter_synthetic", "with " + EVENTS + " select source, count(*) as kept, (select count(*) from ev where starts_with(model, '<')) as skipped from ev where not coalesce(starts_with(model, '<'), false) group by source")
 def filter_synthetic(spark: SparkSession, folder: str) -> DataFrame:
     by_source = events(spark, folder).groupBy("source").agg(F.count_if(~synthetic()).alias("kept"), F.count_if(synthetic()).alias("own"))
-    return by_source.select("source", "kept", F.sum("own").over(Window.partitionBy()).alias("skipped"))
+    return by_source.select("source", "kept", by_source.agg(F.sum("own")).scalar().alias("skipped"))
 
 
 @query("session_events", "with " + EVENTS + " select seq, ts, total from ev where source = 'claude' and session = (select min(session) from ev where source = 'claude' and session <> '')")
@@ -251,16 +251,17 @@ def text_bytes(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("breakdown_share", "with " + EVENTS + " select project, cast(sum(total) as bigint) as total, case when sum(sum(total)) over () = 0 then 0 else cast(sum(total) as double) * 100 / cast(sum(sum(total)) over () as double) end as share from ev group by project")
 def breakdown_share(spark: SparkSession, folder: str) -> DataFrame:
-    """The grand total joins the sums as one row; the events are not read twice for it."""
+    """The grand total is a scalar subquery over the same sums, whose shuffle is reused."""
     sums = events(spark, folder).groupBy("project").agg(F.sum("total").alias("total"))
-    grand = F.sum("total").over(Window.partitionBy())
+    grand = sums.agg(F.sum("total")).scalar()
     return sums.withColumn("share", F.when(grand == 0, F.lit(0.0)).otherwise(F.col("total").cast("double") * 100 / grand.cast("double")))
 
 
 @query("bar_fraction", "with " + EVENTS + " select model, cast(sum(total) as double) / greatest(cast(max(sum(total)) over () as double), 1) as fraction from ev group by model")
 def bar_fraction(spark: SparkSession, folder: str) -> DataFrame:
     sums = events(spark, folder).groupBy("model").agg(F.sum("total").alias("total"))
-    return sums.select("model", (F.col("total").cast("double") / F.greatest(F.max("total").over(Window.partitionBy()).cast("double"), F.lit(1.0))).alias("fraction"))
+    most = sums.agg(F.max("total")).scalar()
+    return sums.select("model", (F.col("total").cast("double") / F.greatest(most.cast("double"), F.lit(1.0))).alias("fraction"))
 
 
 # Costs
