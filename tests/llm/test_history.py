@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from tokenloom.llm import history
+from tokenloom.llm import history, queries
 
 EVENTS = "row_id long, bundle_id long, id string, session string, ts long, input_tokens long, output_tokens long, cache_read long, cache_write_5m long, cache_write_1h long, extra string"
 BUNDLES = "bundle_id long, device_id string"
@@ -73,3 +73,40 @@ def test_batch_by_batch(spark, tmp_path):
         found |= {r.row_id_b: r.row_id_a for r in repeated.collect()}
         store.append(batch, repeated)
     assert found == {2: 0, 3: 1, 5: 4} == brute(rows, MACHINE)
+
+
+def in_batches(spark, folder, *batches):
+    store = history.History(spark, str(folder))
+    for rows in batches:
+        batch = prepared(spark, rows)
+        store.append(batch, store.check(batch))
+    return {r.row_id_b: r.row_id_a for r in store.repeated().collect()}
+
+
+def test_chain_through_rejected_rows(spark, tmp_path):
+    at = lambda i, ts, id=None: (i, i % 2, id, "s", ts, 100, 1, 1, 1, 1, "")
+    # 1 repeats 0 and is rejected; 2 and 3 repeat only 1, by time and by identifier.
+    chain = [at(0, 1000), at(1, 1100, "m1"), at(2, 1200), at(3, 90_000, "M1")]
+    assert in_batches(spark, tmp_path / "chain", *([r] for r in chain)) == {1: 0, 2: 0, 3: 0} == brute(chain, MACHINE)
+    # 2 joins 1 to 0, and 4 joins 3 to them all.
+    apart = [at(0, 1000), at(1, 1220), at(2, 1110), at(3, 1450), at(4, 1330)]
+    assert in_batches(spark, tmp_path / "apart", apart[:2], apart[2:4], apart[4:]) == {1: 0, 2: 0, 3: 0, 4: 0} == brute(apart, MACHINE)
+    late = [apart[4], apart[3], apart[1], apart[0], apart[2]]
+    assert in_batches(spark, tmp_path / "late", *([r] for r in late)) == {1: 0, 2: 0, 3: 0, 4: 0}
+
+
+def test_random_batches_against_brute_force(spark, tmp_path):
+    rows = make(2, 200)
+    assert in_batches(spark, tmp_path / "store", rows[:70], rows[70:140], [], rows[140:]) == brute(rows, MACHINE)
+
+
+def test_query_goes_through_the_history(spark, tmp_path, monkeypatch):
+    rows = [(i, i // 5, None, "main", 1_700_000_000 + 100 * i, 100, 1, 1, 1, 1, "") for i in range(20)]
+    folder, sizes = tmp_path / "tables", []
+    spark.createDataFrame(rows, EVENTS).write.parquet(f"{folder}/bundle_event.parquet")
+    spark.createDataFrame([(b, "d0") for b in range(4)], BUNDLES).write.parquet(f"{folder}/usage_bundle.parquet")
+    spark.createDataFrame([("d0", "anvil-1")], DEVICES).write.parquet(f"{folder}/device_record.parquet")
+    check = history.History.check
+    monkeypatch.setattr(history.History, "check", lambda self, batch: sizes.append(batch.count()) or check(self, batch))
+    assert {r.row_id_b: r.row_id_a for r in queries.p7_found(spark, str(folder)).collect()} == {i: 0 for i in range(1, 20)}
+    assert len(sizes) > 1 and sum(sizes) == 20

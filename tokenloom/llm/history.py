@@ -3,8 +3,10 @@
 Every event has a content hash (its identifier, however written) and block hashes for finding
 near copies: machine, session, a cell of time and a cell of its tokens. The cells of two
 overlapping grids are used, so that two events that repeat each other share a block hash for
-certain. Events that share a hash are compared exactly. A new batch is joined to the stored
-hashes, bucket by bucket, and only stored events that share a hash with it are read.
+certain. Events that share a hash are compared exactly. Hashes are stored in a bucketed table, each with
+what is compared. A new batch is semi-joined to it bucket by bucket, without moving what is stored,
+and compared with the stored events that share a hash with it; then it is appended. Repeats are
+stored too, under the root of their group, so that later events find it through them.
 
 Two events repeat each other if their identifiers agree, or if machine and session are the same,
 their times lie at most `SECONDS` apart and every token class agrees within `SHARE` of the larger.
@@ -19,17 +21,23 @@ copies; a blank session is a session; null tokens and times count as 0; repeated
 to the smallest row number; an empty batch or history gives an empty result.
 """
 
+from functools import reduce
+from hashlib import md5
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tokenloom.functions.text import blank_to_null, message_key
-from tokenloom.operators.graph import checkpointed, components, stars
+from tokenloom.operators.graph import checkpointed, components, scratch, stars
 from tokenloom.sources.tables import TOKENS
 
 SECONDS, SHARE = 120, 0.02
 #: Natural logarithm of the ratio of two counts that agree within SHARE, a little more.
 STEP = 0.0203
 BUCKETS = 64
+#: Batches in which a whole table is given to the history.
+BATCHES = 4
 CONTENT = ["machine", "session", "ts", *TOKENS]
 
 
@@ -73,8 +81,8 @@ def repeats_pair(a: str, b: str) -> Column:
     return close
 
 
-def linked(rows: DataFrame) -> DataFrame:
-    """node, root: the groups of rows that repeat each other, those of one row left out."""
+def linked(rows: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """node, root: the groups of rows that repeat each other, those of one row left out. known: links a, b found before."""
     same_id, _ = stars(rows.where("id_key is not null").select("row_id", "id_key"), ["id_key"])
     near = rows.where("machine is not null and session is not null").select("row_id", *CONTENT)
     same_content, distinct = stars(near, CONTENT)
@@ -82,7 +90,8 @@ def linked(rows: DataFrame) -> DataFrame:
     # All events of such a cell repeat each other: it is a second long at most SECONDS, and a step narrow.
     cells = {"t": F.floor(F.col("ts") / (SECONDS + 1))} | {f"c{i}": F.when(F.col(t) < 50, F.col(t)).otherwise(50 + F.floor(F.log(F.col(t).cast("double")) / 0.02)) for i, t in enumerate(TOKENS)}
     same_cell, _ = stars(distinct.withColumns(cells).select("row_id", "machine", "session", *cells), ["machine", "session", *cells])
-    surely = components(same_id.unionByName(same_content).unionByName(same_cell))
+    links = same_id.unionByName(same_content).unionByName(same_cell)
+    surely = components(links.unionByName(known) if known else links)
 
     label = F.coalesce("root", "row_id")
     marked = block_hashes(distinct).join(surely, F.col("row_id") == F.col("node"), "left").select("h", "row_id", label.alias("label"))
@@ -103,39 +112,78 @@ def repeats(rows: DataFrame) -> DataFrame:
 
 
 class History:
-    """Accepted events in a shared folder: `rows` with the root of their group, and `hashes`,
-    partitioned into buckets so that a batch reads the buckets of its own hashes."""
+    """All events so far in a shared folder: `hashes`, a table bucketed by hash that holds each
+    identifier and each content once, with a row that has it; `rows`, each row with the root of
+    its group as it was stored; `moves`, the roots whose group has since joined an earlier one."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
+        self.spark, self.folder, self.table = spark, folder, f"history_{md5(folder.encode()).hexdigest()}"
+        columns = ", ".join(["h long", "row_id long", "root long", "id_key string", "machine string", "session string", "ts long", *(f"{t} long" for t in TOKENS)])
+        spark.sql(f"create table if not exists {self.table} ({columns}) using parquet clustered by (h) into {BUCKETS} buckets location '{folder}/hashes'")
 
     @staticmethod
     def _hashes(rows: DataFrame) -> DataFrame:
-        ids = rows.where("id_key is not null").select(F.xxhash64("id_key").alias("h"), "row_id")
-        return ids.unionByName(block_hashes(rows).select("h", "row_id")).distinct().withColumn("bucket", F.pmod("h", F.lit(BUCKETS)).cast("int"))
+        """Equal identifiers and equal contents are in one group, so one row stands for all."""
+        first = [F.min(c).alias(c) for c in ("row_id", "root")]
+        ids = rows.where("id_key is not null").groupBy(F.xxhash64("id_key").alias("h"), "id_key").agg(*first)
+        contents = block_hashes(rows.where("machine is not null and session is not null").groupBy(*CONTENT).agg(*first)).distinct()
+        return ids.unionByName(contents, allowMissingColumns=True)
+
+    def _sharing(self, own: DataFrame) -> DataFrame:
+        """The stored hashes that `own` has too."""
+        return self.spark.table(self.table).join(own.select("h").distinct(), "h", "left_semi")
 
-    def _stored(self, part: str) -> DataFrame | None:
+    def _stored(self, part: str, schema: str) -> DataFrame:
         path = f"{self.folder}/{part}"
         jpath = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         there = jpath.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(jpath)
-        return self.spark.read.parquet(path) if there else None
+        return self.spark.read.schema(schema).parquet(path) if there else self.spark.createDataFrame([], schema)
+
+    def _moves(self) -> DataFrame:
+        """root, to: roots only move to smaller ones, so the smallest is the last."""
+        return self._stored("moves", "root long, to long").groupBy("root").agg(F.min("to").alias("to"))
+
+    def _now(self, rows: DataFrame) -> DataFrame:
+        """`rows` with the root that their group has now."""
+        return rows.join(self._moves(), "root", "left").withColumn("root", F.coalesce("to", "root")).drop("to")
 
     def check(self, batch: DataFrame) -> DataFrame:
-        """row_id_a, row_id_b of the batch's rows that repeat a stored or an earlier row of the batch."""
-        stored, hashes = self._stored("rows"), self._stored("hashes")
-        if stored is None:
-            return repeats(batch)
-        own = self._hashes(batch)
-        hit = hashes.join(own.select("bucket", "h").distinct(), ["bucket", "h"], "left_semi").select("row_id").distinct()
-        old = checkpointed(stored.join(hit, "row_id", "left_semi"))
-        found = repeats(old.select(batch.columns).unionByName(batch))
-        # Of a stored row the root is known; what is new takes it over.
-        known = old.select(F.col("row_id").alias("row_id_a"), "root")
-        mine = found.join(batch.select(F.col("row_id").alias("row_id_b")), "row_id_b", "left_semi")
-        return mine.join(known, "row_id_a", "left").select(F.coalesce("root", "row_id_a").alias("row_id_a"), "row_id_b")
+        """row_id_a, row_id_b of the batch's rows that repeat a stored or an earlier row of the
+        batch, and of stored roots whose group the batch joins to an earlier one."""
+        own = self._hashes(batch.withColumn("root", F.col("row_id")))
+        old = checkpointed(self._now(self._sharing(own).drop("h").distinct()))
+        columns = ["row_id", "id_key", *CONTENT]
+        groups = linked(old.select(columns).unionByName(batch.select(columns)), old.select(F.col("root").alias("a"), F.col("row_id").alias("b")))
+        asked = batch.select("row_id").unionByName(old.select(F.col("root").alias("row_id"))).distinct()
+        return groups.where("node <> root").select(F.col("root").alias("row_id_a"), F.col("node").alias("row_id_b")).join(asked.withColumnRenamed("row_id", "row_id_b"), "row_id_b", "left_semi")
 
     def append(self, batch: DataFrame, found: DataFrame) -> None:
-        """Stores the batch's rows that aren't in `found`, and their hashes."""
-        new = checkpointed(batch.join(found.select(F.col("row_id_b").alias("row_id")), "row_id", "left_anti"))
-        new.withColumn("root", F.col("row_id")).write.mode("append").parquet(f"{self.folder}/rows")
-        self._hashes(new).repartition("bucket").write.mode("append").partitionBy("bucket").parquet(f"{self.folder}/hashes")
+        """Stores the batch's rows under the roots in `found`, their new hashes, and the moves of stored roots."""
+        found = checkpointed(found.select(F.col("row_id_b").alias("row_id"), F.col("row_id_a").alias("root")))
+        new = checkpointed(batch.join(found, "row_id", "left").withColumn("root", F.coalesce("root", "row_id")))
+        moved = found.join(batch, "row_id", "left_anti").select(F.col("row_id").alias("root"), F.col("root").alias("to"))
+        before = self._moves().join(moved.select(F.col("root").alias("to"), F.col("to").alias("__to")), "to").select("root", F.col("__to").alias("to"))
+        moves = checkpointed(moved.unionByName(before))
+        own = checkpointed(self._hashes(new))
+        held = self._sharing(own)
+        same = [own[c].eqNullSafe(held[c]) for c in ("h", "id_key", *CONTENT)]
+        fresh = checkpointed(own.join(held, reduce(and_, same), "left_anti"))
+        fresh.select(self.spark.table(self.table).columns).repartition(BUCKETS, "h").write.insertInto(self.table)
+        moves.write.mode("append").parquet(f"{self.folder}/moves")
+        new.select("row_id", "root").write.mode("append").parquet(f"{self.folder}/rows")
+
+    def repeated(self) -> DataFrame:
+        """row_id_a, row_id_b: each stored row that repeats an earlier one, with the earliest of its group."""
+        rows = self._now(self._stored("rows", "row_id long, root long"))
+        return rows.where("row_id <> root").select(F.col("root").alias("row_id_a"), F.col("row_id").alias("row_id_b"))
+
+
+def batched(rows: DataFrame) -> DataFrame:
+    """What `repeats` gives, from a history to which the bundles come in `BATCHES` batches, in their order."""
+    store = History(rows.sparkSession, scratch(rows.sparkSession))
+    cuts = sorted(set(rows.where("bundle_id is not null").approxQuantile("bundle_id", [k / BATCHES for k in range(1, BATCHES)], 0.001)))
+    number = sum(((F.coalesce("bundle_id", F.lit(-1)) > c).cast("int") for c in cuts), F.lit(0))
+    for k in range(len(cuts) + 1):
+        batch = checkpointed(rows.where(number == k))
+        store.append(batch, store.check(batch))
+    return store.repeated()

@@ -31,7 +31,7 @@ def p3_conversations(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
-    return history.repeats(history.prepared(*(table(spark, folder, t) for t in ("bundle_event", "usage_bundle", "device_record"))))
+    return history.batched(history.prepared(*(table(spark, folder, t) for t in ("bundle_event", "usage_bundle", "device_record"))))
 
 
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
