@@ -2,6 +2,7 @@
 
 from pathlib import Path
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -40,6 +41,16 @@ def test_segments(spark, model):
     assert all(r.lang is None for r in languages.labelled(df, None).collect())
 
 
+def test_a_redundant_language_with_a_large_share_is_taken_out():
+    # Languages 0 and 1 say the same of 20 sentences; 2, 3 and 4 have two sentences of their own each.
+    scores = np.full((26, 5), -50.0)
+    scores[:20, :2] = -0.1
+    scores[np.arange(20), np.arange(20) % 2] = 0
+    scores[np.arange(20, 26), [2, 2, 3, 3, 4, 4]] = 0
+    langs, posterior = languages.mixture(scores)
+    assert len(langs) == 4 and set(langs) > {2, 3, 4} and len(set(posterior[:20].argmax(1))) == 1
+
+
 @pytest.mark.parametrize("label, code", [("EN", "en"), ("en_US", "en"), ("es-419", "es"), ("Deutsch", "de"), (" zho ", "zh"), ("日本語", "ja"), ("pt-BR", "pt"), ("und", None), ("", None), ("N/A", None), (None, None), ("sv", "sv")])
 def test_labels(spark, label, code):
     df = spark.createDataFrame([(label,)], "lang string")

@@ -188,7 +188,7 @@ def mixture(scores: np.ndarray, rounds: int = 30) -> tuple[np.ndarray, np.ndarra
     best, share, posterior = fitted(chosen)
     while len(chosen) > 1:
         tries = []
-        for i in np.argsort(share)[:3]:
+        for i in np.argsort(share):
             tries.append((fitted(np.delete(chosen, i)), i))
         (value, s, p), i = max(tries, key=lambda t: t[0][0])
         if value <= best:
