@@ -59,3 +59,15 @@ def test_reference_list_is_bounded(spark, monkeypatch):
     monkeypatch.setattr(mapping, "MOST_ENTRIES", 1)
     with pytest.raises(ValueError):
         mapping.reference_names(df)
+
+
+@pytest.mark.parametrize("value, entry", [
+    ("Arvel Bonar 4", 0), ("arvel_conta-v4", 1), ("hub/arvl contta 4.0 (high)", 1), ("arvel 4", 2), ("talvane arvel bonar:4:mn", 3), ("arvel-bonar-4-vision", None), ("arvel-zephyrine-4", None), ("bonar 4", None), ("bonar arvel conta 4", 1), ("conta-arvel-bonra-4", 0), ("arvel conta 5", None)])
+def test_families_of_several_words(value, entry):
+    names = ["arvel-bonar-4", "arvel-conta-4", "arvel-4", "arvel-bonar-4-mini"]
+    assert mapping.Reference(names).match(value) == (mapping.UNMATCHED if entry is None else names[entry])
+
+
+def test_entries_that_say_the_same_are_refused(spark):
+    with pytest.raises(ValueError, match="say the same"):
+        mapping.mapped(spark.createDataFrame([("orlanda 5",)], "raw_value string"), ["orlanda-5", "Orlanda 5.0"])

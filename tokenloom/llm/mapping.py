@@ -2,14 +2,16 @@
 
 A value is read as family, version and size, in any order; letter case, width, quotes,
 separators, a vendor before the name, a release date and an effort level behind it don't count.
-The reference list is a trie: families letter by letter, below each family its versions, below
-each version its sizes, with alias paths for short spellings of a size. A Levenshtein automaton
-(with swaps of neighbours) walks the family's letters and returns every family within a distance
-that depends on its length; versions must agree; sizes follow alias paths or one wrong letter.
+The reference list is a trie: the words of families letter by letter, families word by word,
+below each family its versions, below each version its sizes, with alias paths for short spellings
+of a size. A Levenshtein automaton (with swaps of neighbours) walks a word's letters and returns
+every word of a family within a distance that depends on its length; all words of a family must be
+there, in order; versions must agree; sizes follow alias paths or one wrong letter.
 Of all entries found the closest counts; if two are equally close, or a word behind the name is
 unknown, the value is unmatched.
 
-The list goes to every task, so its size is checked (`MOST_ENTRIES`). Rows aren't shuffled.
+The list goes to every task, so its size is checked (`MOST_ENTRIES`). Rows aren't shuffled. Two
+entries with the same words, version and size can't be told apart; such a list is refused.
 
 Defined cases: null and blank values give no row; values that are an entry literally give no row;
 repeated elements of an array give a row each; an empty reference list leaves all unmatched.
@@ -94,19 +96,22 @@ def version_of(text: str) -> str:
 
 class Reference:
     def __init__(self, names: list[str]) -> None:
-        self.families, self.sizes = Trie(), Trie()
+        self.words, self.sizes = Trie(), Trie()
         for size, spellings in SIZES.items():
             for s in spellings:
                 self.sizes.add(s, size)
-        #: family -> version -> size -> entry
-        self.below: dict[str, dict[str, dict[str, str]]] = {}
+        #: words of a family -> version -> size -> entry; also what a family begins with is a key
+        self.below: dict[tuple[str, ...], dict[str, dict[str, str]]] = {}
         for name in names:
-            family, version, size, _ = self.parts(name)
-            word = "".join(family[:1])
-            self.families.add(word, word)
-            self.below.setdefault(word, {}).setdefault(version, {}).setdefault(size, name)
+            words, version, size, _ = self.parts(name)
+            for i, word in enumerate(words):
+                self.words.add(word, word)
+                self.below.setdefault(tuple(words[:i]), {})
+            sizes = self.below.setdefault(tuple(words), {}).setdefault(version, {})
+            if sizes.setdefault(size, name) != name:
+                raise ValueError(f"entries of the reference list say the same: {sizes[size]!r}, {name!r}")
         self.match = lru_cache(200_000)(self._match)
-        self.near = lru_cache(50_000)(lambda word: self.families.search(word, budget(self.families.longest), budget))
+        self.near = lru_cache(50_000)(lambda word: self.words.search(word, budget(self.words.longest), budget))
 
     def size_of(self, word: str) -> str:
         found = self.sizes.search(word, 1 if len(word) >= 4 else 0, lambda length: 1 if length >= 4 else 0)
@@ -133,14 +138,26 @@ class Reference:
         twice = len(numbers) > 2 or len(sizes) > 1
         return words, version_of(".".join(numbers)), sizes[0] if len(sizes) == 1 else "", twice
 
+    def families(self, words: list[str]) -> tuple[dict[tuple[str, ...], int], bool]:
+        """family -> distance of those that all of `words` spell, and whether the first of them spell one."""
+        found: dict[tuple[str, ...], int] = {(): 0}
+        begun = False
+        for word in words:
+            begun |= any(f and self.below[f] for f in found)
+            found = {longer: d + more for f, d in found.items() for w, more in self.near(word).items() if (longer := (*f, w)) in self.below}
+            if not found:
+                break
+        return {f: d for f, d in found.items() if self.below[f]}, begun
+
     def _match(self, value: str) -> str:
         words, version, size, twice = self.parts(value)
         if twice:
             return UNMATCHED
-        for i, word in enumerate(words):
-            if families := self.near(word):
-                if i + 1 < len(words):
-                    return UNMATCHED
+        for i in range(len(words)):
+            families, begun = self.families(words[i:])
+            if begun and not families:
+                return UNMATCHED
+            if families:
                 entries = sorted((distance, name) for family, distance in families.items() if (name := self.below[family].get(version, {}).get(size)))
                 if not entries or len(entries) > 1 and entries[0][0] == entries[1][0]:
                     return UNMATCHED
@@ -159,6 +176,7 @@ def mapped(values: DataFrame, names: list[str], value: str = "raw_value") -> Dat
     """`values` with the entry that each non-blank value names as `model_name`; literal entries
     left out. A column that already has this name is replaced."""
     values = values.drop(*(c for c in values.columns if c.lower() == "model_name"))
+    Reference(names)  # refuses what it can't tell apart before any task runs
     rows = values.where(F.col(value).isNotNull() & (strip(F.col(value)) != "") & (~F.col(value).isin(names) if names else F.lit(True)))
     schema = rows.schema.simpleString()[len("struct<") : -1].replace(":", " ")
     columns = rows.columns
