@@ -13,11 +13,27 @@ from tokenloom.streaming import usage as streaming
 _all = Registry()
 query, QUERIES, SQL = _all.query, _all.queries, _all.sql
 
+#: Micro-batches in which a table arrives.
+ARRIVALS = 4
+
 
 def stream(spark: SparkSession, folder: str) -> DataFrame:
     return streaming.read(spark, folder, "usage_event").fillna(0, list(TOKENS)).withColumn("total", F.expr(TOTAL))
 
 
+def arriving(spark: SparkSession, folder: str) -> DataFrame:
+    """`stream` as it came: `ARRIVALS` ranges of batch_no, a micro-batch each, the earliest first.
+    The source takes files in the order of their times, so the ranges are written one by one."""
+    base = scratch(spark)
+    rows = table(spark, folder, "usage_event")
+    cuts = sorted(set(rows.where("batch_no is not null").approxQuantile("batch_no", [k / ARRIVALS for k in range(1, ARRIVALS)], 0.001)))
+    number = sum(((F.coalesce("batch_no", F.lit(-1)) > c).cast("int") for c in cuts), F.lit(0))
+    files = max(1, rows.rdd.getNumPartitions())
+    for k in range(len(cuts) + 1):
+        rows.where(number == k).repartition(files).write.mode("append").parquet(f"{base}/usage_event.parquet")
+    return streaming.read(spark, base, "usage_event", files).fillna(0, list(TOKENS)).withColumn("total", F.expr(TOTAL))
+
+
 _DAILY = f"with {RAW} select strftime(make_timestamp(ts * 1000000), '%Y-%m-%d') as date, cast(sum(total) as bigint) as total, count(*) as requests from raw where ts > 0 group by 1"
 
 
@@ -29,7 +45,7 @@ def stream_daily(spark: SparkSession, folder: str) -> DataFrame:
 @query("stream_late_data", _DAILY)
 def stream_late_data(spark: SparkSession, folder: str) -> DataFrame:
     """In arrival order rows come days late; none is lost, each lands in its own day."""
-    return streaming.finished(streaming.by_day(stream(spark, folder)), "complete").select("date", "total", "requests")
+    return streaming.finished(streaming.by_day(arriving(spark, folder)), "complete").select("date", "total", "requests")
 
 
 @query("stream_hourly", f"with {RAW} select cast(hour(make_timestamp(ts * 1000000)) as bigint) as hour, cast(sum(total) as bigint) as total, count(*) as requests from raw where ts > 0 group by 1")
@@ -39,7 +55,7 @@ def stream_hourly(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("stream_dedup_replace", "with " + EVENTS + " select seq, source, total from ev")
 def stream_dedup_replace(spark: SparkSession, folder: str) -> DataFrame:
-    rows = stream(spark, folder).select("seq", "source", "dedup_key", "dedup_rank", "output_tokens", "total")
+    rows = arriving(spark, folder).select("seq", "source", "dedup_key", "dedup_rank", "output_tokens", "total")
     return streaming.replaced(rows, F.col("dedup_key"), [F.col("dedup_rank"), F.col("output_tokens")], F.col("seq")).select("seq", "source", "total")
 
 
