@@ -11,10 +11,10 @@ stored too, under the root of their group, so that later events find it through
 Two events repeat each other if their identifiers agree, or if machine and session are the same,
 their times lie at most `SECONDS` apart and every token class agrees within `SHARE` of the larger.
 
-A group of copies may hold a third of all rows, and no step emits its pairs. Copies of one
+A group of copies may hold a third of all rows. Copies of one
 identifier, events equal in content, and events of one cell so small that all in it repeat each
 other are linked to the smallest of their group, in salted parts. Only blocks that then still
-hold several groups are looked at pair by pair.
+hold several groups are looked at pair by pair, which is quadratic in their distinct contents.
 
 Defined cases: a null or blank identifier equals no other; a null session or machine has no near
 copies; a blank session is a session; null tokens and times count as 0; repeated rows and ties go
