@@ -45,3 +45,10 @@ def test_stars(spark):
     roots = brute([(r.a, r.b) for r in edges.collect()])
     assert roots[199] == 0 and roots[299] == 204 and roots[301] == 300
     assert sorted(r.row_id for r in heads.collect()) == [0, 200, 201, 202, 203, 204, 300]
+
+
+def test_path_with_shuffled_numbers(spark):
+    names = list(range(200))
+    random.Random(9).shuffle(names)
+    path = list(zip(names, names[1:]))
+    assert result(spark, path) == brute(path)

@@ -9,19 +9,27 @@ from pyspark.sql import functions as F
 SALTS = 32
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster shares (spark.checkpoint.dir). Only a session of one machine
+    may name none, as in tests; it gets a temporary one."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"file://{tempfile.mkdtemp()}"
+
+
 def scratch(spark: SparkSession) -> str:
-    """A new folder inside the one that the cluster shares (spark.checkpoint.dir); a temporary
-    one only where the session names none, as in tests."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared.rstrip('/')}/{uuid.uuid4()}" if shared else tempfile.mkdtemp()
+    """A new folder inside the shared one."""
+    return f"{shared_folder(spark)}/{uuid.uuid4()}"
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """`df` written to the shared checkpoint folder of the session (spark.checkpoint.dir), its
-    lineage cut. Only where the session names no folder, as in tests, a temporary one is used."""
+    """`df` written to the shared checkpoint folder of the session, its lineage cut."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
@@ -40,32 +48,42 @@ def stars(df: DataFrame, keys: list[str], row: str = "row_id") -> tuple[DataFram
 def components(edges: DataFrame) -> DataFrame:
     """node, root of every node of the edges a, b: root is the smallest node that links lead to.
 
-    Each round points every node to the neighbour (or itself) with the smallest hash of the round,
-    halves these paths, and moves the edges to where they point; edges that fall together
-    vanish. With hashes no chain of links is long, whatever the numbers of its nodes, so the edges
-    shrink by a constant factor a round. A node with very many edges meets them as partial minima.
+    Each round points every node to one of its neighbours or itself, halves these paths, and
+    moves the edges to where they point; edges that fall together vanish. The first round points
+    to the smallest number, which settles stars around their smallest node; later rounds point to
+    the smallest hash of the round, with which no chain of links is long, whatever the numbers of
+    its nodes, so the edges shrink by a constant factor a round. A node with very many edges
+    meets them as partial minima. A round is two written tables: where nodes point, and the
+    edges left; the paths through all rounds are put together once, from the last round, whose
+    nodes are the fewest.
     """
     left = checkpointed(_ordered(edges))
-    to = None
-    turn = 0
+    rounds: list[DataFrame] = []
     while not left.isEmpty():
-        turn += 1
-        both = left.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(left.select(F.col("b").alias("node"), F.col("a").alias("other")))
-        rank = lambda c: F.struct(F.xxhash64(c, F.lit(turn)).alias("h"), F.col(c).alias("at"))  # noqa: B023, E731
+        turn = len(rounds)
+        both = left.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("other")), F.struct(F.col("b").alias("node"), F.col("a").alias("other")))).alias("x")).select("x.*")
+        rank = lambda c: F.struct(F.xxhash64(c, F.lit(turn)).alias("h") if turn else F.col(c).alias("h"), F.col(c).alias("at"))  # noqa: B023, E731
         up = both.groupBy("node").agg(F.min(rank("other")).alias("low")).select("node", F.least(rank("node"), F.col("low"))["at"].alias("at"))
-        up = checkpointed(up)
-        further = up.select(F.col("node").alias("at"), F.col("at").alias("__on"))
-        up = checkpointed(up.join(further, "at", "left").select("node", F.coalesce("__on", "at").alias("at")))
+        up = checkpointed(_followed(up, up))
         as_a, as_b = (up.select(F.col("node").alias(k), F.col("at").alias(f"__{k}")) for k in "ab")
         left = checkpointed(_ordered(left.join(as_a, "a").join(as_b, "b").select(F.col("__a").alias("a"), F.col("__b").alias("b"))))
-        to = up if to is None else checkpointed(to.join(up.select(F.col("node").alias("at"), F.col("at").alias("__on")), "at", "left").select("node", F.coalesce("__on", "at").alias("at")))
-    if to is None:
+        rounds.append(up)
+    if not rounds:
         return left.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    to = rounds.pop()
+    while rounds:
+        to = _followed(rounds.pop(), to)
     # Also nodes that others point to are nodes, so the smallest of a class is among them.
     smallest = to.groupBy("at").agg(F.min("node").alias("root"))
     return to.join(smallest, "at").select("node", "root")
 
 
+def _followed(up: DataFrame, further: DataFrame) -> DataFrame:
+    """node, at of `up`, with at replaced by where `further` points it."""
+    on = further.select(F.col("node").alias("at"), F.col("at").alias("__on"))
+    return up.join(on, "at", "left").select("node", F.coalesce("__on", "at").alias("at"))
+
+
 def _ordered(edges: DataFrame) -> DataFrame:
     return edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
