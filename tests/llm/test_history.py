@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tokenloom.llm import history, queries
@@ -107,6 +108,55 @@ def test_query_goes_through_the_history(spark, tmp_path, monkeypatch):
     spark.createDataFrame([(b, "d0") for b in range(4)], BUNDLES).write.parquet(f"{folder}/usage_bundle.parquet")
     spark.createDataFrame([("d0", "anvil-1")], DEVICES).write.parquet(f"{folder}/device_record.parquet")
     check = history.History.check
-    monkeypatch.setattr(history.History, "check", lambda self, batch: sizes.append(batch.count()) or check(self, batch))
+    monkeypatch.setattr(history.History, "check", lambda self, batch, old=None: sizes.append(batch.count()) or check(self, batch, old))
     assert {r.row_id_b: r.row_id_a for r in queries.p7_found(spark, str(folder)).collect()} == {i: 0 for i in range(1, 20)}
     assert len(sizes) > 1 and sum(sizes) == 20
+
+
+def test_crowded_blocks_are_divided():
+    """Against all pairs: few parts, many parts, and parts too narrow to be halved."""
+    rnd = np.random.default_rng(3)
+    for spread, wide in ((0.03, 60), (0.3, 2000), (3.0, 4000)):
+        n = 400
+        ts = rnd.integers(0, wide, n) + 1_700_000_000
+        counts = np.floor(np.exp(rnd.uniform(5, 5 + spread, (n, 5)))).astype(np.int64)
+        counts[rnd.random((n, 5)) < 0.2] = 0
+        i, j = np.triu_indices(n, 1)
+        found = history._agree(ts, counts, i, j)
+        true = brute_classes(n, zip(i[found], j[found]))
+        for most in (8, 64, 1_000):
+            assert brute_classes(n, zip(*history.near_links(np.zeros(n, np.int64), ts, counts, most))) == true
+
+
+def brute_classes(n, links):
+    top = list(range(n))
+
+    def find(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+
+    for a, b in links:
+        a, b = find(a), find(b)
+        top[max(a, b)] = min(a, b)
+    return [find(x) for x in range(n)]
+
+
+def test_blocks_that_span_batches_of_arrow(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        rows = [(i, 0, None, f"s{i % 3}", 1_700_000_000 + 70 * (i // 3), 1000, 50, 0, 0, 0, None) for i in range(60)]
+        assert {r.row_id_b: r.row_id_a for r in history.repeats(prepared(spark, rows)).collect()} == {i: i % 3 for i in range(3, 60)}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_buckets_stay_with_the_folder(spark, tmp_path):
+    rows = make(4, 60)
+    store = history.History(spark, str(tmp_path / "store"), 3)
+    store.accept(prepared(spark, rows[:30]))
+    spark.sql(f"drop table {store.table}")
+    again = history.History(spark, str(tmp_path / "store"), 5)
+    assert again.buckets == 3
+    again.accept(prepared(spark, rows[30:]))
+    assert {r.row_id_b: r.row_id_a for r in again.repeated().collect()} == brute(rows, MACHINE)

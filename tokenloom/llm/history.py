@@ -1,30 +1,37 @@
 """Deduplicating new batches against all history.
 
 Every event has a content hash (its identifier, however written) and block hashes for finding
-near copies: machine, session, a cell of time and a cell of its tokens. The cells of two
-overlapping grids are used, so that two events that repeat each other share a block hash for
-certain. Events that share a hash are compared exactly. Hashes are stored in a bucketed table, each with
-what is compared. A new batch is semi-joined to it bucket by bucket, without moving what is stored,
-and compared with the stored events that share a hash with it; then it is appended. Repeats are
-stored too, under the root of their group, so that later events find it through them.
+near copies: machine, session, a cell of time and a cell of its tokens. Hashes are stored in a
+bucketed table, an identifier or a content once, each with what is compared. A new batch asks for
+the cells of its contents and for the neighbouring ones within reach; it is semi-joined to the
+table bucket by bucket, without moving what is stored, and compared with the stored events of
+these cells. Then its new hashes are appended. Repeats are stored too, under the root of their
+group, so that later events find it through them.
 
 Two events repeat each other if their identifiers agree, or if machine and session are the same,
 their times lie at most `SECONDS` apart and every token class agrees within `SHARE` of the larger.
 
-A group of copies may hold a third of all rows. Copies of one
-identifier, events equal in content, and events of one cell so small that all in it repeat each
-other are linked to the smallest of their group, in salted parts. Only blocks that then still
-hold several groups are looked at pair by pair, which is quadratic in their distinct contents.
+A group of copies may hold a third of all rows. Copies of one identifier and events equal in
+content are linked to the smallest of their group, in salted parts; only distinct contents are
+compared. They are sorted by block and time, and each is compared with those after it in reach
+that are not linked to it yet (`near_links`); what leaves a task is a tree of each group, not its
+pairs. A crowded block is first halved along its widest measure, with an overlap as wide as the
+reach, until its parts are small, and a part that can't be halved is so narrow that it falls into
+a few cells in which all repeat each other. One block, `SECONDS_OF_CELL` of one session with totals within
+25 percent, is read by one task.
 
 Defined cases: a null or blank identifier equals no other; a null session or machine has no near
 copies; a blank session is a session; null tokens and times count as 0; repeated rows and ties go
 to the smallest row number; an empty batch or history gives an empty result.
 """
 
+from collections.abc import Iterator
 from functools import reduce
 from hashlib import md5
 from operator import and_
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,7 +42,8 @@ from tokenloom.sources.tables import TOKENS
 SECONDS, SHARE = 120, 0.02
 #: Natural logarithm of the ratio of two counts that agree within SHARE, a little more.
 STEP = 0.0203
-BUCKETS = 64
+#: Widths of a block's cells of time and of the logarithm of the total.
+SECONDS_OF_CELL, WIDTH = 5 * SECONDS, 11 * STEP
 #: Batches in which a whole table is given to the history.
 BATCHES = 4
 CONTENT = ["machine", "session", "ts", *TOKENS]
@@ -57,53 +65,139 @@ def prepared(events: DataFrame, bundles: DataFrame, devices: DataFrame) -> DataF
     return events.select("row_id", "bundle_id", message_key(F.col("id")).alias("id_key"), "session", F.coalesce("ts", F.lit(0)).alias("ts"), *counts).join(of_bundle, "bundle_id", "left")
 
 
-def _log_cell(count: Column, width: float, shift: float = 0.0) -> Column:
-    """Nothing has a cell of its own."""
-    return F.when(count <= 0, F.lit(-1)).otherwise(F.floor(F.log(count.cast("double")) / width + shift))
-
-
-def block_hashes(rows: DataFrame) -> DataFrame:
-    """`rows` with each of their four block hashes as `h`: two grids of time by two of the total."""
+def block_hashes(rows: DataFrame, reach: tuple[int, ...]) -> DataFrame:
+    """`rows` with a block hash as `h` for each cell of time and total that an event touches, when
+    moved by the given multiples of the reach. With (0,) that is its own cell; two events that
+    repeat each other have a cell of (0, -1) in common, and the cell of either is among (-1, 0, 1)
+    of the other."""
     total = sum((F.col(t) for t in TOKENS[1:]), F.col(TOKENS[0]))
-    hashes = [
-        F.xxhash64("machine", "session", F.lit(2 * g + k), F.floor((F.col("ts") + g * SECONDS) / (2 * SECONDS)), _log_cell(total, 2 * STEP, k / 2))
-        for g in (0, 1) for k in (0, 1)
-    ]
-    return rows.where("machine is not null and session is not null").withColumn("h", F.explode(F.array(*hashes)))
-
-
-def repeats_pair(a: str, b: str) -> Column:
-    """Whether rows under the aliases a and b are near copies."""
-    left, right = (lambda c: F.col(f"{a}.{c}")), (lambda c: F.col(f"{b}.{c}"))
-    close = (left("machine") == right("machine")) & (left("session") == right("session")) & (F.abs(left("ts") - right("ts")) <= SECONDS)
-    for t in TOKENS:
-        close &= F.abs(left(t) - right(t)) * 100 <= F.greatest(left(t), right(t)) * int(SHARE * 100)
-    return close
+    log = F.log(F.greatest(total, F.lit(1)).cast("double"))
+    times = F.array_distinct(F.array(*(F.floor((F.col("ts") + k * SECONDS) / SECONDS_OF_CELL) for k in reach)))
+    # Nothing has a cell of its own.
+    totals = F.array_distinct(F.array(*(F.when(total <= 0, F.lit(-1_000)).otherwise(F.floor((log + k * STEP) / WIDTH)) for k in reach)))
+    cells = rows.where("machine is not null and session is not null").withColumn("__t", F.explode(times)).withColumn("__c", F.explode(totals))
+    return cells.withColumn("h", F.xxhash64("machine", "session", "__t", "__c")).drop("__t", "__c")
+
+
+def _union(to: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Joins the classes of a and b, pair by pair, in place; `to` points every position to the first of its class."""
+    while True:
+        x, y = to[a], to[b]
+        differ = x != y
+        if not differ.any():
+            return
+        a, b, x, y = a[differ], b[differ], x[differ], y[differ]
+        np.minimum.at(to, np.maximum(x, y), np.minimum(x, y))
+        while not np.array_equal(further := to[to], to):
+            to[:] = further
+
+
+def _agree(ts: np.ndarray, counts: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    a, b = counts[i], counts[j]
+    return (np.abs(ts[i] - ts[j]) <= SECONDS) & (np.abs(a - b) * 100 <= np.maximum(a, b) * int(SHARE * 100)).all(1)
+
+
+def _sweep(rows: np.ndarray, block: np.ndarray, ts: np.ndarray, counts: np.ndarray, to: np.ndarray) -> None:
+    """Compares each of `rows`, ordered by block and time, with those after it within reach."""
+    for k in range(1, len(rows)):
+        i, j = rows[:-k], rows[k:]
+        near = (block[i] == block[j]) & (ts[j] - ts[i] <= SECONDS)
+        if not near.any():
+            return
+        apart = near & (to[i] != to[j])
+        i, j = i[apart], j[apart]
+        found = _agree(ts, counts, i, j)
+        _union(to, i[found], j[found])
+
+
+def _divide(rows: np.ndarray, at: np.ndarray, block: np.ndarray, ts: np.ndarray, counts: np.ndarray, to: np.ndarray, most: int) -> None:
+    """Compares the rows of one crowded block. `at`: their places, in units of the reach."""
+    waiting = [rows]
+    while waiting:
+        rows = waiting.pop()
+        if len(rows) <= most:
+            _sweep(rows, block, ts, counts, to)
+            continue
+        place = at[rows]
+        cuts = [(x[x <= m + 1.001].size, x[x >= m].size, k, m) for k in range(place.shape[1]) for x in [place[:, k]] for m in (np.median(x), (x.min() + x.max()) / 2)]
+        low, high, k, m = min(cuts, key=lambda c: max(c[:2]))
+        if max(low, high) < 0.9 * len(rows):
+            waiting += [rows[place[:, k] <= m + 1.001], rows[place[:, k] >= m]]
+            continue
+        # Too narrow to be halved. All rows of such a cell repeat each other; cells are compared where a pair may be in reach.
+        cells, cell = np.unique(np.floor((place - place.min(0)) / 0.999).astype(np.int64), axis=0, return_inverse=True)
+        order = np.argsort(cell.ravel(), kind="stable")
+        rows, cell = rows[order], cell.ravel()[order]
+        first = np.concatenate([[0], np.nonzero(np.diff(cell))[0] + 1, [len(rows)]])
+        _union(to, np.repeat(rows[first[:-1]], np.diff(first)), rows)
+        parts = [rows[a:b] for a, b in zip(first[:-1], first[1:])]
+        for n, one in enumerate(parts):
+            for o in np.nonzero((np.abs(cells[:n] - cells[n]) <= 2).all(1))[0]:
+                other = parts[o]
+                for begin in range(0, len(one), 256):
+                    if to[one[0]] == to[other[0]]:
+                        break
+                    i, j = (x.ravel() for x in np.meshgrid(one[begin : begin + 256], other, indexing="ij"))
+                    found = np.nonzero(_agree(ts, counts, i, j))[0][:1]
+                    _union(to, i[found], j[found])
+
+
+def near_links(block: np.ndarray, ts: np.ndarray, counts: np.ndarray, most: int = 2_048) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of positions that link all events of a block that repeat each other: each event that is
+    not the first of its class, with that first one. `most`: the events of a block from which it is divided."""
+    order = np.lexsort((ts, block))
+    block, ts, counts = block[order], ts[order], counts[order]
+    to = np.arange(len(order))
+    first = np.concatenate([[0], np.nonzero(np.diff(block))[0] + 1, [len(block)]])
+    size = np.repeat(np.diff(first), np.diff(first)) if len(block) else np.zeros(0, np.int64)
+    _sweep(np.nonzero((size > 1) & (size <= most))[0], block, ts, counts, to)
+    if (size > most).any():
+        at = np.concatenate([ts[:, None] / SECONDS, np.where(counts > 0, np.log(np.maximum(counts, 1)) / -np.log(1 - SHARE), -1_000.0)], 1)
+        for a, b in zip(first[:-1], first[1:]):
+            if b - a > most:
+                _divide(np.arange(a, b), at, block, ts, counts, to, most)
+    linked = np.nonzero(to != np.arange(len(to)))[0]
+    return order[to[linked]], order[linked]
+
+
+def near(contents: DataFrame) -> DataFrame:
+    """Links a, b between the distinct `contents` that repeat each other. Besides its hash a block has a
+    second one of machine and session, so that no two share it by chance."""
+    rows = block_hashes(contents, (0, -1)).select("h", F.xxhash64(F.lit("who"), "machine", "session").alias("who"), "row_id", "ts", *TOKENS)
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[pa.RecordBatch] = []
+
+        def links(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+            whole = pa.Table.from_batches(parts)
+            h, who, row, ts, *counts = (whole.column(k).to_numpy() for k in range(whole.num_columns))
+            order, block = np.lexsort((who, h)), np.zeros(len(h), np.int64)
+            block[order[1:]] = np.cumsum((np.diff(h[order]) != 0) | (np.diff(who[order]) != 0))
+            a, b = near_links(block, ts, np.stack(counts, 1))
+            return pa.RecordBatch.from_arrays([pa.array(row[a]), pa.array(row[b])], ["a", "b"])
+
+        # Rows come block by block; a block that a batch ends in is kept until its end.
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            h = batch.column(0).to_numpy()
+            last = int(np.searchsorted(h, h[-1]))
+            if last or rest and rest[-1].column(0)[-1].as_py() != h[0]:
+                yield links([*rest, batch.slice(0, last)])
+                rest = []
+            rest.append(batch.slice(last))
+        if rest:
+            yield links(rest)
+
+    return rows.repartition("h").sortWithinPartitions("h").mapInArrow(link, "a bigint, b bigint")
 
 
 def linked(rows: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """node, root: the groups of rows that repeat each other, those of one row left out. known: links a, b found before."""
     same_id, _ = stars(rows.where("id_key is not null").select("row_id", "id_key"), ["id_key"])
-    near = rows.where("machine is not null and session is not null").select("row_id", *CONTENT)
-    same_content, distinct = stars(near, CONTENT)
-    distinct = checkpointed(distinct)
-    # All events of such a cell repeat each other: it is a second long at most SECONDS, and a step narrow.
-    cells = {"t": F.floor(F.col("ts") / (SECONDS + 1))} | {f"c{i}": F.when(F.col(t) < 50, F.col(t)).otherwise(50 + F.floor(F.log(F.col(t).cast("double")) / 0.02)) for i, t in enumerate(TOKENS)}
-    same_cell, _ = stars(distinct.withColumns(cells).select("row_id", "machine", "session", *cells), ["machine", "session", *cells])
-    links = same_id.unionByName(same_content).unionByName(same_cell)
-    surely = components(links.unionByName(known) if known else links)
-
-    label = F.coalesce("root", "row_id")
-    marked = block_hashes(distinct).join(surely, F.col("row_id") == F.col("node"), "left").select("h", "row_id", label.alias("label"))
-    mixed = marked.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("h")
-    left_over = marked.join(mixed, "h", "left_semi")
-    pairs = left_over.alias("p").join(left_over.alias("q"), (F.col("p.h") == F.col("q.h")) & (F.col("p.label") < F.col("q.label"))).select(
-        F.col("p.row_id").alias("a"), F.col("q.row_id").alias("b"), F.col("p.label").alias("la"), F.col("q.label").alias("lb")).distinct()
-    pairs = pairs.join(distinct.alias("x"), F.col("a") == F.col("x.row_id")).join(distinct.alias("y"), F.col("b") == F.col("y.row_id")).where(repeats_pair("x", "y"))
-    merged = components(pairs.select(F.col("la").alias("a"), F.col("lb").alias("b")))
-    higher = merged.select(F.col("node").alias("root"), F.col("root").alias("higher"))
-    first = surely.join(higher, "root", "left").select("node", F.coalesce("higher", "root").alias("root"))
-    return first.unionByName(merged.join(surely.select("node"), "node", "left_anti").select("node", "root"))
+    same_content, distinct = stars(rows.where("machine is not null and session is not null").select("row_id", *CONTENT), CONTENT)
+    links = same_id.unionByName(same_content).unionByName(near(distinct))
+    return components(links.unionByName(known) if known else links)
 
 
 def repeats(rows: DataFrame) -> DataFrame:
@@ -114,30 +208,33 @@ def repeats(rows: DataFrame) -> DataFrame:
 class History:
     """All events so far in a shared folder: `hashes`, a table bucketed by hash that holds each
     identifier and each content once, with a row that has it; `rows`, each row with the root of
-    its group as it was stored; `moves`, the roots whose group has since joined an earlier one."""
-
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder, self.table = spark, folder, f"history_{md5(folder.encode()).hexdigest()}"
+    its group as it was stored; `moves`, the roots whose group has since joined an earlier one.
+    A new history has as many buckets as the session has shuffle partitions, so that a batch meets
+    it in one shuffle of its own; the number stays with the folder."""
+
+    def __init__(self, spark: SparkSession, folder: str, buckets: int | None = None):
+        self.spark, self.folder = spark, folder.rstrip("/")
+        there = [n.removeprefix("hashes_") for n in self._names() if n.startswith("hashes_")]
+        self.buckets = int(there[0]) if there else buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.table = f"history_{md5(self.folder.encode()).hexdigest()}"
         columns = ", ".join(["h long", "row_id long", "root long", "id_key string", "machine string", "session string", "ts long", *(f"{t} long" for t in TOKENS)])
-        spark.sql(f"create table if not exists {self.table} ({columns}) using parquet clustered by (h) into {BUCKETS} buckets location '{folder}/hashes'")
+        spark.sql(f"create table if not exists {self.table} ({columns}) using parquet clustered by (h) into {self.buckets} buckets location '{self.folder}/hashes_{self.buckets}'")
+
+    def _names(self) -> list[str]:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        files = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return [f.getPath().getName() for f in files.listStatus(path)] if files.exists(path) else []
 
     @staticmethod
-    def _hashes(rows: DataFrame) -> DataFrame:
+    def _hashes(rows: DataFrame, reach: tuple[int, ...] = (0,)) -> DataFrame:
         """Equal identifiers and equal contents are in one group, so one row stands for all."""
         first = [F.min(c).alias(c) for c in ("row_id", "root")]
         ids = rows.where("id_key is not null").groupBy(F.xxhash64("id_key").alias("h"), "id_key").agg(*first)
-        contents = block_hashes(rows.where("machine is not null and session is not null").groupBy(*CONTENT).agg(*first)).distinct()
+        contents = block_hashes(rows.where("machine is not null and session is not null").groupBy(*CONTENT).agg(*first), reach)
         return ids.unionByName(contents, allowMissingColumns=True)
 
-    def _sharing(self, own: DataFrame) -> DataFrame:
-        """The stored hashes that `own` has too."""
-        return self.spark.table(self.table).join(own.select("h").distinct(), "h", "left_semi")
-
     def _stored(self, part: str, schema: str) -> DataFrame:
-        path = f"{self.folder}/{part}"
-        jpath = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        there = jpath.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(jpath)
-        return self.spark.read.schema(schema).parquet(path) if there else self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(f"{self.folder}/{part}") if part in self._names() else self.spark.createDataFrame([], schema)
 
     def _moves(self) -> DataFrame:
         """root, to: roots only move to smaller ones, so the smallest is the last."""
@@ -147,30 +244,42 @@ class History:
         """`rows` with the root that their group has now."""
         return rows.join(self._moves(), "root", "left").withColumn("root", F.coalesce("to", "root")).drop("to")
 
-    def check(self, batch: DataFrame) -> DataFrame:
+    def within_reach(self, batch: DataFrame) -> DataFrame:
+        """What is stored of the batch's identifiers and of the cells within reach of its contents,
+        with the roots of now. The stored table is read bucket by bucket and isn't moved."""
+        asked = self._hashes(batch.withColumn("root", F.col("row_id")), (-1, 0, 1)).select("h").distinct()
+        return checkpointed(self._now(self.spark.table(self.table).join(asked, "h", "left_semi")))
+
+    def check(self, batch: DataFrame, old: DataFrame | None = None) -> DataFrame:
         """row_id_a, row_id_b of the batch's rows that repeat a stored or an earlier row of the
-        batch, and of stored roots whose group the batch joins to an earlier one."""
-        own = self._hashes(batch.withColumn("root", F.col("row_id")))
-        old = checkpointed(self._now(self._sharing(own).drop("h").distinct()))
+        batch, and of stored roots whose group the batch joins to an earlier one. old: from `within_reach`."""
+        old = old or self.within_reach(batch)
         columns = ["row_id", "id_key", *CONTENT]
         groups = linked(old.select(columns).unionByName(batch.select(columns)), old.select(F.col("root").alias("a"), F.col("row_id").alias("b")))
         asked = batch.select("row_id").unionByName(old.select(F.col("root").alias("row_id"))).distinct()
         return groups.where("node <> root").select(F.col("root").alias("row_id_a"), F.col("node").alias("row_id_b")).join(asked.withColumnRenamed("row_id", "row_id_b"), "row_id_b", "left_semi")
 
-    def append(self, batch: DataFrame, found: DataFrame) -> None:
-        """Stores the batch's rows under the roots in `found`, their new hashes, and the moves of stored roots."""
-        found = checkpointed(found.select(F.col("row_id_b").alias("row_id"), F.col("row_id_a").alias("root")))
-        new = checkpointed(batch.join(found, "row_id", "left").withColumn("root", F.coalesce("root", "row_id")))
-        moved = found.join(batch, "row_id", "left_anti").select(F.col("row_id").alias("root"), F.col("root").alias("to"))
+    def append(self, batch: DataFrame, found: DataFrame, old: DataFrame | None = None) -> DataFrame:
+        """Stores the batch's rows under the roots in `found`, their new hashes, and the moves of
+        stored roots. Returns `found`, written."""
+        old = old or self.within_reach(batch)
+        found = checkpointed(found)
+        roots = found.select(F.col("row_id_b").alias("row_id"), F.col("row_id_a").alias("root"))
+        new = batch.join(roots, "row_id", "left").withColumn("root", F.coalesce("root", "row_id"))
+        moved = roots.join(batch, "row_id", "left_anti").select(F.col("row_id").alias("root"), F.col("root").alias("to"))
         before = self._moves().join(moved.select(F.col("root").alias("to"), F.col("to").alias("__to")), "to").select("root", F.col("__to").alias("to"))
-        moves = checkpointed(moved.unionByName(before))
-        own = checkpointed(self._hashes(new))
-        held = self._sharing(own)
-        same = [own[c].eqNullSafe(held[c]) for c in ("h", "id_key", *CONTENT)]
-        fresh = checkpointed(own.join(held, reduce(and_, same), "left_anti"))
-        fresh.select(self.spark.table(self.table).columns).repartition(BUCKETS, "h").write.insertInto(self.table)
-        moves.write.mode("append").parquet(f"{self.folder}/moves")
+        own = self._hashes(new)
+        same = [own[c].eqNullSafe(old[c]) for c in ("h", "id_key", *CONTENT)]
+        fresh = own.join(old, reduce(and_, same), "left_anti")
+        fresh.select(self.spark.table(self.table).columns).repartition(self.buckets, "h").write.insertInto(self.table)
+        moved.unionByName(before).write.mode("append").parquet(f"{self.folder}/moves")
         new.select("row_id", "root").write.mode("append").parquet(f"{self.folder}/rows")
+        return found
+
+    def accept(self, batch: DataFrame) -> DataFrame:
+        """Checks a batch and appends it; what `check` gives."""
+        old = self.within_reach(batch)
+        return self.append(batch, self.check(batch, old), old)
 
     def repeated(self) -> DataFrame:
         """row_id_a, row_id_b: each stored row that repeats an earlier one, with the earliest of its group."""
@@ -184,6 +293,5 @@ def batched(rows: DataFrame) -> DataFrame:
     cuts = sorted(set(rows.where("bundle_id is not null").approxQuantile("bundle_id", [k / BATCHES for k in range(1, BATCHES)], 0.001)))
     number = sum(((F.coalesce("bundle_id", F.lit(-1)) > c).cast("int") for c in cuts), F.lit(0))
     for k in range(len(cuts) + 1):
-        batch = checkpointed(rows.where(number == k))
-        store.append(batch, store.check(batch))
+        store.accept(checkpointed(rows.where(number == k)))
     return store.repeated()
