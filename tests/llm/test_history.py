@@ -88,12 +88,11 @@ def test_chain_through_rejected_rows(spark, tmp_path):
     at = lambda i, ts, id=None: (i, i % 2, id, "s", ts, 100, 1, 1, 1, 1, "")
     # 1 repeats 0 and is rejected; 2 and 3 repeat only 1, by time and by identifier.
     chain = [at(0, 1000), at(1, 1100, "m1"), at(2, 1200), at(3, 90_000, "M1")]
-    assert in_batches(spark, tmp_path / "chain", *([r] for r in chain)) == {1: 0, 2: 0, 3: 0} == brute(chain, MACHINE)
+    assert in_batches(spark, tmp_path / "chain", chain[:1], chain[1:2], chain[2:]) == {1: 0, 2: 0, 3: 0} == brute(chain, MACHINE)
     # 2 joins 1 to 0, and 4 joins 3 to them all.
     apart = [at(0, 1000), at(1, 1220), at(2, 1110), at(3, 1450), at(4, 1330)]
     assert in_batches(spark, tmp_path / "apart", apart[:2], apart[2:4], apart[4:]) == {1: 0, 2: 0, 3: 0, 4: 0} == brute(apart, MACHINE)
-    late = [apart[4], apart[3], apart[1], apart[0], apart[2]]
-    assert in_batches(spark, tmp_path / "late", *([r] for r in late)) == {1: 0, 2: 0, 3: 0, 4: 0}
+    assert in_batches(spark, tmp_path / "late", apart[3:], apart[1:2], apart[:1] + apart[2:3]) == {1: 0, 2: 0, 3: 0, 4: 0}
 
 
 def test_random_batches_against_brute_force(spark, tmp_path):

@@ -45,7 +45,7 @@ STEP = 0.0203
 #: Widths of a block's cells of time and of the logarithm of the total.
 SECONDS_OF_CELL, WIDTH = 5 * SECONDS, 11 * STEP
 #: Batches in which a whole table is given to the history.
-BATCHES = 4
+BATCHES = 3
 CONTENT = ["machine", "session", "ts", *TOKENS]
 
 
@@ -207,8 +207,9 @@ def repeats(rows: DataFrame) -> DataFrame:
 
 class History:
     """All events so far in a shared folder: `hashes`, a table bucketed by hash that holds each
-    identifier and each content once, with a row that has it; `rows`, each row with the root of
-    its group as it was stored; `moves`, the roots whose group has since joined an earlier one.
+    identifier and each content once, with a row that has it; `roots`, a part a batch with each row
+    and the root of its group as it was stored (moved 0), and the stored roots whose group the batch
+    joined to an earlier one (moved 1).
     A new history has as many buckets as the session has shuffle partitions, so that a batch meets
     it in one shuffle of its own; the number stays with the folder."""
 
@@ -220,8 +221,8 @@ class History:
         columns = ", ".join(["h long", "row_id long", "root long", "id_key string", "machine string", "session string", "ts long", *(f"{t} long" for t in TOKENS)])
         spark.sql(f"create table if not exists {self.table} ({columns}) using parquet clustered by (h) into {self.buckets} buckets location '{self.folder}/hashes_{self.buckets}'")
 
-    def _names(self) -> list[str]:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+    def _names(self, below: str = "") -> list[str]:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{below}")
         files = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
         return [f.getPath().getName() for f in files.listStatus(path)] if files.exists(path) else []
 
@@ -233,12 +234,15 @@ class History:
         contents = block_hashes(rows.where("machine is not null and session is not null").groupBy(*CONTENT).agg(*first), reach)
         return ids.unionByName(contents, allowMissingColumns=True)
 
-    def _stored(self, part: str, schema: str) -> DataFrame:
-        return self.spark.read.schema(schema).parquet(f"{self.folder}/{part}") if part in self._names() else self.spark.createDataFrame([], schema)
+    def _roots(self, moved: int) -> DataFrame:
+        """row_id, root of all batches so far."""
+        if "roots" not in self._names():
+            return self.spark.createDataFrame([], "row_id long, root long")
+        return self.spark.read.schema("row_id long, root long, batch int, moved int").parquet(f"{self.folder}/roots").where(F.col("moved") == moved).select("row_id", "root")
 
     def _moves(self) -> DataFrame:
         """root, to: roots only move to smaller ones, so the smallest is the last."""
-        return self._stored("moves", "root long, to long").groupBy("root").agg(F.min("to").alias("to"))
+        return self._roots(1).groupBy(F.col("row_id").alias("root")).agg(F.min("root").alias("to"))
 
     def _now(self, rows: DataFrame) -> DataFrame:
         """`rows` with the root that their group has now."""
@@ -260,21 +264,21 @@ class History:
         return groups.where("node <> root").select(F.col("root").alias("row_id_a"), F.col("node").alias("row_id_b")).join(asked.withColumnRenamed("row_id", "row_id_b"), "row_id_b", "left_semi")
 
     def append(self, batch: DataFrame, found: DataFrame, old: DataFrame | None = None) -> DataFrame:
-        """Stores the batch's rows under the roots in `found`, their new hashes, and the moves of
-        stored roots. Returns `found`, written."""
+        """Stores the batch's rows under the roots in `found`, the moves of stored roots, and the
+        batch's new hashes. Returns `found`, as it was written."""
         old = old or self.within_reach(batch)
-        found = checkpointed(found)
         roots = found.select(F.col("row_id_b").alias("row_id"), F.col("row_id_a").alias("root"))
-        new = batch.join(roots, "row_id", "left").withColumn("root", F.coalesce("root", "row_id"))
-        moved = roots.join(batch, "row_id", "left_anti").select(F.col("row_id").alias("root"), F.col("root").alias("to"))
-        before = self._moves().join(moved.select(F.col("root").alias("to"), F.col("to").alias("__to")), "to").select("root", F.col("__to").alias("to"))
-        own = self._hashes(new)
+        rows = batch.select("row_id").join(roots, "row_id", "left").select("row_id", F.coalesce("root", "row_id").alias("root"), F.lit(0).alias("moved"))
+        moved = roots.join(batch, "row_id", "left_anti").withColumn("moved", F.lit(1))
+        before = self._moves().join(moved.select(F.col("row_id").alias("to"), F.col("root").alias("__to")), "to").select(F.col("root").alias("row_id"), F.col("__to").alias("root"), F.lit(1).alias("moved"))
+        part = f"{self.folder}/roots/batch={len([n for n in self._names('roots') if n.startswith('batch=')])}"
+        rows.unionByName(moved).unionByName(before).write.partitionBy("moved").parquet(part)
+        written = self.spark.read.schema("row_id long, root long, moved int").parquet(part)
+        own = self._hashes(batch.join(written.where("moved = 0").select("row_id", "root"), "row_id"))
         same = [own[c].eqNullSafe(old[c]) for c in ("h", "id_key", *CONTENT)]
         fresh = own.join(old, reduce(and_, same), "left_anti")
         fresh.select(self.spark.table(self.table).columns).repartition(self.buckets, "h").write.insertInto(self.table)
-        moved.unionByName(before).write.mode("append").parquet(f"{self.folder}/moves")
-        new.select("row_id", "root").write.mode("append").parquet(f"{self.folder}/rows")
-        return found
+        return written.where("root <> row_id").select(F.col("root").alias("row_id_a"), F.col("row_id").alias("row_id_b"))
 
     def accept(self, batch: DataFrame) -> DataFrame:
         """Checks a batch and appends it; what `check` gives."""
@@ -283,7 +287,7 @@ class History:
 
     def repeated(self) -> DataFrame:
         """row_id_a, row_id_b: each stored row that repeats an earlier one, with the earliest of its group."""
-        rows = self._now(self._stored("rows", "row_id long, root long"))
+        rows = self._now(self._roots(0))
         return rows.where("row_id <> root").select(F.col("root").alias("row_id_a"), F.col("row_id").alias("row_id_b"))
 
 
