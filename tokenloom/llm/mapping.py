@@ -1,17 +1,21 @@
 """Mapping freely typed model names to the entries of a reference list.
 
-A value is read as family, version and size, in any order; letter case, width, quotes,
-separators, a vendor before the name, a release date and an effort level behind it don't count.
-The reference list is a trie: the words of families letter by letter, families word by word,
-below each family its versions, below each version its sizes, with alias paths for short spellings
-of a size. A Levenshtein automaton (with swaps of neighbours) walks a word's letters and returns
-every word of a family within a distance that depends on its length; all words of a family must be
-there, in order; versions must agree; sizes follow alias paths or one wrong letter.
-Of all entries found the closest counts; if two are equally close, or a word behind the name is
-unknown, the value is unmatched.
-
-The list goes to every task, so its size is checked (`MOST_ENTRIES`). Rows aren't shuffled. Two
-entries with the same words, version and size can't be told apart; such a list is refused.
+An entry is read as the words of its family (those before its first number), its numbers in
+order, and its qualifiers (the words after), which stand in any order; a value names an entry if
+its words spell all of the entry's and its numbers are the same. Letter case, width, quotes and
+separators don't count. A release date or an effort level at the end and a vendor in front are
+tried as part of the name first and left out where that names nothing.
+
+All words of all entries are in tries, family words and qualifiers apart, families below that word
+by word. A Levenshtein automaton (with swaps of neighbours) walks a word's letters and returns every
+word within a distance that depends on its length (`budget`). Qualifiers also have alias paths: the
+first letter and some of the consonants behind it. Whole names may have aliases, as a table.
+Of all entries found the one of the smallest distance counts; two equally close ones, or a word
+that is unknown behind the beginning of a family, leave the value unmatched. In front of a family
+words may be left out that are neither qualifiers nor begin a family.
+
+The list goes to every task, so its size is checked (`MOST_ENTRIES`). Rows aren't shuffled. Entries
+that differ in nothing but spelling can't be told apart, so values that name them are unmatched.
 
 Defined cases: null and blank values give no row; values that are an entry literally give no row;
 repeated elements of an array give a row each; an empty reference list leaves all unmatched.
@@ -30,17 +34,18 @@ from tokenloom.functions.text import strip
 
 UNMATCHED = "UNMATCHED"
 MOST_ENTRIES = 100_000
-SIZES = {"mini": ("mini", "mn", "min", "minni"), "small": ("small", "sm", "sml", "smal"), "medium": (), "large": ("large", "lg", "lrg", "larg")}
+# Effort levels, which don't make another model.
 EFFORTS = "minimal|low|medium|high|xhigh|max"
 _EFFORT = re.compile(rf"\s*[(\[]\s*(?:{EFFORTS})(?:[\s_-]*effort)?\s*[)\]]$|[\s@:_/-]+(?:{EFFORTS})(?:[\s_-]*effort)?$")
 _DATE = re.compile(r"[\s@:_-]+20\d\d([-_.]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12]\d|3[01])$")
 _VENDOR = re.compile(r"^(?:[a-z]{2}\.)?[a-z][a-z0-9]*\.(?=[a-z])")
 _TOKEN = re.compile(r"v?\d+(?:[.,_]\d+)*|[^\W\d_]+")
+_VOWELS = frozenset("aeiou")
 _EDGE = " \t\r\n\f\v\"'`“”‘’«».,;:"
 
 
 def budget(length: int) -> int:
-    """How many edits a family's name of this length allows."""
+    """How many edits a word of this length allows."""
     return 0 if length < 4 else 1 if length < 6 else 2 if length < 7 else 3
 
 
@@ -86,82 +91,131 @@ class Trie:
         return found
 
 
-def version_of(text: str) -> str:
+    def abbreviated(self, word: str) -> list[object]:
+        """The values of the words that `word` may stand for: their first letter, then some of
+        their consonants, in order."""
+        if not 2 <= len(word) <= self.longest or _VOWELS & set(word[1:]) or word[0] not in self.root:
+            return []
+        found, stack = [], [(self.root[word[0]], 1)]
+        while stack:
+            node, at = stack.pop()
+            for c, child in node.items():
+                if c == "":
+                    found += [value for value, length in child.items() if at == len(word) < length]
+                else:
+                    # Taking a letter as early as possible loses no abbreviation.
+                    stack.append((child, at + (at < len(word) and c == word[at])))
+        return found
+
+
+def number_of(token: str) -> str:
     """v4.0 -> 4, 3_5 -> 3.5"""
-    parts = re.findall(r"\d+", text)
+    parts = re.findall(r"\d+", token)
     while len(parts) > 1 and not parts[-1].strip("0"):
         parts.pop()
     return ".".join(p.lstrip("0") or "0" for p in parts)
 
 
+def cleaned(text: str) -> str:
+    text = unicodedata.normalize("NFKC", text).lower()
+    return "".join(c for c in text if unicodedata.category(c) != "Cf").strip(_EDGE)
+
+
+def readings(value: str) -> Iterator[str]:
+    """The value, and the value without effort levels, release dates and vendors, the least shortened first."""
+    text = cleaned(value)
+    seen: set[str] = set()
+    while True:
+        name = text.rpartition("/")[2].strip()
+        for reading in (name, _VENDOR.sub("", name)):
+            if reading not in seen:
+                seen.add(reading)
+                yield reading
+        shorter = _EFFORT.sub("", text, count=1).strip(_EDGE)
+        shorter = _DATE.sub("", text).strip(_EDGE) if shorter == text else shorter
+        if shorter == text or not shorter:
+            return
+        text = shorter
+
+
+def tokens(text: str) -> tuple[list[str], str, int]:
+    """Words in order, the numbers, how many words stand before the first number."""
+    words, numbers, before = [], [], -1
+    for token in _TOKEN.findall(text):
+        if token[-1].isdigit():
+            before = len(words) if before < 0 else before
+            numbers.append(number_of(token))
+        elif token != "v":
+            words.append(token)
+    return words, ".".join(numbers), len(words) if before < 0 else before
+
+
 class Reference:
-    def __init__(self, names: list[str]) -> None:
-        self.words, self.sizes = Trie(), Trie()
-        for size, spellings in SIZES.items():
-            for s in spellings:
-                self.sizes.add(s, size)
-        #: words of a family -> version -> size -> entry; also what a family begins with is a key
-        self.below: dict[tuple[str, ...], dict[str, dict[str, str]]] = {}
-        for name in names:
-            words, version, size, _ = self.parts(name)
-            for i, word in enumerate(words):
-                self.words.add(word, word)
-                self.below.setdefault(tuple(words[:i]), {})
-            sizes = self.below.setdefault(tuple(words), {}).setdefault(version, {})
-            if sizes.setdefault(size, name) != name:
-                raise ValueError(f"entries of the reference list say the same: {sizes[size]!r}, {name!r}")
+    def __init__(self, names: list[str], aliases: dict[str, str] | None = None) -> None:
+        """aliases: other spellings of whole entries."""
+        self.literal = frozenset(names)
+        self.family_words, self.qualifiers = Trie(), Trie()
+        #: what families begin with, word by word
+        self.begins: set[tuple[str, ...]] = {()}
+        #: (family, numbers, sorted qualifiers) -> entries
+        self.entries: dict[tuple, set[str]] = {}
+        for spelling, name in [*((n, n) for n in names), *(aliases or {}).items()]:
+            words, numbers, before = tokens(cleaned(spelling).rpartition("/")[2])
+            before = before or min(1, len(words))
+            family, rest = tuple(words[:before]), tuple(sorted(words[before:]))
+            for i, word in enumerate(family):
+                self.family_words.add(word, word)
+                self.begins.add(family[: i + 1])
+            for word in rest:
+                self.qualifiers.add(word, word)
+            if family:
+                self.entries.setdefault((family, numbers, rest), set()).add(name)
         self.match = lru_cache(200_000)(self._match)
-        self.near = lru_cache(50_000)(lambda word: self.words.search(word, budget(self.words.longest), budget))
-
-    def size_of(self, word: str) -> str:
-        found = self.sizes.search(word, 1 if len(word) >= 4 else 0, lambda length: 1 if length >= 4 else 0)
-        return min(found, key=lambda s: (found[s], s)) if found else ""
-
-    def parts(self, value: str) -> tuple[list[str], str, str, bool]:
-        """Words in order, version, size, whether a version or size is given twice."""
-        text = unicodedata.normalize("NFKC", value).lower()
-        text = "".join(c for c in text if unicodedata.category(c) != "Cf").strip(_EDGE)
-        while True:
-            shorter = _DATE.sub("", _EFFORT.sub("", text)).strip(_EDGE)
-            if shorter == text or not shorter:
-                break
-            text = shorter
-        text = _VENDOR.sub("", text.rpartition("/")[2].strip())
-        words, numbers, sizes = [], [], []
-        for token in _TOKEN.findall(text):
-            if token[-1].isdigit():
-                numbers.append(token)
-            elif size := self.size_of(token):
-                sizes.append(size)
-            elif token != "v":
-                words.append(token)
-        twice = len(numbers) > 2 or len(sizes) > 1
-        return words, version_of(".".join(numbers)), sizes[0] if len(sizes) == 1 else "", twice
-
-    def families(self, words: list[str]) -> tuple[dict[tuple[str, ...], int], bool]:
-        """family -> distance of those that all of `words` spell, and whether the first of them spell one."""
-        found: dict[tuple[str, ...], int] = {(): 0}
-        begun = False
+        self.near_family = lru_cache(50_000)(lambda word: self.family_words.search(word, budget(self.family_words.longest), budget))
+        self.near_qualifier = lru_cache(50_000)(self._near_qualifier)
+
+    def _near_qualifier(self, word: str) -> dict[object, int]:
+        found = self.qualifiers.search(word, budget(self.qualifiers.longest), budget)
+        return found if 0 in found.values() else {q: 1 for q in self.qualifiers.abbreviated(word)} | found
+
+    def named(self, text: str, lenient: bool) -> dict[str, int]:
+        """entry -> distance of the entries that a reading names. lenient: in front of a family also
+        words may be left out that nearly, but not exactly, begin one."""
+        words, numbers, _ = tokens(text)
+        states: dict[tuple[tuple[str, ...], tuple[str, ...]], int] = {((), ()): 0}
         for word in words:
-            begun |= any(f and self.below[f] for f in found)
-            found = {longer: d + more for f, d in found.items() for w, more in self.near(word).items() if (longer := (*f, w)) in self.below}
-            if not found:
-                break
-        return {f: d for f, d in found.items() if self.below[f]}, begun
-
-    def _match(self, value: str) -> str:
-        words, version, size, twice = self.parts(value)
-        if twice:
-            return UNMATCHED
-        for i in range(len(words)):
-            families, begun = self.families(words[i:])
-            if begun and not families:
-                return UNMATCHED
-            if families:
-                entries = sorted((distance, name) for family, distance in families.items() if (name := self.below[family].get(version, {}).get(size)))
-                if not entries or len(entries) > 1 and entries[0][0] == entries[1][0]:
-                    return UNMATCHED
-                return entries[0][1]
+            longer: dict[tuple[tuple[str, ...], tuple[str, ...]], int] = {}
+            family, qualifiers = self.near_family(word), self.near_qualifier(word)
+            begins = [d for w, d in family.items() if (w,) in self.begins]
+            idle = not qualifiers and (not begins or lenient and 0 not in begins)
+            for (f, q), cost in states.items():
+                then = [((*f, w), q, cost + d) for w, d in family.items() if (*f, w) in self.begins]
+                then += [(f, tuple(sorted((*q, w))), cost + d) for w, d in qualifiers.items()]
+                if not f and idle:
+                    then.append((f, q, cost))
+                for g, r, c in then:
+                    if c < longer.get((g, r), 1_000_000):
+                        longer[g, r] = c
+            states = longer
+            if not states:
+                return {}
+        out: dict[str, int] = {}
+        for (f, q), cost in states.items():
+            for name in self.entries.get((f, numbers, q), ()):
+                out[name] = min(cost, out.get(name, cost))
+        return out
+
+    def _match(self, value: str) -> str | None:
+        """The entry, UNMATCHED, or null for a value that is an entry literally."""
+        if value in self.literal:
+            return None
+        for lenient in (False, True):
+            for text in readings(value):
+                found = self.named(text, lenient)
+                if found:
+                    best = min(found.values())
+                    closest = [name for name, d in found.items() if d == best]
+                    return closest[0] if len(closest) == 1 else UNMATCHED
         return UNMATCHED
 
 
@@ -172,22 +226,33 @@ def reference_names(entries: DataFrame, name: str = "model_name") -> list[str]:
     return names
 
 
-def mapped(values: DataFrame, names: list[str], value: str = "raw_value") -> DataFrame:
+def alias_table(aliases: DataFrame | None, alias: str = "alias", name: str = "model_name") -> dict[str, str]:
+    """The other spellings of entries, as bounded as the entries are; of one that is given twice the first entry counts."""
+    if aliases is None:
+        return {}
+    rows = aliases.where(F.col(alias).isNotNull() & F.col(name).isNotNull()).groupBy(alias).agg(F.min(name)).limit(MOST_ENTRIES + 1).collect()
+    if len(rows) > MOST_ENTRIES:
+        raise ValueError(f"there are at most {MOST_ENTRIES} aliases")
+    return {r[0]: r[1] for r in rows}
+
+
+def mapped(values: DataFrame, names: list[str], value: str = "raw_value", aliases: DataFrame | None = None) -> DataFrame:
     """`values` with the entry that each non-blank value names as `model_name`; literal entries
-    left out. A column that already has this name is replaced."""
+    left out. A column that already has this name is replaced. aliases: alias, model_name."""
     values = values.drop(*(c for c in values.columns if c.lower() == "model_name"))
-    Reference(names)  # refuses what it can't tell apart before any task runs
-    rows = values.where(F.col(value).isNotNull() & (strip(F.col(value)) != "") & (~F.col(value).isin(names) if names else F.lit(True)))
+    other = alias_table(aliases)
+    rows = values.where(F.col(value).isNotNull() & (strip(F.col(value)) != ""))
     schema = rows.schema.simpleString()[len("struct<") : -1].replace(":", " ")
     columns = rows.columns
     at = columns.index(value)
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reference = Reference(names)
+        reference = Reference(names, other)
         for batch in batches:
             coded = batch.column(at).dictionary_encode()
             entries = pa.array([reference.match(v) for v in coded.dictionary.to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns, entries.take(coded.indices)], [*columns, "model_name"])
+            out = pa.RecordBatch.from_arrays([*batch.columns, entries.take(coded.indices)], [*columns, "model_name"])
+            yield out.filter(out.column(len(columns)).is_valid())
 
     return rows.mapInArrow(match, f"{schema}, model_name string")
 
