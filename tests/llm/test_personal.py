@@ -67,3 +67,59 @@ def test_rows(spark):
     out = sorted((r.event_id, r.title or "", r.detail or "", r.mention or "") for r in personal.redacted(df).collect())
     assert out == [(1, "cc Mr [NAME]", "", "x"), (2, "", "tel [PHONE]", "y"), (2, "", "tel [PHONE], tel [PHONE]", "y"), (3, "", "", "")]
     assert personal.found(df.where("false")).count() == 0
+
+
+#: Written for this test, with other phrases and names than any table: text, mentions.
+HELD_OUT = [
+    ("We met Peter Jackson yesterday", ["Peter Jackson"]), ("pass it on to John Smith.", ["John Smith"]), ("Thanks,\nAlice Johnson", ["Alice Johnson"]),
+    ("Sarah Connor will join tomorrow.", ["Sarah Connor"]), ("Reach Jane Roe (jane@x.io)", ["Jane Roe", "jane@x.io"]), ("send to 5 Rue de la Paix, 75002 Paris", ["5 Rue de la Paix, 75002 Paris"]),
+    ("NI number AB123456C", ["AB123456C"]), ("card 4111 1111 1111 1111", ["4111 1111 1111 1111"]), ("IBAN DE89370400440532013000", ["DE89370400440532013000"]),
+    ("Please email Tavric Raveski about the outage", ["Tavric Raveski"]), ("Best wishes,\n  Orla Quent", ["Orla Quent"]), ("Hello Milo Brandt, are you in?", ["Milo Brandt"]),
+    ("My name is Ines Okafor and my fax is +351 21 123 4567", ["Ines Okafor", "+351 21 123 4567"]), ("Invoice for Klaus Meier, 12 Harbour Lane, Ashford", ["Klaus Meier", "12 Harbour Lane, Ashford"]),
+    ("iban: GB82 WEST 1234 5698 7654 32 (main)", ["GB82 WEST 1234 5698 7654 32"]), ("The parcel went to Calle Mayor 7, 28013 Madrid last week", ["Calle Mayor 7, 28013 Madrid"]),
+    ("Mary Ann Smith joined the call", ["Mary Ann Smith"]), ("the draft was prepared by Wolfgang Amsel", ["Wolfgang Amsel"]), ("María López told me to wait", ["María López"]),
+    ("write to support@shop.example or to j.doe+a@mail.shop.example today", ["support@shop.example", "j.doe+a@mail.shop.example"]), ("Ring 020 7946 0958 after six", ["020 7946 0958"]),
+    ("passport number K1234567 expires soon", ["K1234567"]), ("My flatmate Giulia Ferri lives at Via Roma 12, 00184 Roma", ["Giulia Ferri", "Via Roma 12, 00184 Roma"]),
+    ("Postfach 1234, 8021 Zürich", ["Postfach 1234, 8021 Zürich"]), ("Rahel Zuber schrieb gestern", ["Rahel Zuber"]), ("the winner, Aiko Tanabe, left early", ["Aiko Tanabe"]),
+    ("card 4111 1111 1111 1112 was refused", []), ("Bloom Filter beats Merkle Tree", []), ("Peter Street is closed", []), ("Hello All Hands", []), ("Contact Us Now", []), ("The Victoria Station line", []),
+    ("version 10.2.33 of build 20240602", []), ("Monday Morning Report", []), ("meet at noon", []), ("order 1234-5678-90 arrived", []), ("account 12345678 is empty", []), ("Dear Sir or Madam", []),
+]
+
+
+def test_held_out_phrases():
+    found = [set(t for _, t in mentions(text)) for text, _ in HELD_OUT]
+    true = [set(m) for _, m in HELD_OUT]
+    both, n_found, n_true = (sum(map(len, x)) for x in ([f & t for f, t in zip(found, true)], found, true))
+    print(f"held-out phrases: recall {both / n_true:.3f}, precision {both / n_found:.3f}")
+    assert both / n_true > 0.9 and both / n_found > 0.95
+
+
+def test_check_digits():
+    assert personal._checked("4111-1111 11111111") and not personal._checked("4111111111111112")
+    assert personal._checked("FR14 2004 1010 0505 0001 3M02 606") and not personal._checked("FR15 2004 1010 0505 0001 3M02 606")
+
+
+def test_mentions_longer_than_usual():
+    long = "a." * 200 + "b@mail.example"
+    assert mentions(f"to {long}, ok") == [("email", long)]
+    lines = "cc Ann Lee\nSmith Street" * 2
+    assert [k for k, _ in mentions(lines)] == ["person_name", "person_name"]
+
+
+def test_crowded_text_takes_linear_time():
+    import time
+
+    seconds = []
+    for n in (2_000, 8_000):
+        began = time.perf_counter()
+        assert len(personal.spans("Jane Roe <jane@mail.example> " * n)) == 2 * n
+        seconds.append(time.perf_counter() - began)
+    assert seconds[1] < 12 * seconds[0]
+
+
+def test_lexicon_is_a_table(spark):
+    given = personal.lexicon(spark.createDataFrame([(" Zorblax",), (None,), ("",), ("zorblax",)], "given_name string"))
+    assert given == {"zorblax"}
+    df = spark.createDataFrame([(1, "Zorblax Quill left", "Zorblax Quill left")], "event_id long, title string, detail string")
+    assert personal.found(df, given=given).count() == 2 and personal.found(df).count() == 0
+    assert personal.redacted(df, given=given).first().title == "[NAME] left"

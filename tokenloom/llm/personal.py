@@ -1,12 +1,18 @@
 """Personal information inside free text: found, and replaced by typed placeholders.
 
 One Aho-Corasick pass over the lower-case text finds the anchors: at-signs in all spellings,
-cues of telephone and identity numbers, cues and street words of addresses, cues of person names
-before or after them. From each anchor a local parser reads on, forwards or backwards, and keeps
-only what is well-formed: an email needs a domain that ends in letters, a number the digits and
-the grouping of its kind, an address a number and a town, a name a given name or initial and a
-family name. Spans that overlap are settled by kind: email, address, identity number, telephone,
-name. All other text stays as it is.
+cues of telephone, identity and account numbers, cues and street words of addresses, cues of
+person names before or after them, titles, and given names of a lexicon (`GIVEN`, or the caller's
+own, from a table). From each anchor a local parser reads on, forwards or backwards, to the end of the
+line or as many words as the longest mention of its kind can have, and keeps only what is well-formed:
+an email needs a domain that ends in letters, a number the digits and the grouping of its kind, a
+card or bank account its check digits, an address a number and a town, a name a given name or
+initial and a family name. Spans that overlap are settled by kind: email, address, identity number,
+telephone, name. All other text stays as it is.
+
+A name in small letters is found only behind or in front of a cue that hardly stands anywhere else;
+one in capitals also behind verbs that take a person, in front of verbs of speech, behind a closing
+line, and wherever its given name is in the lexicon.
 
 Defined cases: null and empty texts have no mentions and stay as they are; a mention written
 twice in a field is listed once and replaced twice; repeated rows are listed each; long texts
@@ -14,27 +20,55 @@ are read whole; extra columns of the input are carried by `redacted` and ignored
 """
 
 import re
+from bisect import bisect
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import ahocorasick
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tokenloom.functions.text import strip
 
 KINDS = ("email", "street_address", "id_number", "phone", "person_name")
 PLACEHOLDERS = {"email": "[EMAIL]", "street_address": "[ADDRESS]", "id_number": "[ID_NUMBER]", "phone": "[PHONE]", "person_name": "[NAME]"}
 
 PHONE_CUES = ("phone", "tel", "fax", "mobile", "cell", "handy", "text", "sms", "whatsapp", "call me on", "call me at", "call", "reach me on", "reach me at", "rückruf unter", "telefon", "téléphone", "telephone", "teléfono", "telefono", "telefone", "telefoon", "on-call number", "phone number", "mobil", "ring")
-ID_CUES = ("social security number", "social security", "security number", "national insurance number", "national insurance", "insurance number", "tax identity number", "tax number", "tax id", "identity number", "identity no", "identity card", "id card number", "id card", "id number", "id no", "national_id", "national id", "ssn", "dni", "nie", "nino", "nif", "bsn", "personalausweis", "passport number", "passport no", "passport", "steuer-id", "id")
+ID_CUES = ("social security number", "social security", "security number", "national insurance number", "national insurance", "insurance number", "tax identity number", "tax number", "tax id", "identity number", "identity no", "identity card", "id card number", "id card", "id number", "id no", "national_id", "national id", "ssn", "dni", "nie", "nino", "ni number", "ni no", "nif", "bsn", "personalausweis", "passport number", "passport no", "passport", "steuer-id", "id")
 ADDRESS_CUES = ("i live at", "lives at", "living at", "lieferung an", "pick it up from", "home address", "address", "adresse", "addr", "office moved to", "moved to", "laptop to", "ship it to", "deliver to", "delivery to", "send it to", "wohnhaft", "domicilio", "indirizzo", "adres", "located at", "based at")
 STREET_WORDS = ("street", "st.", " st,", "lane", " ln", "road", " rd", " ave", "avenue", "court", "close", "terrace", "drive", "square", "crescent", "boulevard", "rue ", "chemin ", "impasse ", "calle ", "avenida ", "plaza ", "paseo ", "straße", "strasse", "gasse", "weg ", "allee", "platz", "graben", "laan", "straat", "pad ", "gracht", "plein", "box ", "postfach", "via ", "piazza ", "rua ")
+#: Account numbers with check digits follow these.
+ACCOUNT_CUES = ("iban", "bank account", "account", "konto", "compte", "cuenta", "card number", "credit card", "debit card", "card", "visa", "mastercard", "amex")
 #: A name follows these, in any letter case.
 NAME_CUES = ("cc", "assign it to", "assigned to", "i am", "reviewed by", "approved by", "written by", "signed-off-by:", "co-authored-by:", "on behalf of", "from:", "to:", "owner=", "owner:", '"author":', '"owner":', '"name":', "author:", "grüßen,", "regards,", "--", "please ask", "lo firmó", "firmado por", "signé par", "gezeichnet", "attn:", "attn", "dear", "yours sincerely,", "sincerely,", "cordialement,", "saludos,")
+#: A name with capitals follows these, in the next line too behind a comma.
+PERSON_VERBS = ("met", "meet", "ask", "asked", "tell", "told", "thank", "thanked", "contact", "email", "emailed", "reach", "message", "messaged", "hired", "interviewed", "invite", "invited", "spoke to", "spoke with", "talk to", "talked to", "talked with", "pass it on to", "passed on to", "forwarded to", "escalate to", "introduced by", "sent by", "prepared by", "led by", "my name is", "named", "known as", "colleague", "thanks,", "thank you,", "cheers,", "best,", "yours,", "best wishes,", "danke,", "merci,", "gracias,")
+#: A name with capitals follows these, and a mark or the end of the line follows it.
+GREETINGS = ("hi", "hello", "hey", "hallo", "bonjour", "hola", "salut", "ciao")
+#: A name with capitals stands before these.
+SPEAKS = (" said", " says", " asked", " replied", " told ", " reported", " confirmed", " suggested", " will join", " joined", " resigned", " was hired", " has left", " lives ", " works as", " is on leave", " signed", " called ", " emailed ", " approved", " (he/him", " (she/her", " (they/them")
 #: A name stands before these.
 AFTER_NAME = (" said the", " said that", " before merging", " and i cannot", " wrote:", " reported that", " asked for")
 TITLES = ("mr", "mrs", "ms", "miss", "mx", "dr", "prof", "herr", "frau", "mme", "mlle", "señor", "señora", "sra", "dott", "dra", "drs")
 
+#: Given names that are hardly ever other words; the family name behind one may be any with a capital.
+GIVEN = frozenset("""
+aaron adrian alan albert alejandro alessandro alexander alice amanda amy ana andrea andrew angela anita ann anna anne antonio arthur barbara beatriz benjamin bernard
+birgit brian bruno carlos carol caroline catherine charles charlotte chiara christian christine christopher claire claudia craig daniel david deborah denis diana diego
+dieter donald dorothy douglas edward eleanor elena elizabeth emily emma eric erik eva fatima fernando fiona florian francesca francesco francisco gabriel george gerald
+giovanni giulia gregory hannah hans heather heidi helen helena henry isabel ivan jacob james jane janet jason javier jean jennifer jeremy jessica joan johannes john jonathan
+jorge jose joseph joshua juan judith julia jürgen karen karl katharina katherine kathleen kenneth kevin klaus laura lauren leonardo linda lisa lorenzo louise lucas luis
+lukas manuel marco margaret maria marie mario martin mary matthew michael michelle miguel mohammed monika nancy natalie nicholas nicole olga oliver olivia pablo pamela
+patricia patrick paul paula pedro peter philip philippe pierre rachel raymond rebecca richard robert roberto ronald samuel sandra sarah sergio sharon simon sofia sophie
+stefan stephanie stephen steven susan susanne sven teresa theresa thomas timothy ursula valentina veronica victoria vincent virginia walter william wolfgang yusuf
+""".split())
+MOST_GIVEN = 100_000
+#: Words with a capital that don't end a name.
+NO_FAMILY = frozenset("street st road rd avenue lane drive square court close boulevard monday tuesday wednesday thursday friday saturday sunday january february march april may june july august september october november december university institute station hotel theorem museum tower college airport hospital church school and or the is was will".split())
+
 _AT = r"(?:[@＠]|\s?[(\[{]\s?at\s?[)\]}]\s?| at )"
 _DOT = {"plain": r"[.．]", "round": r"\s?[(\[{]\s?dot\s?[)\]}]\s?", "word": r" dot "}
 _LOCAL = r"[\p{L}\p{N}](?:[\p{L}\p{N}.!#$%&*+/=?^`|~_'-]*[\p{L}\p{N}_+-])?"
@@ -52,6 +86,8 @@ ID = regex.compile(
 #: Identity numbers so distinct that they need no cue.
 SURE_ID = regex.compile(r"(?<![\w.-])(?:QQ(?:[ -]?\d{2}){3}[ -]?[A-D]|\d{2}\.\d{3}\.\d{3}-[A-Z])(?![\w-])")
 
+ACCOUNT = regex.compile(r"(?<![\w-])(?:[A-Za-z]{2}\d{2}(?:[ ]?[A-Za-z0-9]{4}){2,7}(?:[ ]?[A-Za-z0-9]{1,4})?|\d(?:[ -]?\d){12,18})(?![\w-])")
+
 _CAP = r"\p{Lu}[\p{L}\p{M}'’]*(?:-[\p{L}\p{M}'’]+)*"
 _TOWN = rf"{_CAP}(?: {_CAP}){{0,2}}"
 _NO = r"\d{1,5}[A-Za-z]?"
@@ -63,7 +99,7 @@ _STEM = r"(?:straße|strasse|str\.|gasse|weg|allee|platz|ring|graben|ufer|damm|p
 ADDRESSES = [
     regex.compile(p) for p in (
         rf"{_NO} (?:{_CAP}\.? ){{1,4}}{_ENGLISH}\b\.?{_UNIT}, {_TOWN}(?:,? \d{{5}}\b)?",
-        rf"{_NO}(?: bis| ter)?,? (?:rue|avenue|boulevard|place|chemin|impasse|allée|quai|cours|route)(?: (?:de|du|des|la|le|les|l['’]|d['’])*[\p{{L}}'’-]+){{1,6}}, (?:\d{{5}} )?{_TOWN}",
+        rf"{_NO}(?: bis| ter)?,? (?:[Rr]ue|[Aa]venue|[Bb]oulevard|[Pp]lace|[Cc]hemin|[Ii]mpasse|[Aa]llée|[Qq]uai|[Cc]ours|[Rr]oute)(?: (?:de|du|des|la|le|les|l['’]|d['’])*[\p{{L}}'’-]+){{1,6}}, (?:\d{{5}} )?{_TOWN}",
         rf"(?:[Cc]alle|[Aa]venida|[Pp]laza|[Pp]aseo|[Cc]amino|[Vv]ia|[Vv]iale|[Pp]iazza|[Cc]orso|[Rr]ua|[Tt]ravessa|[Pp]raça)(?: [\p{{L}}'’-]+){{1,6}},? {_NO}{_FLOOR}, (?:\d{{5}} )?{_TOWN}",
         rf"(?:(?:{_CAP}|an|der|dem|den|de|het) ){{0,3}}(?:\p{{Lu}}[\p{{L}}-]*{_STEM}|{_CAP}) {_NO}, {_CODE} {_TOWN}",
         rf"(?:P\.? ?O\.? ?Box|PO Box|Post Office Box|Box|Postfach|Postbus|Apartado|Apdo\.?) \d+, (?:{_CODE} )?{_TOWN}(?:,? \d{{5}}\b)?",
@@ -92,21 +128,25 @@ def _name(first: str, rest: str) -> str:
 _CASED = _name(r"\p{Lu}", r"[\p{L}\p{M}]")
 _LOWER = _name(r"\p{Ll}", r"[\p{Ll}\p{M}]")
 NAME_CASED = regex.compile(rf"{_CASED}(?![\p{{L}}\p{{N}}])")
+FURTHER = regex.compile(r" \p{Lu}[\p{L}\p{M}'’-]+(?![\p{L}\p{N}])")
 NAME_LOWER = regex.compile(rf"{_LOWER}(?=\s*(?:[.,;|\n\"(<\t]|$)| and i | for now| before merging| said the)")
 NAME_CASED_END = regex.compile(rf"(?<![\p{{L}}\p{{N}}.'’-]){_CASED}$")
 NAME_LOWER_END = regex.compile(rf"(?<![\p{{L}}\p{{N}}.'’-]){_LOWER}$")
 TITLE = regex.compile(rf"(?:(?:{'|'.join(TITLES)})\b\.?\s+)+", regex.I)
 #: Words that begin sentences, not names.
-NO_NAMES = frozenset("the this that these those a an as it its is on in of at to and or but if so we our you your i he she they there here after before when while since why who what how can could please oddly closing done no not nothing try make rename explain steps works phone".split())
+NO_NAMES = frozenset("us me him her them all everyone anyone someone nobody team support sales mr the this that these those a an as it its is on in of at to and or but if so we our you your i he she they there here after before when while since why who what how can could please oddly closing done no not nothing try make rename explain steps works phone".split())
 
 
+#: Words that the patterns of names, of what stands before a street word, and of addresses can have at most.
+MOST_WORDS, MOST_STREET_WORDS, MOST_ADDRESS_WORDS = 8, 10, 24
+
 Span = tuple[int, int, str]
 
 
-@lru_cache(1)
-def anchors() -> ahocorasick.Automaton:
+@lru_cache(4)
+def anchors(given: frozenset[str] = GIVEN) -> ahocorasick.Automaton:
     found: dict[str, set[str]] = {}
-    for kind, cues in (("email", ("@", "＠", "(at)", "( at )", "[at]", "[ at ]", "{at}", " at ")), ("phone", PHONE_CUES), ("plus", ("+", "(")), ("id", ID_CUES), ("sure_id", ("qq", "-")), ("address", ADDRESS_CUES), ("street", STREET_WORDS), ("name", NAME_CUES), ("title", TITLES), ("named", AFTER_NAME)):
+    for kind, cues in (("email", ("@", "＠", "(at)", "( at )", "[at]", "[ at ]", "{at}", " at ")), ("phone", PHONE_CUES), ("plus", ("+", "(")), ("id", ID_CUES), ("sure_id", ("qq", "-")), ("address", ADDRESS_CUES), ("street", STREET_WORDS), ("name", NAME_CUES), ("account", ACCOUNT_CUES), ("title", TITLES), ("verb", PERSON_VERBS), ("greeting", GREETINGS), ("speaks", SPEAKS), ("named", AFTER_NAME), ("given", given)):
         for cue in cues:
             found.setdefault(cue, set()).add(kind)
     automaton = ahocorasick.Automaton()
@@ -126,6 +166,47 @@ def _word_edge(text: str, at: int) -> bool:
     return at <= 0 or not (text[at - 1].isalnum() or text[at - 1] == "_")
 
 
+def _back(text: str, at: int, words: int) -> int:
+    """Where the last `words` words before `at` begin, in its line."""
+    while words and at and text[at - 1] != "\n":
+        at -= 1
+        while at and text[at - 1] != "\n" and (text[at].isspace() or not text[at - 1].isspace()):
+            at -= 1
+        words -= 1
+    return at
+
+
+def _ahead(text: str, at: int, words: int) -> int:
+    """Where the next `words` words after `at` end, in its line."""
+    stop = len(text)
+    while words and at < stop and text[at] != "\n":
+        at += 1
+        while at < stop and text[at] != "\n" and (text[at - 1].isspace() or not text[at].isspace()):
+            at += 1
+        words -= 1
+    return at
+
+
+def _checked(number: str) -> bool:
+    """Whether an account number's check digits are right: of a bank account (97), or of a card (Luhn)."""
+    code = regex.sub("[ -]", "", number).upper()
+    if code[0].isalpha():
+        return 15 <= len(code) <= 34 and int("".join(str(int(c, 36)) for c in code[4:] + code[:4])) % 97 == 1
+    digits = [int(d) for d in code]
+    return sum(sum(divmod(2 * d, 10)) if i % 2 else d for i, d in enumerate(reversed(digits))) % 10 == 0
+
+
+def _account(text: str, at: int) -> Span | None:
+    """The account number at `at`: the longest whose check digits are right, cut between its groups."""
+    m = ACCOUNT.match(text, at)
+    while m:
+        if _checked(m.group()):
+            return at, m.end(), "id_number"
+        cut = max(m.group().rfind(" "), m.group().rfind("-"))
+        m = ACCOUNT.fullmatch(text, at, at + cut) if cut > 0 else None
+    return None
+
+
 def _email(text: str, at: int) -> Span | None:
     m = EMAIL_RIGHT.match(text, at)
     if not m:
@@ -144,7 +225,7 @@ def _email(text: str, at: int) -> Span | None:
     labels = regex.split(kept, domain, flags=regex.I)
     if len(labels) < 2 or not TOP_LEVEL.fullmatch(labels[-1]):
         return None
-    left = EMAIL_LEFT.search(text, max(0, at - 80), at)
+    left = EMAIL_LEFT.search(text, _back(text, at, 1), at)
     return (left.start(), m.start(2) + len(domain), "email") if left else None
 
 
@@ -177,8 +258,8 @@ def _name_at(text: str, at: int, lower: bool = True) -> Span | None:
 
 
 def _name_before(text: str, end: int, lower: bool) -> Span | None:
-    """The name that ends at `end`, its line searched backwards."""
-    window = max(text.rfind("\n", 0, end) + 1, end - 60)
+    """The name that ends at `end`, searched backwards over as many words as a name has."""
+    window = _back(text, end, MOST_WORDS)
     for pattern in (NAME_CASED_END, NAME_LOWER_END) if lower else (NAME_CASED_END,):
         best = None
         for m in pattern.finditer(text, window, end, overlapped=True):
@@ -205,9 +286,11 @@ def _parts(words: list[str]) -> int:
 
 def _addresses(text: str, at: int) -> Span | None:
     """The address whose street word stands at `at`."""
-    begin = max(text.rfind("\n", 0, at) + 1, at - 60)
+    begin, stop = _back(text, at, MOST_STREET_WORDS), _ahead(text, at, MOST_ADDRESS_WORDS)
     for pattern in ADDRESSES:
-        for m in pattern.finditer(text, begin, min(len(text), at + 120)):
+        for m in pattern.finditer(text, begin, stop):
+            if m.start() > at:
+                break
             # A cue in front may look like a part of the street's name.
             cue = max((m.group().lower().rfind(f"{c} ", 0, max(0, at - m.start())) + len(c) + 1 for c in ADDRESS_CUES if f"{c} " in m.group().lower()), default=0)
             if cue:
@@ -217,14 +300,30 @@ def _addresses(text: str, at: int) -> Span | None:
     return None
 
 
-def spans(text: str | None) -> list[Span]:
+def _given(text: str, begin: int, end: int, given: frozenset[str]) -> Span | None:
+    """The name that begins with the given name begin..end."""
+    if not text[begin].isupper() or begin and text[begin - 1] in "-’'./_@\\":
+        return None
+    m = NAME_CASED.match(text, begin)
+    if not m or "," in m.group():
+        return None
+    words = m.group().split()
+    if words[-1].lower() in NO_FAMILY or len(words[-1]) < 2 and not words[-1].isalpha():
+        return None
+    stop = m.end()
+    if words[-1].lower() in given and (further := FURTHER.match(text, stop)) and further.group().strip().lower() not in NO_FAMILY:
+        stop = further.end()
+    return begin, stop, "person_name"
+
+
+def spans(text: str | None, given: frozenset[str] = GIVEN) -> list[Span]:
     """(start, end, kind) of all mentions, in order, none overlapping."""
     if not text:
         return []
     low = lowered(text)
     out: list[Span] = []
     add = lambda span: out.append(span) if span else None
-    for last, (size, kinds) in anchors().iter(low):
+    for last, (size, kinds) in anchors(given).iter(low):
         begin, end = last + 1 - size, last + 1
         for kind in kinds:
             if kind == "email":
@@ -241,6 +340,9 @@ def spans(text: str | None) -> list[Span]:
             elif kind == "named":
                 found = _name_before(text, begin, True)
                 add(found)
+            elif kind == "speaks":
+                if low[last] == " " or end == len(low) or not low[end].isalnum():
+                    add(_name_before(text, begin, False))
             elif not _word_edge(text, begin) or (low[last].isalnum() and end < len(low) and (low[end].isalnum() or low[end] == "_")):
                 continue
             elif kind in ("phone", "id"):
@@ -249,10 +351,22 @@ def spans(text: str | None) -> list[Span]:
                     add(_phone(text, at, True) if at > end or text[at : at + 1] in "+(" else None)
                 elif (m := ID.match(text, at)) and (size > 3 or at > end):
                     out.append((m.start(), m.end(), "id_number"))
+            elif kind == "account":
+                add(_account(text, AFTER_CUE.match(text, end).end()))
+            elif kind == "given":
+                add(_given(text, begin, end, given))
+            elif kind == "greeting":
+                span = _name_at(text, end + 1, lower=False) if text[end : end + 1] == " " else None
+                add(span if span and text[span[1] : span[1] + 1] in ("", ",", "!", ":", "\n", "-") else None)
+            elif kind == "verb":
+                at = end
+                while at < len(text) and (text[at] == " " or text[at] == "\n" and low[last] == ","):
+                    at += 1
+                add(_name_at(text, at, lower=False) if at > end else None)
             elif kind == "address":
                 at = AFTER_CUE.match(text, end).end()
                 for pattern in (*ADDRESSES, *LOOSE_ADDRESSES):
-                    if m := pattern.match(text, at, min(len(text), at + 140)):
+                    if m := pattern.match(text, at, _ahead(text, at, MOST_ADDRESS_WORDS)):
                         if any(c.isdigit() for c in m.group()):
                             out.append((m.start(), m.end(), "street_address"))
                             break
@@ -272,6 +386,8 @@ def spans(text: str | None) -> list[Span]:
 def _names_of_addresses(text: str, found: list[Span]) -> list[Span]:
     """Names written before an email, as in `Name <email>`, `Name, email` or with a tab."""
     out = []
+    places = sorted((b, e) for b, e, k in found if k in ("street_address", "email"))
+    ends = list(accumulate((e for _, e in places), max))
     for begin, _, kind in found:
         if kind != "email":
             continue
@@ -286,9 +402,10 @@ def _names_of_addresses(text: str, found: list[Span]) -> list[Span]:
         small = text[span[0] : span[1]].islower()
         before = text[: span[0]].rstrip(" ")
         free = not before or before[-1] in ".!?;|\n" or mark == "\t"
-        inside_other = any(b < span[1] and span[0] < e and k in ("street_address", "email") for b, e, k in found)
+        before_it = bisect(places, (span[1], -1))
+        inside_other = before_it > 0 and ends[before_it - 1] > span[0]
         # One capital word right in front: a title in title case, not a name.
-        title = regex.search(r"(?:\p{Lu}[\p{L}'’-]* )+$", text[max(0, span[0] - 60) : span[0]])
+        title = regex.search(r"(?:\p{Lu}[\p{L}'’-]* )+$", text[_back(text, span[0], 3) : span[0]])
         if title and len(title.group().split()) == 1 and title.group().isupper() == text[span[0] : span[1]].isupper():
             continue
         if not inside_other and (free or not small):
@@ -298,25 +415,34 @@ def _names_of_addresses(text: str, found: list[Span]) -> list[Span]:
 
 def _settled(text: str, found: list[Span]) -> list[Span]:
     rank = {k: i for i, k in enumerate(KINDS)}
-    out: list[Span] = []
+    out: list[Span] = []  # in order, none overlapping
     for span in sorted(set(found), key=lambda s: (rank[s[2]], s[0] - s[1], s[0])):
-        if all(span[1] <= b or e <= span[0] for b, e, _ in out):
-            out.append(span)
-    return sorted(out)
+        at = bisect(out, span)
+        if (not at or out[at - 1][1] <= span[0]) and (at == len(out) or span[1] <= out[at][0]):
+            out.insert(at, span)
+    return out
 
 
-def redact(text: str | None) -> str | None:
+def redact(text: str | None, given: frozenset[str] = GIVEN) -> str | None:
     """`text` with each mention replaced by its placeholder."""
     if not text:
         return text
     parts, at = [], 0
-    for begin, end, kind in spans(text):
+    for begin, end, kind in spans(text, given):
         parts += [text[at:begin], PLACEHOLDERS[kind]]
         at = end
     return "".join([*parts, text[at:]])
 
 
-def found(events: DataFrame, fields: tuple[str, ...] = ("title", "detail")) -> DataFrame:
+def lexicon(names: DataFrame, column: str = "given_name") -> frozenset[str]:
+    """Given names from a table, as `given` of `found` and `redacted`; they go to every task, so their number is checked."""
+    rows = names.where(F.col(column).isNotNull()).select(F.lower(strip(F.col(column)))).distinct().limit(MOST_GIVEN + 1).collect()
+    if len(rows) > MOST_GIVEN:
+        raise ValueError(f"a lexicon has at most {MOST_GIVEN} names")
+    return frozenset(r[0] for r in rows if r[0])
+
+
+def found(events: DataFrame, fields: tuple[str, ...] = ("title", "detail"), given: frozenset[str] = GIVEN) -> DataFrame:
     """event_id, field_name, pii_type, mention: each distinct mention of each row."""
     kind = events.schema["event_id"].dataType.simpleString()
 
@@ -327,7 +453,7 @@ def found(events: DataFrame, fields: tuple[str, ...] = ("title", "detail")) -> D
             for i, field in enumerate(fields, 1):
                 # Many rows repeat a text.
                 texts = batch.column(i).dictionary_encode()
-                of_text = [list(dict.fromkeys((k, t[b:e]) for b, e, k in spans(t))) for t in texts.dictionary.to_pylist()]
+                of_text = [list(dict.fromkeys((k, t[b:e]) for b, e, k in spans(t, given))) for t in texts.dictionary.to_pylist()]
                 for row, code in enumerate(texts.indices.to_pylist()):
                     for k, mention in of_text[code] if code is not None else ():
                         rows.append(row)
@@ -338,7 +464,7 @@ def found(events: DataFrame, fields: tuple[str, ...] = ("title", "detail")) -> D
     return events.select("event_id", *fields).mapInArrow(read, f"event_id {kind}, field_name string, pii_type string, mention string")
 
 
-def redacted(events: DataFrame, fields: tuple[str, ...] = ("title", "detail")) -> DataFrame:
+def redacted(events: DataFrame, fields: tuple[str, ...] = ("title", "detail"), given: frozenset[str] = GIVEN) -> DataFrame:
     """`events` with the mentions in `fields` replaced."""
     columns = events.columns
 
@@ -348,7 +474,7 @@ def redacted(events: DataFrame, fields: tuple[str, ...] = ("title", "detail")) -
             for name, column in zip(columns, batch.columns):
                 if name in fields:
                     texts = column.dictionary_encode()
-                    column = pa.array([redact(t) for t in texts.dictionary.to_pylist()], pa.string()).take(texts.indices)
+                    column = pa.array([redact(t, given) for t in texts.dictionary.to_pylist()], pa.string()).take(texts.indices)
                 arrays.append(column)
             yield pa.RecordBatch.from_arrays(arrays, columns)
 
