@@ -47,12 +47,40 @@ def test_empty_table(spark):
     assert found(df) == [] and drift.union_schema(df) == {}
 
 
-@pytest.mark.parametrize("a, b, same", [
-    ("tokens.cache_write_5m", "tokens.cache_creation.ephemeral_5m", True), ("tokens.cache_write_5m", "tokens.cache_write_1h", False), ("counters.cached_input", "counters.cache_read_input", True),
-    ("exporter_version", "format.version", False), ("bundle_version", "schemaVersion", True), ("event.ts", "event.timestamp", True), ("tokens.input", "counters.cached_input_tokens", False),
-    ("event.session", "event.event_id", False), ("device.name", "device.label", True), ("counters.output", "tokens.output_tokens", False)])
-def test_names_that_say_the_same(a, b, same):
-    assert (drift.similarity(a, b) >= drift.LEAST) == same == (drift.similarity(b, a) >= drift.LEAST)
+PATHS = {"tokens.cache_write_5m", "tokens.cache_write_1h", "tokens.input", "counters.cached_input", "counters.output", "exporter_version", "event.ts", "event.id", "event.session", "device.id", "device.name"}
+SAMPLES = {"n": [0, 5, 7000], "v": [1, 1], "time": [1_736_947_977, 1_736_950_351], "dotted": ["0.4.2"], "box": ["Work machine"], "id": ["fallback:v1:96ad:0"], "hex": ["299e-ede"], "none": []}
+
+
+@pytest.mark.parametrize("a, kind_a, b, kind_b, same", [
+    ("tokens.cache_write_5m", "n", "tokens.cache_creation.ephemeral_5m", "n", True), ("tokens.cache_write_5m", "n", "tokens.cache_write_1h", "n", False), ("counters.cached_input", "n", "counters.cache_read_input", "n", True),
+    ("exporter_version", "dotted", "format.version", "v", False), ("bundle_version", "v", "schemaVersion", "v", True), ("event.ts", "time", "event.timestamp", "time", True), ("event.session", "hex", "event.event_id", "id", False),
+    ("device.name", "box", "device.label", "box", True), ("device.name", "box", "device.label", "hex", False), ("device.id", "id", "deviceId", "none", True), ("device.name", "none", "device.label", "none", False),
+    # Other domains: customers, prices, places.
+    ("customer.phone", "hex", "customerPhone", "hex", True), ("price", "n", "unit_price", "n", True), ("price", "n", "currency", "box", False), ("qty", "n", "quantity", "n", True), ("address.zip", "v", "address.city", "box", False), ("ship_date", "time", "shipping_dt", "time", True), ("ship_date", "time", "order_total", "n", False)])
+def test_fields_that_are_the_same(a, kind_a, b, kind_b, same):
+    def seen(kind):
+        out = drift.Seen()
+        for v in SAMPLES[kind]:
+            out = out.and_value(v)
+        return out
+
+    worth = drift.weights(PATHS | {a, b})
+    assert (drift.likeness(a, b, seen(kind_a), seen(kind_b), worth)[0] > 0) == same == (drift.likeness(b, a, seen(kind_b), seen(kind_a), worth)[0] > 0)
+
+
+def test_profile_adds_up_over_batches(spark):
+    values = [1, "2", None, 3.5, "x-1", "y-22", True]
+    df = lines(spark, (0, [f'{{"a": {v}}}' for v in ("1", '"2"', "null", "3.5", '"x-1"', '"y-22"', "true")] + ["[" * 5000, "{", ""])).repartition(4)
+    row = drift.profiles(df).first().fields[0]
+    whole = drift.Seen()
+    for v in values:
+        whole = whole.and_value(v)
+    assert row.path == "a" and [row[k] for k in drift.PROFILE][:5] == list(whole)[:5] and abs(row["size"] - whole.size) < 1e-9
+
+
+def test_nulls_in_feed_and_file(spark):
+    df = spark.createDataFrame([(None, 0, "f", 1, '{"a": 1}'), (None, 1, "f", 1, '{"b": 1}'), ("f", None, "f", 1, '{"z": 1}'), (None, 1, None, None, None)], SCHEMA)
+    assert found(df) == [(1, "added", "", "b"), (1, "removed", "a", "")]
 
 
 @pytest.mark.parametrize("schema, leaves", [
