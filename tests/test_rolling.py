@@ -47,7 +47,15 @@ def test_defined_cases(spark):
     assert out == {("a", 20_001): (8, 3, 8 / 7), ("b", -3): (2, 1, 2 / 7)}
     assert rolling.trailing(trees(spark, [])).count() == 0
     with pytest.raises(ValueError):
-        rolling.trailing(trees(spark, []), (65,))
+        rolling.trailing(trees(spark, []), (0,))
+
+
+@pytest.mark.parametrize("periods", [(64, 65), (66, 128), (129, 365)])
+def test_periods_of_any_length(spark, periods):
+    rnd = random.Random(sum(periods))
+    rows = [(p, 20_000 + rnd.randint(0, 600), rnd.randint(1, 9)) for p in "ab" for _ in range(60)] + [("gap", 20_010, 3), ("gap", 20_500, 4)]
+    got = {(r[0], r[1]): (r[2], r[3], r[5], r[6]) for r in rolling.trailing(trees(spark, rows), periods).collect()}
+    assert got == brute(rows, periods)
 
 
 def test_late_rows_update_trees(spark):
@@ -58,6 +66,21 @@ def test_late_rows_update_trees(spark):
     assert result(rolling.trailing(rolling.correct(trees(spark, rows), more))) == brute(rows + late)
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_late_rows_of_any_day(spark, seed):
+    """Before, behind and far from the days known so far, in gaps, of new entities, and rows taken back."""
+    rnd = random.Random(seed)
+    rows = [("one", 20_000, 5), ("gap", 20_000, 1), ("gap", 20_900, 1), ("still", 20_050, 2), ("gone", 20_000, 3)] + [("a", 20_000 + rnd.randint(0, 200), rnd.randint(1, 9)) for _ in range(20)]
+    late = [("one", 19_990, 1, 1), ("one", 19_700, 2, 1), ("gap", 20_450, 3, 1), ("new", 21_000, 4, 1), ("new", 20_700, 4, 1), ("gone", 20_000, 3, -1), ("a", 20_264, 7, 1), ("a", 20_500, 7, 1)]
+    taken = rnd.sample([r for r in rows if r[0] == "a"], 8)
+    late += [(*r, -1) for r in taken] + [("gap", 20_900, 1, -1), (None, 1, 1, 1)]
+    rest = list(rows)
+    for r in [*taken, ("gap", 20_900, 1), ("gone", 20_000, 3)]:
+        rest.remove(r)
+    more = rolling.daily(spark.createDataFrame(late, SCHEMA + ", times int"), F.col("project"), F.col("day"), F.col("tokens"), F.col("times"))
+    assert result(rolling.trailing(rolling.correct(trees(spark, rows), more))) == brute(rest + [r[:3] for r in late if r[3] > 0])
+
+
 def test_update_touches_ancestors_only():
     tree = np.zeros((1, 2 * rolling.LEAVES), np.int64)
     rolling.update_trees(tree, np.array([5]), np.array([0]), np.array([3]))

@@ -3,8 +3,9 @@
 A shard is `SHARD` days of one entity. Its tree covers the shard and the one before it, so a
 trailing period of up to `SHARD` days is answered by one tree: node 1 is the root, node n has
 the children 2n and 2n+1, the leaves are the days. Each node stores the sum and the number of
-rows below it. A late row changes its leaf and the leaf's ancestors, in the tree of its shard
-and of the next.
+rows below it. A longer period is the part of the tree where it begins, whole shards, and the part
+of the tree where it ends. A late row changes its leaf and the leaf's ancestors, in the tree of its shard
+and of the next; where it lies outside the days known so far, the trees in between are planted.
 
 An entity's rows are first summed by day with partial aggregation, so a group that goes to
 one task has at most `2 * SHARD` rows, however hot the entity is. Shards in which an entity
@@ -59,19 +60,23 @@ def range_sum(trees: np.ndarray, first: int, last: int) -> np.ndarray:
     return total
 
 
-def daily(df: DataFrame, entity: Column, day: Column, amount: Column) -> DataFrame:
-    """entity, day (number since 1970), total, n. An entity's rows meet only as partial sums."""
-    rows = df.select(entity.alias("entity"), day.cast("int").alias("day"), F.coalesce(amount, F.lit(0)).cast("long").alias("amount"))
-    return rows.where("entity is not null and day is not null").groupBy("entity", "day").agg(F.sum("amount").alias("total"), F.count("*").alias("n"))
+def daily(df: DataFrame, entity: Column, day: Column, amount: Column, times: Column | None = None) -> DataFrame:
+    """entity, day (number since 1970), total, n. An entity's rows meet only as partial sums.
+    times: how often a row counts, -1 for one that is taken back."""
+    rows = df.select(entity.alias("entity"), day.cast("int").alias("day"), F.coalesce(amount, F.lit(0)).cast("long").alias("amount"), (F.lit(1) if times is None else times).cast("long").alias("times"))
+    return rows.where("entity is not null and day is not null").groupBy("entity", "day").agg(F.sum(F.col("amount") * F.col("times")).alias("total"), F.sum("times").alias("n"))
+
+
+def _shard(day: Column) -> Column:
+    return F.floor(day / SHARD).cast("int")
 
 
 def shards(days: DataFrame) -> DataFrame:
     """One row for each tree: entity, shard, its first and last active day, leaves."""
     w = Window.partitionBy("entity")
     seen = days.withColumns({"first_day": F.min("day").over(w), "last_day": F.max("day").over(w), "next_day": F.lead("day").over(w.orderBy("day"))})
-    shard = lambda d: F.floor(d / SHARD).cast("int")
-    upto = F.least(shard(F.col("last_day")), F.greatest(shard(F.col("day")) + 1, shard(F.coalesce("next_day", "day"))))
-    sent = seen.withColumn("shard", F.explode(F.sequence(shard(F.col("day")), upto)))
+    upto = F.least(_shard(F.col("last_day")), F.greatest(_shard(F.col("day")) + 1, _shard(F.coalesce("next_day", "day"))))
+    sent = seen.withColumn("shard", F.explode(F.sequence(_shard(F.col("day")), upto)))
     return sent.groupBy("entity", "shard").agg(F.first("first_day").alias("first_day"), F.first("last_day").alias("last_day"), F.collect_list(F.struct("day", "total", "n")).alias("leaves"))
 
 
@@ -93,7 +98,11 @@ def _pieces(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(len(column), 2 * LEAVES)
+    """The trees of a column; an empty one for null."""
+    out = np.zeros((len(column), 2 * LEAVES), np.int64)
+    there = column.is_valid().to_numpy(zero_copy_only=False)
+    out[there] = column.drop_null().flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(-1, 2 * LEAVES)
+    return out
 
 
 def _column(trees: np.ndarray) -> pa.Array:
@@ -116,45 +125,82 @@ def plant(parts: DataFrame) -> DataFrame:
 def correct(trees: DataFrame, late: DataFrame) -> DataFrame:
     """Stored trees with the daily sums of late rows (as from `daily`) added. A late day goes to
     the tree of its shard and of the next; there it changes its leaf and the leaf's ancestors.
-    Trees without late days pass unchanged. Late days lie between an entity's first and last
-    active day; later days and new entities are no corrections and are planted."""
-    shard = F.floor(F.col("day") / SHARD).cast("int")
+    Days before, after or between the ones known so far, and new entities, get the trees that they lack; sums
+    taken back narrow an entity's days again. Trees of entities without late days pass unchanged."""
+    shard, schema = _shard(F.col("day")), trees.schema
     changes = late.withColumn("shard", F.explode(F.array(shard, shard + 1))).groupBy("entity", "shard").agg(F.collect_list(F.struct("day", "total", "n")).alias("leaves"))
-    schema = trees.schema
+    own = trees.join(late.select("entity").distinct(), "entity", "left_semi")
+    before = own.groupBy("entity").agg(F.min("first_day").alias("first_day"), F.max("last_day").alias("last_day"))
+    days = late.groupBy("entity").agg(F.min("day").alias("low"), F.max("day").alias("high")).join(before, "entity", "left")
+    low, high = F.least("low", "first_day"), F.greatest("high", "last_day")
+    every = days.select("entity", F.explode(F.sequence(_shard(low), _shard(high))).alias("shard"))
+    # The tree behind the last one begins with that one's days.
+    behind = own.where(F.col("shard") == _shard(F.col("last_day"))).select("entity", (F.col("shard") + 1).alias("shard"), F.col("sums").alias("sums_before"), F.col("counts").alias("counts_before"))
+    meet = every.join(own.select("entity", "shard", "sums", "counts"), ["entity", "shard"], "left").join(behind, ["entity", "shard"], "left").join(changes, ["entity", "shard"], "left")
 
     def change(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _pieces(batches):
-            sums, counts = _matrix(batch.column("sums")).copy(), _matrix(batch.column("counts")).copy()
+            new = ~batch.column("sums").is_valid().to_numpy(zero_copy_only=False)
             owner, at, total, n = _leaves(batch)
-            update_trees(sums, at, owner, total)
-            update_trees(counts, at, owner, n)
-            keep = {k: batch.column(k) for k in ("entity", "shard", "first_day", "last_day")}
-            yield pa.RecordBatch.from_pydict(keep | {"sums": _column(sums), "counts": _column(counts)})
-
-    touched = trees.join(changes, ["entity", "shard"])
-    return touched.mapInArrow(change, schema).unionByName(trees.join(changes, ["entity", "shard"], "left_anti"))
+            out = {}
+            for kind, added in (("sums", total), ("counts", n)):
+                whole = _matrix(batch.column(kind))
+                if new.any():
+                    leaves = np.zeros((new.sum(), LEAVES), np.int64)
+                    leaves[:, :SHARD] = _matrix(batch.column(f"{kind}_before"))[new, LEAVES + SHARD :]
+                    where = np.nonzero(leaves)
+                    whole[new] = build_trees(where[1], where[0], leaves[where], len(leaves))
+                update_trees(whole, at, owner, added)
+                out[kind] = whole
+            active = out["counts"][:, LEAVES + SHARD :] > 0
+            first_of_shard = batch.column("shard").to_numpy(zero_copy_only=False).astype(np.int64) * SHARD
+            none = ~active.any(1)
+            low, high = first_of_shard + active.argmax(1), first_of_shard + SHARD - 1 - active[:, ::-1].argmax(1)
+            yield pa.RecordBatch.from_pydict({"entity": batch.column("entity"), "shard": batch.column("shard"), "first_day": pa.array(low, pa.int32(), mask=none), "last_day": pa.array(high, pa.int32(), mask=none), "sums": _column(out["sums"]), "counts": _column(out["counts"])})
+
+    changed = meet.select("entity", "shard", "sums", "counts", "sums_before", "counts_before", "leaves").mapInArrow(change, schema)
+    # An entity's days from all its trees; a tree outside of them goes. One row a shard of days.
+    w = Window.partitionBy("entity")
+    spanned = changed.withColumns({"first_day": F.min("first_day").over(w), "last_day": F.max("last_day").over(w)})
+    kept = spanned.where((F.col("shard") >= _shard(F.col("first_day"))) & (F.col("shard") <= _shard(F.col("last_day"))))
+    return kept.unionByName(trees.join(late.select("entity").distinct(), "entity", "left_anti"))
 
 
 def trailing(trees: DataFrame, periods: tuple[int, ...] = (7, 30)) -> DataFrame:
     """entity, day, and for each period N total_N, n_N and avg_N (total over N days), for every
     day between an entity's first and last, from range queries on the trees of `plant`."""
-    if max(periods) > SHARD:
-        raise ValueError(f"a period has at most {SHARD} days")
+    if min(periods) < 1:
+        raise ValueError("a period has at least one day")
     kind = trees.schema["entity"].dataType.simpleString()
     fields = "".join(f", total_{n} bigint, n_{n} bigint, avg_{n} double" for n in periods)
+    # A long period begins in the tree of `back` shards before; the shards in between count whole.
+    rows, long = trees, {n: (n - 1) // SHARD for n in periods if n > SHARD}
+    for n, back in long.items():
+        between = Window.partitionBy("entity").orderBy("shard").rangeBetween(1 - back, -1)
+        own_half = lambda c: F.coalesce(F.sum(F.element_at(c, 4)).over(between) if back > 1 else F.lit(0), F.lit(0))  # noqa: B023, E731
+        rows = rows.withColumns({f"total_between_{n}": own_half("sums").cast("long"), f"n_between_{n}": own_half("counts").cast("long")})
+    for n, back in long.items():
+        begins = trees.select("entity", (F.col("shard") + back).alias("shard"), F.col("sums").alias(f"sums_{n}"), F.col("counts").alias(f"counts_{n}"))
+        rows = rows.join(begins, ["entity", "shard"], "left")
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _pieces(batches):
-            sums, counts = _matrix(batch.column("sums")), _matrix(batch.column("counts"))
+            whole = {"total": _matrix(batch.column("sums")), "n": _matrix(batch.column("counts"))}
             days = batch.column("shard").to_numpy(zero_copy_only=False).astype(np.int64)[:, None] * SHARD + np.arange(SHARD)
             first, last = (batch.column(k).to_numpy(zero_copy_only=False)[:, None] for k in ("first_day", "last_day"))
             inside = (days >= first) & (days <= last)
             out = {"entity": batch.column("entity").take(pa.array(np.nonzero(inside)[0])), "day": pa.array(days[inside].astype(np.int32))}
+
+            def sums(of: str, n: int) -> np.ndarray:
+                if n not in long:
+                    return np.stack([range_sum(whole[of], SHARD + i - n + 1, SHARD + i) for i in range(SHARD)], 1)
+                begins, rest = _matrix(batch.column(f"{'sums' if of == 'total' else 'counts'}_{n}")), (n - 1) % SHARD
+                between = batch.column(f"{of}_between_{n}").to_numpy(zero_copy_only=False)
+                return np.stack([range_sum(begins, SHARD + i - rest, LEAVES - 1) + between + range_sum(whole[of], SHARD, SHARD + i) for i in range(SHARD)], 1)
+
             for n in periods:
-                spans = [(SHARD + i - n + 1, SHARD + i) for i in range(SHARD)]
-                total = np.stack([range_sum(sums, *s) for s in spans], 1)[inside]
-                rows = np.stack([range_sum(counts, *s) for s in spans], 1)[inside]
-                out |= {f"total_{n}": pa.array(total), f"n_{n}": pa.array(rows), f"avg_{n}": pa.array(total / n)}
+                total, count = sums("total", n)[inside], sums("n", n)[inside]
+                out |= {f"total_{n}": pa.array(total), f"n_{n}": pa.array(count), f"avg_{n}": pa.array(total / n)}
             yield pa.RecordBatch.from_pydict(out)
 
-    return trees.mapInArrow(answer, f"entity {kind}, day int{fields}")
+    return rows.mapInArrow(answer, f"entity {kind}, day int{fields}")

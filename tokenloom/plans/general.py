@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenloom.functions.text import project_path
+from tokenloom.functions.text import message_key, project_path
 from tokenloom.operators import delivery, drift, rolling
 from tokenloom.sources.tables import TOKENS, table
 
@@ -29,12 +29,20 @@ def p6_kept(spark: SparkSession, folder: str) -> DataFrame:
     return delivery.kept(table(spark, folder, "usage_event"), **_usage_rank())
 
 
-def _trees(spark: SparkSession, folder: str) -> DataFrame:
+def _amounts(spark: SparkSession, folder: str) -> DataFrame:
     """Of each row only its project, day and total go through the deduplication."""
     total = sum((F.coalesce(F.col(t), F.lit(0)).cast("long") for t in TOKENS), F.lit(0).cast("long"))
     day = F.when(F.col("ts") != 0, F.floor(F.col("ts") / 86400)).cast("int")
-    rows = table(spark, folder, "usage_event").select("source", "dedup_key", "dedup_rank", "output_tokens", "seq", project_path(F.col("project")).alias("project"), day.alias("day"), total.alias("total"))
-    return rolling.plant(rolling.shards(rolling.daily(delivery.kept(rows, **_usage_rank()), F.col("project"), F.col("day"), F.col("total"))))
+    return table(spark, folder, "usage_event").select("batch_no", "source", "dedup_key", "dedup_rank", "output_tokens", "seq", project_path(F.col("project")).alias("project"), day.alias("day"), total.alias("total"))
+
+
+def _daily(rows: DataFrame, times: Column | None = None) -> DataFrame:
+    return rolling.daily(rows, F.col("project"), F.col("day"), F.col("total"), times)
+
+
+def _trees(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _amounts(spark, folder).drop("batch_no")
+    return rolling.plant(rolling.shards(_daily(delivery.kept(rows, **_usage_rank()))))
 
 
 def _day_text() -> Column:
@@ -43,7 +51,27 @@ def _day_text() -> Column:
 
 def p4_rolling(spark: SparkSession, folder: str) -> DataFrame:
     """Totals and averages of every project and day, idle days included."""
-    return rolling.trailing(_trees(spark, folder)).select(F.col("entity").alias("project"), _day_text(), "total_7", "n_7", "avg_7", "total_30", "n_30", "avg_30")
+    return _rolled(_trees(spark, folder))
+
+
+def _rolled(trees: DataFrame) -> DataFrame:
+    return rolling.trailing(trees).select(F.col("entity").alias("project"), _day_text(), "total_7", "n_7", "avg_7", "total_30", "n_30", "avg_30")
+
+
+def p4_corrected(spark: SparkSession, folder: str) -> DataFrame:
+    """The totals of `p4_rolling`, from trees of the earlier half of the batches and the later half as
+    corrections: new messages are added, a copy that is beaten by a later one is taken back."""
+    rows = _amounts(spark, folder)
+    half = rows.agg(F.floor(F.max("batch_no") / 2)).scalar()
+    late = F.coalesce(F.col("batch_no") > half, F.lit(False))
+    stored = delivery.kept(rows.where(~late).drop("batch_no"), **_usage_rank())
+    fresh, better = delivery.accept_batch(stored, rows.where(late).drop("batch_no"), **_usage_rank())
+    key = message_key(F.col("dedup_key"))
+    beaten = stored.withColumn("key", key).join(better.select("source", key.alias("key")), ["source", "key"], "left_semi").drop("key")
+    parts = [r.select("project", "day", "total", F.lit(times).alias("times")) for r, times in ((fresh, 1), (better, 1), (beaten, -1))]
+    changes = _daily(parts[0].unionByName(parts[1]).unionByName(parts[2]), F.col("times"))
+    trees = rolling.correct(rolling.plant(rolling.shards(_daily(stored))), changes)
+    return _rolled(trees)
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -78,11 +106,12 @@ rolled as (select project, strftime(date '1970-01-01' + cast(day as int), '%Y-%m
   from dense window w7 as (partition by project order by day rows 6 preceding), w30 as (partition by project order by day rows 29 preceding))
 """
 
-QUERIES = {"p4_found": p4_found, "p4_rolling": p4_rolling, "p5_found": p5_found, "p5_table": p5_table, "p6_found": p6_found, "p6_kept": p6_kept}
+QUERIES = {"p4_found": p4_found, "p4_rolling": p4_rolling, "p4_corrected": p4_corrected, "p5_found": p5_found, "p5_table": p5_table, "p6_found": p6_found, "p6_kept": p6_kept}
 
 SQL = {
     "p4_found": _ROLLING + "select project, day_text from rolled where total_7 = 0 and total_30 <> 0",
     "p4_rolling": _ROLLING + "select * from rolled",
+    "p4_corrected": _ROLLING + "select * from rolled",
     "p6_found": f"""
 select 'usage_event' as record_table, seq as row_id from (
   select seq, row_number() over (partition by source, k order by dedup_rank desc nulls last, output_tokens desc nulls last, seq) as place
