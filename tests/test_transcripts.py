@@ -6,9 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from tokenloom.functions.json_fields import split_cache_write
-from tokenloom.operators import manifest, parse_a, parse_b, replay, snapshots
+from tokenloom.operators import manifest, parse_a, parse_b, replay, rollups, snapshots
 from tokenloom.sources import transcripts
-from tokenloom.sources.tail import Tail, lines_of
+from tokenloom.sources.files import lines_of
+from tokenloom.sources.tail import Tail
 from tokenloom.streaming import usage as streaming
 
 
@@ -29,7 +30,7 @@ def test_parser_a(spark):
     assert (rows[0].model, rows[0].ts, rows[0].cache_write_5m, rows[0].cache_write_1h) == ("claude-opus-5", 1735689600, 15, 25)
 
 
-@pytest.mark.parametrize("total, five, hour, split, out", [(3913, 0, 1635, True, (0, 3913)), (100, 1, 1, True, (50, 50)), (500, 0, 0, False, (500, 0)), (0, 3, 4, True, (0, 0)), (40, 15, 25, True, (15, 25)), (2**62, 2**62, 2**62, True, (2**61, 2**61))])
+@pytest.mark.parametrize("total, five, hour, split, out", [(4207, 0, 1900, True, (0, 4207)), (100, 1, 1, True, (50, 50)), (500, 0, 0, False, (500, 0)), (0, 3, 4, True, (0, 0)), (40, 15, 25, True, (15, 25)), (2**62, 2**62, 2**62, True, (2**61, 2**61))])
 def test_split(spark, total, five, hour, split, out):
     df = spark.createDataFrame([(total, five, hour, split)], "t long, f long, h long, s boolean")
     assert tuple(int(x) for x in df.select(*split_cache_write(F.col("t"), F.col("f"), F.col("h"), F.col("s"))).first()) == out
@@ -41,13 +42,13 @@ def count(total=None, last=None, lane=None):
 
 
 @pytest.mark.parametrize("given, out", [
-    ([count((36428, 17152, 748), (18844, 17152, 404))], [(1692, 17152, 404)]),
-    ([count((1000, 0, 100), (1000, 0, 100)), count((31000, 0, 300), (500, 0, 200))], [(1000, 0, 100), (500, 0, 200)]),
+    ([count((52310, 20480, 911), (23001, 20480, 517))], [(2521, 20480, 517)]),
+    ([count((840, 0, 60), (840, 0, 60)), count((27000, 0, 290), (410, 0, 230))], [(840, 0, 60), (410, 0, 230)]),
     ([count((10, 0, 1), (10, 0, 1))] * 2, [(10, 0, 1)]),
     ([count((10, 0, 1), None, "a"), count((20, 0, 2), None, "b"), count((10, 0, 1), None, "a")], [(10, 0, 1), (10, 0, 1)]),
-    ([count((1000, 200, 100)), count((2500, 700, 250))], [(800, 200, 100), (1000, 500, 150)]),
-    ([count((5000, 0, 500)), count((3000, 0, 200))], [(5000, 0, 500)]),
-    ([count(None, (10, 80, 5))] * 2, [(0, 10, 5)] * 2),
+    ([count((1200, 300, 90)), count((2900, 900, 210))], [(900, 300, 90), (1100, 600, 120)]),
+    ([count((6100, 0, 430)), count((2700, 0, 180))], [(6100, 0, 430)]),
+    ([count(None, (12, 90, 7))] * 2, [(0, 12, 7)] * 2),
     ([{"type": "event_msg", "payload": {"type": "token_count", "info": None}}], [])])
 def test_parser_b(spark, given, out):
     rows = parse_b.usage(lines(spark, *given, path="/y/t1.jsonl")).orderBy("line").collect()
@@ -61,9 +62,55 @@ def test_parser_b_carries_state(spark):
     assert (row.session, row.model, row.project) == ("th", "mod", "/t")
 
 
-def test_torn_tail(spark):
-    df = lines(spark, '{"a": 1}', "torn {", '{"b"')
-    assert [r.line for r in transcripts.complete(df).orderBy("line").collect()] == [0, 1]
+def test_torn_tail(spark, tmp_path):
+    """The line feed counts, not whether the last line is JSON."""
+    for name, data in (("whole", b'{"a": 1}\n{"b": \n'), ("torn", b'{"a": 1}\n{"b": 2}'), ("marked", b'\xef\xbb\xbf{"a": 1}\n{"b": 2}'), ("empty", b""), ("blank", b"\n\n"), ("crlf", b"x\r\ny\r")):
+        (tmp_path / f"{name}.jsonl").write_bytes(data)
+    got = transcripts.complete(transcripts.read_lines(spark, [str(tmp_path)], "claude", recursive=True)).collect()
+    kept = sorted((r.path.rsplit("/", 1)[1].split(".")[0], r.line, r.value) for r in got)
+    assert kept == [("blank", 1, ""), ("blank", 2, ""), ("crlf", 1, "x\r"), ("marked", 1, '{"a": 1}'), ("torn", 1, '{"a": 1}'), ("whole", 1, '{"a": 1}'), ("whole", 2, '{"b": ')]
+
+
+def test_counts_stop_at_the_largest_number(spark):
+    """A hostile count never stops a scan."""
+    def line(**usage):
+        return json.dumps({"type": "assistant", "message": {"id": "m", "model": "a", "usage": usage}})
+
+    df = lines(spark, line(input_tokens=18446744073709551615, output_tokens=5, cache_creation_input_tokens=18446744073709551615), line(input_tokens=18446744073709551616, output_tokens=-3, cache_read_input_tokens="9", cache_creation_input_tokens=1.5), line(output_tokens=7))
+    rows = {r.line: (r.input_tokens, r.output_tokens, r.cache_read, r.cache_write_5m) for r in parse_a.usage(df).collect()}
+    most = (1 << 63) - 1
+    assert rows == {0: (most, 5, 0, most), 2: (0, 7, 0, 0)}
+    events = parse_a.usage(df).selectExpr("*", "input_tokens as total")
+    assert rollups.rollup(events).first().input_tokens == most
+    snap = json.dumps({"type": "event_msg", "payload": {"type": "token_count", "info": {"total_token_usage": {"input_tokens": 18446744073709551615, "output_tokens": 18446744073709551615}}}})
+    got = parse_b.usage(lines(spark, snap)).first()
+    assert (got.input_tokens, got.output_tokens) == (most, most)
+
+
+def test_deeply_nested_values(spark):
+    deep = '{"v":' + "[" * 900 + "1" + "]" * 900 + "}"
+    rows = spark.createDataFrame([(deep,), ('{"v":' * 90 + '{"status":"failed"}' + "}" * 90,), ("[" * 100_000,), (None,)], "v string")
+    out = [tuple(r) for r in rows.select(replay.value_preview("v"), replay.reports_failure("v")).collect()]
+    assert [failed for _, failed in out] == [False, True, False, False] and out[3][0] is None and len(out[2][0]) == 4097
+
+
+def test_blocks_of_every_form(spark):
+    """Text, blocks, missing, null and other content; records without a message; a uuid too long, and none."""
+    def record(type="user", uuid="u", **rest):
+        return json.dumps({"type": type, "uuid": uuid, **rest})
+
+    rows = [
+        record(message={"role": "system", "content": " a \n b "}), record(message={"role": "user", "content": ""}), record("assistant", message={"content": [{"type": "text", "text": "hi"}, {"type": "text", "text": " "}, {"type": "odd"}]}),
+        record(message={"role": "user"}), record(message={"content": {"text": "x"}}), record(message=None), record("system", content="note"), record("system", content=""), record("system"), record("system", content=[{"text": "x"}]),
+        record("summary", message={"content": "x"}), record(uuid="v" * 600, message={"content": "long"}), record(uuid=None, message={"content": [{"type": "tool_use", "id": "c", "name": "sh", "input": {"stdout": "ok"}}]}),
+        record(message={"content": [{"type": "tool_result", "tool_use_id": "c", "is_error": True, "content": [{"text": "bad"}]}, {"type": "tool_result", "tool_use_id": "z", "is_error": "yes"}]}),
+    ]
+    df = spark.createDataFrame([("claude", "s", i, r) for i, r in enumerate(rows)], "source string, session string, seq long, value string").selectExpr("source", "session", "seq", "parse_json(value) as record")
+    got = sorted((r.seq, r.position, r.kind, r.title, r.detail, r.dedup_key) for r in replay.titled(replay.blocks(df), "seq", "position").collect())
+    assert got == [
+        (0, 0, "Assistant", "system", "a b", "u"), (1, 0, "User", "user", "", "u"), (2, 0, "Assistant", "assistant", "hi", "claude:u:0"), (6, 0, "System", "system", "note", "u"), (9, 0, "System", "system", "x", "u"),
+        (11, 0, "User", "user", "long", "v" * 512), (12, 0, "ToolCall", "sh", "ok", None), (13, 0, "ToolError", "sh", "bad", "claude:u:0"), (13, 1, "ToolResult", "tool result", "", "claude:u:1"),
+    ]
 
 
 def test_reading_files(spark, tmp_path):
@@ -119,9 +166,9 @@ def test_nested_values(spark):
 def test_byte_ranges_make_whole_lines(tmp_path):
     f = tmp_path / "a.jsonl"
     f.write_bytes(b"one\ntwo\n\nfour\ntor")
-    whole = [(o, v) for _, o, v in lines_of(str(f), 0, 17)]
+    whole = list(lines_of(str(f), 0, 17))
     for cut in range(18):
-        assert [(o, v) for b, e in ((0, cut), (cut, 17)) for _, o, v in lines_of(str(f), b, e)] == whole == [(0, "one"), (4, "two"), (8, ""), (9, "four")]
+        assert [(o, v) for b, e in ((0, cut), (cut, 17)) for o, v in lines_of(str(f), b, e)] == whole == [(0, "one"), (4, "two"), (8, ""), (9, "four")]
 
 
 def test_tail_source(spark, tmp_path):

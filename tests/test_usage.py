@@ -106,10 +106,10 @@ def shown(spark, f, *values, kind="long"):
 
 
 def test_display(spark):
-    assert shown(spark, display.tokens, 937, 1200, 25_400_000, 2_000_000_000, 2_500, 9_999) == ["937", "1.2k", "25M", "2.0B", "2.5k", "10.0k"]
-    assert shown(spark, display.money, 2616.4, 50.712, 0.4213, 0.0, kind="double") == ["$2,616", "$50.71", "$0.421", "$0"]
-    assert shown(spark, display.share, 0.91, 0.999, 0.001, 0.0, 1.0, kind="double") == ["91%", ">99%", "<1%", "0%", "100%"]
-    assert shown(spark, display.duration, 999, 1015, 12_345) == ["999ms", "1.01s", "12.3s"]
+    assert shown(spark, display.tokens, 842, 1300, 31_400_000, 3_000_000_000, 4_500, 9_999) == ["842", "1.3k", "31M", "3.0B", "4.5k", "10.0k"]
+    assert shown(spark, display.money, 3481.7, 61.238, 0.5126, 0.0, kind="double") == ["$3,482", "$61.24", "$0.513", "$0"]
+    assert shown(spark, display.share, 0.87, 0.999, 0.001, 0.0, 1.0, kind="double") == ["87%", ">99%", "<1%", "0%", "100%"]
+    assert shown(spark, display.duration, 640, 2035, 23_456) == ["640ms", "2.04s", "23.5s"]
     assert shown(spark, lambda c: display.ellipsize(c, 4), "hello", "hell", None, kind="string") == ["hel…", "hell", None]
     assert shown(spark, display.preview, " a　\n b ", "x" * 4096 + " y", "x" * 4097, kind="string") == ["a b", "x" * 4096 + " …", "x" * 4096 + "…"]
 

@@ -20,7 +20,30 @@ def u64(record: Column, path: str) -> Column:
     value = F.try_variant_get(record, path, "string")
     kind = F.schema_of_variant(F.try_variant_get(record, path, "variant"))
     whole = kind.isin("BIGINT", "INT", "SMALLINT", "TINYINT") | kind.rlike(r"^DECIMAL\((19|20),0\)$")
-    return F.coalesce(F.when(whole & value.rlike(r"^[0-9]+$"), value.cast("decimal(20,0)")), F.lit(0).cast("decimal(20,0)"))
+    number = F.when(whole & value.rlike(r"^[0-9]+$"), value.cast("decimal(20,0)"))
+    return F.coalesce(F.when(number <= F.lit((1 << 64) - 1).cast("decimal(20,0)"), number), F.lit(0).cast("decimal(20,0)"))
+
+
+#: Counts are kept as whole numbers of 64 bits with sign; larger ones count as the largest.
+MOST = (1 << 63) - 1
+
+
+def count(record: Column, path: str) -> Column:
+    """A whole number without sign, at most `MOST`; 0 where the field is missing or anything else."""
+    return F.least(u64(record, path), F.lit(MOST).cast("decimal(20,0)")).cast("long")
+
+
+def added(*counts: Column) -> Column:
+    """The sum of counts without nulls, at most `MOST`."""
+    out = counts[0]
+    for c in counts[1:]:
+        out = F.try_add(out, c)
+    return F.coalesce(out, F.lit(MOST))
+
+
+def summed(c: Column | str) -> Column:
+    """The sum of a group's counts, at most `MOST`; null where there is none."""
+    return F.coalesce(F.try_sum(c), F.when(F.count(c) > 0, F.lit(MOST)))
 
 
 def first_present(record: Column, *paths: str) -> Column:

@@ -287,7 +287,7 @@ def file_changes(lines: DataFrame) -> DataFrame:
     paths = lambda c: F.transform(c, lambda f: f["path"])
     moved = pairs.where((F.size(F.array_except(paths("before"), paths("after"))) > 0) & (F.size(F.array_except(paths("after"), paths("before"))) > 0))
     asked = moved.select("feed", F.explode(F.array("file_no", "prior")).alias("file_no")).distinct()
-    seen = profiles(lines.join(asked, ["feed", "file_no"], "left_semi"))
+    seen = checkpointed(profiles(lines.join(asked, ["feed", "file_no"], "left_semi")))
     both = pairs.join(seen.withColumnRenamed("fields", "seen_after"), ["feed", "file_no"], "left").join(seen.select("feed", F.col("file_no").alias("prior"), F.col("fields").alias("seen_before")), ["feed", "prior"], "left")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tokenloom.functions.json_fields import first_present, seconds, u64
+from tokenloom.functions.json_fields import added, count, first_present, seconds
 from tokenloom.functions.models import event_id, normalize_model_b, project_label
 from tokenloom.operators.snapshots import deltas
 from tokenloom.sources.transcripts import may_bill_b
@@ -18,28 +18,28 @@ def usage(lines: DataFrame) -> DataFrame:
     parsed = lines.where(may_bill_b(F.col("value"))).withColumn("record", F.try_parse_json("value")).where("record is not null")
     g = lambda path, kind="string": F.try_variant_get("record", path, kind)
     kind = g("$.type")
-    count = (kind == "event_msg") & (g("$.payload.type") == "token_count")
+    counted = (kind == "event_msg") & (g("$.payload.type") == "token_count")
     meta, turn = kind == "session_meta", kind == "turn_context"
 
     def counters(path: str) -> Column:
-        at = lambda name: u64(F.col("record"), f"{path}.{name}").cast("long")
+        at = lambda name: count(F.col("record"), f"{path}.{name}")
         there = F.coalesce(*(g(f"{path}.{n}", "variant") for n in ("input_tokens", *_CACHED, "output_tokens", "total_tokens")))
         cached = F.when(g(f"{path}.{_CACHED[0]}", "variant").isNotNull(), at(_CACHED[0])).otherwise(at(_CACHED[1]))
-        return F.when(count & there.isNotNull(), F.struct(at("input_tokens").alias("input"), cached.alias("cached"), at("output_tokens").alias("output")))
+        return F.when(counted & there.isNotNull(), F.struct(at("input_tokens").alias("input"), cached.alias("cached"), at("output_tokens").alias("output")))
 
-    so_far = Window.partitionBy("path").orderBy("line").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    named = F.when(turn, g("$.payload.model")).when(count, F.coalesce(first_present(F.col("record"), "$.payload.info.model", "$.payload.info.model_name", "$.payload.model")))
-    folders = F.when(turn | meta, g("$.payload.cwd"))
-    rows = parsed.withColumns({
-        "total": counters("$.payload.info.total_token_usage"), "last": counters("$.payload.info.last_token_usage"), "lane": F.when(count & (g("$.payload.rate_limits.limit_id") != ""), g("$.payload.rate_limits.limit_id")),
-        "model": F.last(named, ignorenulls=True).over(so_far), "thread": F.first(F.when(meta, first_present(F.col("record"), "$.payload.session_id", "$.payload.id")), ignorenulls=True).over(so_far),
-        "had_folder": F.first(folders, ignorenulls=True).over(so_far.rowsBetween(Window.unboundedPreceding, -1)), "given": folders, "is_meta": F.coalesce(meta, F.lit(False)), "counts": F.coalesce(count, F.lit(False)), "ts": seconds(g("$.timestamp")),
-    })
+    named = F.when(turn, g("$.payload.model")).when(counted, F.coalesce(first_present(F.col("record"), "$.payload.info.model", "$.payload.info.model_name", "$.payload.model")))
+    # Only fields go through the windows, not records; all of them run over one shuffle by path.
+    fields = parsed.select(
+        F.col("path").alias("file"), "line", counters("$.payload.info.total_token_usage").alias("total"), counters("$.payload.info.last_token_usage").alias("last"),
+        F.when(counted & (g("$.payload.rate_limits.limit_id") != ""), g("$.payload.rate_limits.limit_id")).alias("lane"), named.alias("named"),
+        F.when(meta, first_present(F.col("record"), "$.payload.session_id", "$.payload.id")).alias("opened"), F.when(turn | meta, g("$.payload.cwd")).alias("given"),
+        F.coalesce(meta, F.lit(False)).alias("is_meta"), F.coalesce(counted, F.lit(False)).alias("counts"), seconds(g("$.timestamp")).alias("ts"))
+    so_far = Window.partitionBy("file").orderBy("line").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = so_far.rowsBetween(Window.unboundedPreceding, -1)
+    rows = fields.withColumns({"model": F.last("named", ignorenulls=True).over(so_far), "thread": F.first("opened", ignorenulls=True).over(so_far), "had_folder": F.first("given", ignorenulls=True).over(before)})
     # The opening record sets the folder only where none is set; each turn sets it anew.
     rows = rows.withColumn("folder", F.last(F.when(~(F.col("is_meta") & F.col("had_folder").isNotNull()), F.col("given")), ignorenulls=True).over(so_far)).where("counts")
-    added = deltas(rows.select(F.col("path").alias("file"), "line", "lane", "total", "last")).withColumnRenamed("file", "path")
-    told = rows.select("path", "line", "ts", "model", "thread", "folder")
-    out = told.join(added, ["path", "line"]).where("input + cache_read + output > 0")
+    out = deltas(rows.select("file", "line", "lane", "total", "last", "ts", "model", "thread", "folder")).withColumnRenamed("file", "path").where(added(F.col("input"), F.col("cache_read"), F.col("output")) > 0)
     stem = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]*$", "")
     nth = F.row_number().over(Window.partitionBy("path").orderBy("line")) - 1
     thread = F.coalesce("thread", stem)

@@ -33,13 +33,26 @@ def valid(rates: DataFrame) -> DataFrame:
 
 
 def overridden(rates: DataFrame, overrides: DataFrame) -> DataFrame:
-    """`rates` with the rows of `overrides` put in or over them; a row of zeros for an unknown
-    model is a placeholder and left out."""
+    """`rates` with the rows of `overrides` put in or over them. A row of zeros is a placeholder: for
+    an unknown model it is left out; for a known one it may mean two things, so it is refused
+    (`refused_overrides`) and the rate stays."""
     new = overrides.select("model", *(F.col(k).alias(f"new_{k}") for k in CLASSES), F.lit(True).alias("over"))
     both = rates.join(new, "model", "full")
-    zero = (F.col("new_input") == 0) & (F.col("new_output") == 0)
+    zero = _zeros("new_")
     kept = both.where(F.col("input").isNotNull() | ~zero)
-    return kept.select("model", *(F.when(F.col("over"), F.col(f"new_{k}")).otherwise(F.col(k)).alias(k) for k in CLASSES))
+    return kept.select("model", *(F.when(F.col("over") & ~zero, F.col(f"new_{k}")).otherwise(F.col(k)).alias(k) for k in CLASSES))
+
+
+def _zeros(prefix: str = "") -> Column:
+    out = F.lit(True)
+    for k in CLASSES:
+        out &= F.coalesce(F.col(prefix + k), F.lit(None if k in ("input", "output") else 0)) == 0
+    return F.coalesce(out, F.lit(False))
+
+
+def refused_overrides(rates: DataFrame, overrides: DataFrame) -> DataFrame:
+    """The models whose override is all zeros although they have a rate."""
+    return overrides.where(_zeros()).join(rates.select("model"), "model", "left_semi").select("model").distinct()
 
 
 def priced(events: DataFrame, rates: DataFrame) -> DataFrame:

@@ -1,18 +1,19 @@
 """Roll-ups of usage events: one set of measures, by any dimension.
 
-Each is one aggregate with partial aggregation. `all_rollups` computes those that partition the
+Each is one aggregate with partial aggregation; token sums stop at the largest whole number of 64 bits. `all_rollups` computes those that partition the
 events in a single pass over them.
 """
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tokenloom.functions.json_fields import summed
 from tokenloom.operators.filters import SHARED
 from tokenloom.sources.tables import TOKENS
 
 
 def measures(cost: bool = False) -> list[Column]:
-    out = [F.sum(t).alias(t) for t in TOKENS] + [F.sum("total").alias("total"), F.count("*").alias("requests"), sessions().alias("sessions"), F.coalesce(F.max("ts"), F.lit(0)).alias("last_ts")]
+    out = [summed(t).alias(t) for t in TOKENS] + [summed("total").alias("total"), F.count("*").alias("requests"), sessions().alias("sessions"), F.coalesce(F.max("ts"), F.lit(0)).alias("last_ts")]
     if cost:
         out += [F.sum("cost").alias("cost"), F.sum("priced_tokens").alias("priced_tokens"), F.sum("unpriced_tokens").alias("unpriced_tokens")]
     return out
@@ -48,7 +49,7 @@ def all_rollups(events: DataFrame) -> DataFrame:
     rows = events.withColumns({f"d_{k}": c for k, c in dims.items()})
     columns = [f"d_{k}" for k in dims]
     grouped = rows.groupingSets([[], *([F.col(c)] for c in columns)], *(F.col(c) for c in columns)).agg(
-        F.grouping_id().alias("gid"), *(F.sum(t).alias(t) for t in TOKENS), F.sum("total").alias("total"), F.count("*").alias("requests"))
+        F.grouping_id().alias("gid"), *(summed(t).alias(t) for t in TOKENS), summed("total").alias("total"), F.count("*").alias("requests"))
     whole = (1 << len(columns)) - 1
     name = F.when(F.col("gid") == whole, "total")
     for i, k in enumerate(dims):

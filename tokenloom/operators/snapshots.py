@@ -27,7 +27,7 @@ def first_seen(lines: DataFrame, *columns: str) -> DataFrame:
 
 def deltas(snapshots: DataFrame) -> DataFrame:
     """What each snapshot of cumulative counters adds: file, line, lane, duplicate and fresh
-    input, cache_read, output.
+    input, cache_read, output, and the other columns of `snapshots`.
 
     `total` and `last` are structs of the counters, either may be null. A snapshot is a duplicate
     if it has a total and equals the lane's last snapshot with a total, or the file's previous
@@ -44,6 +44,7 @@ def deltas(snapshots: DataFrame) -> DataFrame:
         "duplicate": F.coalesce(repeat, F.lit(False)), **{f"high_{c}": F.coalesce(F.max(F.col(f"total.{c}")).over(before), F.lit(0)) for c in COUNTERS},
     })
     added = {c: F.when(F.col("duplicate"), 0).when(F.col("last").isNotNull(), F.col(f"last.{c}")).otherwise(F.greatest(F.col(f"total.{c}") - F.col(f"high_{c}"), F.lit(0))) for c in COUNTERS}
-    out = marked.select("file", "line", "lane", "duplicate", *(F.coalesce(x, F.lit(0)).cast("long").alias(c) for c, x in added.items()))
+    rest = [c for c in snapshots.columns if c not in ("file", "line", "lane", "total", "last")]
+    out = marked.select("file", "line", "lane", "duplicate", *rest, *(F.coalesce(x, F.lit(0)).cast("long").alias(c) for c, x in added.items()))
     cached = F.least("cached", "input")
-    return out.select("file", "line", "lane", "duplicate", (F.col("input") - cached).alias("input"), cached.alias("cache_read"), "output")
+    return out.select("file", "line", "lane", "duplicate", *rest, (F.col("input") - cached).alias("input"), cached.alias("cache_read"), "output")

@@ -3,12 +3,14 @@
 The lines are made from the tables, as JSON in the shape of the two sources.
 """
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tokenloom.operators import manifest, parse_a, parse_b, snapshots
+from tokenloom.functions.json_fields import summed
+from tokenloom.operators import delivery, manifest, parse_a, parse_b, snapshots
+from tokenloom.operators.graph import scratch
 from tokenloom.plans.registry import Registry
-from tokenloom.sources import transcripts
+from tokenloom.sources import files, transcripts
 from tokenloom.sources.tables import TOKENS, table
 
 _all = Registry()
@@ -52,21 +54,34 @@ def replay_path_prune(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _raw_lines(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "raw_record").select(F.col("file_name").alias("path"), F.col("line_no").alias("line"), F.col("raw_line").alias("value"))
+    return table(spark, folder, "raw_record").select("file_no", F.col("file_name").alias("path"), F.col("line_no").alias("line"), F.col("raw_line").alias("value"))
 
 
-@query("scan_complete_lines", "select path, line from (select file_name as path, line_no as line, json_valid(raw_line) as ok, row_number() over (partition by file_name order by line_no desc) as back from raw_record) where back > 1 or ok")
+@query("scan_complete_lines", """with n as (select *, row_number() over (partition by file_no order by line_no desc) as back from raw_record)
+  select file_no, count(*) as lines, cast(sum(strlen(raw_line)) as bigint) as bytes from n where not (back = 1 and file_no % 3 = 0) group by file_no""")
 def scan_complete_lines(spark: SparkSession, folder: str) -> DataFrame:
-    return transcripts.complete(_raw_lines(spark, folder)).select("path", "line")
+    """raw_record as real files. Of every third the last line has no line feed, and isn't read, whatever it holds."""
+    base = scratch(spark)
+    files.write_files(_torn(_raw_lines(spark, folder).withColumn("path", F.format_string("%d.jsonl", "file_no")), F.col("file_no") % 3 == 0), base)
+    lines = transcripts.complete(transcripts.read_lines(spark, [base], "claude", recursive=True))
+    file_no = F.regexp_extract("path", r"(\d+)\.jsonl$", 1).cast("long")
+    return lines.groupBy(file_no.alias("file_no")).agg(F.count("*").alias("lines"), F.sum(F.octet_length("value")).cast("long").alias("bytes"))
+
+
+def _torn(lines: DataFrame, unfinished: Column) -> DataFrame:
+    """`lines` with torn: the last line of the files that are `unfinished`."""
+    last = F.max("line").over(Window.partitionBy("path"))
+    return lines.withColumn("torn", unfinished & (F.col("line") == last))
+
 
 
 # Source A
 
 
-def lines_a(spark: SparkSession, folder: str) -> DataFrame:
-    """assistant_record as transcript lines, with a line of another kind for every fifth."""
+def lines_a(spark: SparkSession, folder: str, output: Column | None = None) -> DataFrame:
+    """assistant_record as transcript lines, with a line of another kind for every fifth. output: in place of output_tokens."""
     usage = F.struct(
-        F.col("input_tokens"), F.col("output_tokens"), F.col("cache_read").alias("cache_read_input_tokens"), (F.col("cache_write_5m") + F.col("cache_write_1h")).alias("cache_creation_input_tokens"),
+        F.col("input_tokens"), (F.col("output_tokens") if output is None else output).alias("output_tokens"), F.col("cache_read").alias("cache_read_input_tokens"), (F.col("cache_write_5m") + F.col("cache_write_1h")).alias("cache_creation_input_tokens"),
         F.struct(F.col("cache_write_5m").alias("ephemeral_5m_input_tokens"), F.col("cache_write_1h").alias("ephemeral_1h_input_tokens")).alias("cache_creation"))
     message = F.struct(F.col("message_id").alias("id"), "model", F.when(F.col("has_stop_reason"), "end_turn").alias("stop_reason"), usage.alias("usage"))
     stamp = F.when(F.col("ts") > 0, F.concat(F.date_format(F.timestamp_seconds("ts"), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z")))
@@ -107,6 +122,56 @@ def window_first_value(spark: SparkSession, folder: str) -> DataFrame:
     return snapshots.first_seen(rows, "session").select("line", "session")
 
 
+# A tree of transcripts, from the files to the roll-up
+
+
+def _form() -> Column:
+    """What a file is an example of: 0 too deep, 1 a sub-agent, 2 a workflow, 4 unfinished."""
+    return F.pmod(F.ascii("file_name") + F.ascii(F.substring("file_name", 3, 1)), F.lit(6))
+
+
+def _tree(spark: SparkSession, folder: str, base: str) -> None:
+    """Transcripts of the first source, at the depths that count, too deep, and without line feed at the end."""
+    name = F.regexp_extract("path", "([^/]+)$", 1)
+    lines = lines_a(spark, folder).withColumn("file_name", name)
+    below = F.when(_form() == 0, "deep/er/still").when(_form() == 1, "s1/subagents").when(_form() == 2, "s1/subagents/workflows/w").otherwise("")
+    path = F.concat(F.lit("projects/-a-b/"), below, F.when(below != "", "/").otherwise(""), name)
+    files.write_files(_torn(lines.withColumn("path", path), _form() == 4), base)
+
+
+_FILE_KIND = "((ascii(file_name) + ascii(substr(file_name, 3, 1))) % 6)"
+_SCANNED = f"""{_A.replace("l as (", "every_line as (", 1).split("c as (")[0]} l as (select * from (select *, {_FILE_KIND} as form, row_number() over (partition by file_name order by line desc) as back from every_line) where form <> 0 and not (form = 4 and back = 1)),
+  c as (select *, last_value(cwd ignore nulls) over (partition by file_name order by line) as folder from l),
+  u as ({_USAGE_A}),
+  k as (select * from u qualify row_number() over (partition by dedup_key order by dedup_rank desc, {", ".join(f"{t} desc" for t in ("output_tokens", "input_tokens", "cache_read", "cache_write_5m", "cache_write_1h"))}) = 1)"""
+
+
+@query("scan_folder", f"""with {_SCANNED} select (select count(distinct file_name) from l) as files, (select count(*) from l) as lines, (select count(*) from u) as events, (select count(*) from u) - (select count(*) from k) as duplicates,
+  (select count(*) from l where starts_with(trim(model), '<')) as synthetic, {", ".join(f"(select cast(sum({t}) as bigint) from k) as {t}" for t in TOKENS)}""")
+def scan_folder(spark: SparkSession, folder: str) -> DataFrame:
+    """Files on disk, lines that are complete, events, each message once across files: the scan's numbers and the sums."""
+    base = scratch(spark)
+    _tree(spark, folder, base)
+    lines = transcripts.complete(transcripts.read_lines(spark, [f"{base}/projects/{d}" for d in transcripts.DEPTHS], "claude"))
+    usage = parse_a.usage(lines)
+    best = [F.col(c) for c in ("dedup_rank", "output_tokens", "input_tokens", "cache_read", "cache_write_5m", "cache_write_1h")]
+    kept = delivery.kept(usage, F.lit(""), F.col("dedup_key"), best, F.lit(0), clean=False)
+    own = F.coalesce(F.try_variant_get(F.try_parse_json("value"), "$.message.model", "string"), F.lit(""))
+    seen = lines.agg(F.count_distinct("path").alias("files"), F.count("*").alias("lines"), F.count_if(F.trim(own).startswith("<")).alias("synthetic"))
+    counted = usage.agg(F.count("*").alias("events"))
+    sums = kept.agg(F.count("*").alias("kept"), *(summed(t).alias(t) for t in TOKENS))
+    return seen.crossJoin(counted).crossJoin(sums).select("files", "lines", "events", (F.col("events") - F.col("kept")).alias("duplicates"), "synthetic", *TOKENS)
+
+
+@query("parse_saturated", f"""with {_A.replace("c as (", "l2 as (select * replace (case when line % 14 = 0 then 9223372036854775807 else output_tokens end as output_tokens) from l), c as (").replace("from l)", "from l2)").replace("from l2), c as", "from l), c as")} , u as ({_USAGE_A.replace(" + ".join(TOKENS), " + ".join(f"cast({t} as hugeint)" for t in TOKENS))})
+  select dedup_rank, count(*) as requests, cast(least(sum(output_tokens), 9223372036854775807) as bigint) as output_tokens, cast(sum(input_tokens) as bigint) as input_tokens from u group by dedup_rank""")
+def parse_saturated(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines with the largest count without sign: it is cut to 64 bits with sign, and sums stop there."""
+    huge = F.lit((1 << 64) - 1).cast("decimal(20,0)")
+    lines = lines_a(spark, folder, F.when(F.col("record_no") % 7 == 0, huge).otherwise(F.col("output_tokens").cast("decimal(20,0)")))
+    return parse_a.usage(lines).groupBy("dedup_rank").agg(F.count("*").alias("requests"), summed("output_tokens").alias("output_tokens"), summed("input_tokens").alias("input_tokens"))
+
+
 # Source B
 
 
@@ -195,3 +260,33 @@ def manifest_changed(spark: SparkSession, folder: str) -> DataFrame:
     return manifest.plan(*_manifest(spark, folder)).agg(manifest.changed().alias("changed"), F.count("*").alias("files"))
 
 
+@query("scan_resumed", """with n as (select *, row_number() over (partition by file_no order by line_no) as nth, count(*) over (partition by file_no) as lines from raw_record),
+  f as (select file_no, any_value(lines) as lines, case when file_no % 4 = 0 then 'Full' when file_no % 4 = 1 then 'Append' else 'Unchanged' end as action from n group by file_no)
+  select f.action, count(distinct file_no) as files, cast(count(*) filter (f.action = 'Full' or f.action = 'Append' and nth > n.lines // 2) as bigint) as lines_read, count(*) as lines_known from n join f using (file_no) group by f.action""")
+def scan_resumed(spark: SparkSession, folder: str) -> DataFrame:
+    """Two scans of raw_record as real files: the first writes the manifest of what it has read; then files have
+    come, grown or stayed, and the second reads only what is new. Together they know every line once."""
+    base = scratch(spark)
+    path = F.format_string("%d.jsonl", "file_no")
+    lines = _raw_lines(spark, folder).withColumns({"path": path, "torn": F.lit(False)})
+    half = Window.partitionBy("path")
+    early = (F.col("file_no") % 4 != 0) & ((F.col("file_no") % 4 != 1) | (F.row_number().over(half.orderBy("line")) <= F.floor(F.count("*").over(half) / 2)))
+    files.write_files(lines.withColumn("early", early).where("early"), f"{base}/files")
+    first = _scan(files.listing(spark, f"{base}/files"), None, f"{base}/manifest/0", f"{base}/lines/0")
+    files.write_files(lines.where("file_no % 4 < 2"), f"{base}/files")
+    second = _scan(files.listing(spark, f"{base}/files"), first, f"{base}/manifest/1", f"{base}/lines/1")
+    known = spark.read.parquet(f"{base}/lines/0").unionByName(spark.read.parquet(f"{base}/lines/1")).groupBy("path").agg(F.count_distinct("offset").alias("lines_known"))
+    read = spark.read.parquet(f"{base}/lines/1").groupBy("path").agg(F.count("*").alias("lines_read"))
+    done = second.join(known, "path", "left").join(read, "path", "left").fillna(0, ["lines_known", "lines_read"])
+    return done.groupBy("action").agg(F.count("*").alias("files"), F.sum("lines_read").cast("long").alias("lines_read"), F.sum("lines_known").cast("long").alias("lines_known"))
+
+
+def _scan(listing: DataFrame, before: DataFrame | None, to: str, lines_to: str) -> DataFrame:
+    """Reads what `manifest.plan` calls for, writes the lines and then the new manifest, which it returns."""
+    spark = listing.sparkSession
+    now = listing.withColumn("identity", F.lit(0))
+    old = before if before is not None else spark.createDataFrame([], "path string, identity int, offset long, modified long")
+    plan = manifest.plan(old.select("path", "identity", "offset", "modified"), now).join(now, "path")
+    files.read_from(plan.where("action in ('Full', 'Append')").select("path", "begin", "size")).write.parquet(lines_to)
+    plan.select("path", "identity", F.col("size").alias("offset"), "modified", "action").write.parquet(to)
+    return spark.read.parquet(to)

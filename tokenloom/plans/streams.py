@@ -1,11 +1,12 @@
 """Queries that run as streams over the tables' files, to the end of what is there."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tokenloom.operators.graph import scratch
 from tokenloom.plans.registry import Registry
 from tokenloom.plans.usage import EVENTS, RAW, TOTAL, raw
+from tokenloom.sources import files
 from tokenloom.sources.tables import TOKENS, table
 from tokenloom.sources.tail import Tail
 from tokenloom.streaming import usage as streaming
@@ -81,24 +82,19 @@ def change_signature(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("stream_tail", "select count(*) as lines, cast(sum(strlen(raw_line)) as bigint) as bytes from raw_record")
 def stream_tail(spark: SparkSession, folder: str) -> DataFrame:
-    """The lines of raw_record as growing files, read through the tail source."""
+    """The lines of raw_record as growing files, read through the tail source in two runs of one stream: the
+    second goes on at the offsets of the first, also where that ended within a line."""
     base = scratch(spark)
-    lines = table(spark, folder, "raw_record").select("file_no", "line_no", F.col("raw_line").alias("value"))
-    # A line feed within a line would end it.
-    lines.select(F.pmod("file_no", F.lit(16)).alias("part"), F.concat(F.lit("="), F.translate("value", "\n", " ")).alias("value")).write.partitionBy("part").option("lineSep", "\n").text(f"{base}/files")
-    renamed = _as_jsonl(base)
+    lines = table(spark, folder, "raw_record").select(F.format_string("%d.jsonl", F.pmod("file_no", F.lit(16))).alias("path"), "file_no", "line_no", F.translate("raw_line", "\n", " ").alias("value"))
+    place = Window.partitionBy("path")
+    lines = lines.withColumns({"line": F.row_number().over(place.orderBy("file_no", "line_no")), "half": F.ceil(F.count("*").over(place) / 2)})
     spark.dataSource.register(Tail)
-    rows = spark.readStream.format("tail").option("path", renamed).load().select(F.octet_length(F.substring("value", 2, 2_000_000_000)).alias("n"))
-    return streaming.finished(rows, "append").agg(F.count("*").alias("lines"), F.sum("n").cast("long").alias("bytes"))
 
+    def run() -> DataFrame:
+        rows = spark.readStream.format("tail").option("path", f"{base}/files").load().select(F.octet_length("value").alias("n"))
+        return streaming.finished(rows, "append", base)
 
-def _as_jsonl(base: str) -> str:
-    """The folder's text files under names of transcripts."""
-    import os
-
-    folder = f"{base}/files".removeprefix("file://").removeprefix("file:")
-    for top, _, files in os.walk(folder):
-        for f in files:
-            if f.endswith(".txt"):
-                os.rename(os.path.join(top, f), os.path.join(top, f[:-4] + ".jsonl"))
-    return folder
+    files.write_files(lines.where("line <= half").withColumn("torn", F.col("line") == F.col("half")), f"{base}/files")
+    run()
+    files.write_files(lines.withColumn("torn", F.lit(False)), f"{base}/files")
+    return run().agg(F.count("*").alias("lines"), F.sum("n").cast("long").alias("bytes"))

@@ -99,33 +99,44 @@ def replay_messages(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("session", "seq", "kind", "detail", F.col("dedup_key").alias("key"))
 
 
-@query("replay_tools", f"with {_ROWS}, b as (select *, case when kind = 'ToolCall' then {_flat(chr(39) + chr(39))} end as x from r where source = 'codex') select session, seq, kind, case when kind = 'ToolCall' then 'codex:call:' else 'codex:result:' end || call_id as key from b where kind in ('ToolCall', 'ToolResult', 'ToolError')")
+@query("replay_tools", f"""with {_ROWS}, b as (select session, seq, kind, call_id, case when kind = 'ToolCall' then {_flat("coalesce(title, 'tool')")} end as called, {_flat('detail')} as detail from r where source = 'codex' and kind in ('ToolCall', 'ToolResult', 'ToolError'))
+  select session, seq, kind, coalesce(called, case when coalesce(call_id, '') <> '' then last_value(called ignore nulls) over (partition by session, call_id order by seq rows between unbounded preceding and 1 preceding) end, 'tool result') as title, detail,
+  case when kind = 'ToolCall' then 'codex:call:' else 'codex:result:' end || nullif(left(call_id, 512), '') as key from b""")
 def replay_tools(spark: SparkSession, folder: str) -> DataFrame:
+    """Calls, and results titled by their calls."""
     out = replay.items(_as_b(spark, folder)).where("kind in ('ToolCall', 'ToolResult', 'ToolError')")
-    return out.select("session", "seq", "kind", F.col("dedup_key").alias("key"))
+    return replay.titled(out.withColumn("source", F.lit("codex"))).select("session", "seq", "kind", "title", "detail", F.col("dedup_key").alias("key"))
 
 
 def _as_a(spark: SparkSession, folder: str) -> DataFrame:
-    """Rows of the first source as its records, with content blocks."""
+    """Rows of the first source as its records. By seq % 7 a message's content is text (0), an object
+    (1), missing (2), null (3), or an array of blocks; where it is 4 there is no message, and the text is the record's."""
     r = rows(spark, folder).where("source = 'claude'")
     text = F.coalesce("detail", F.lit(""))
     said = F.to_json(F.struct(F.lit("text").alias("type"), text.alias("text")))
-    use = F.to_json(F.struct(F.lit("tool_use").alias("type"), F.col("call_id").alias("id"), F.col("title").alias("name"), F.struct(text.alias("v")).alias("input")))
+    use = F.to_json(F.struct(F.lit("tool_use").alias("type"), F.col("call_id").alias("id"), F.col("title").alias("name"), F.struct(text.alias("text")).alias("input")))
     result = F.to_json(F.struct(F.lit("tool_result").alias("type"), F.col("call_id").alias("tool_use_id"), (F.col("kind") == "ToolError").alias("is_error"), text.alias("content")))
     kind = F.col("kind")
     block = F.when(kind == "ToolCall", use).when(kind.isin("ToolResult", "ToolError"), result).otherwise(said)
-    # Every seventh message has its text as plain content.
-    plain = kind.isin("User", "Assistant") & (F.col("seq") % 7 == 0)
-    content = F.when(plain, F.substring(F.to_json(F.struct(text.alias("t"))), 6, 2_000_000_000)).otherwise(F.concat(F.lit("["), block, F.lit("]}")))
+    talk, form = kind.isin("User", "Assistant", "System"), F.col("seq") % 7
+    quoted = F.substring(F.to_json(F.struct(text.alias("t"))), 6, 2_000_000_000)  # "..."}
+    content = F.when(talk & (form == 0), F.concat(F.lit(',"content":'), quoted)).when(talk & (form == 1), ',"content":{"text":"x"}}').when(talk & (form == 2), "}").when(talk & (form == 3), ',"content":null}')
+    content = content.otherwise(F.concat(F.lit(',"content":['), block, F.lit("]}")))
     role = F.when(kind.isin("Assistant", "ToolCall"), "assistant").when(kind == "System", "system").otherwise("user")
-    json = F.concat(F.lit('{"type":"'), role, F.lit('","uuid":"u'), F.col("seq").cast("string"), F.lit('","message":{"role":"'), role, F.lit('","content":'), content, F.lit("}"))
-    return r.select("seq", F.parse_json(json).alias("record"))
+    message = F.when(talk & (form == 4), F.concat(F.lit('"content":'), quoted)).otherwise(F.concat(F.lit('"message":{"role":"'), role, F.lit('"'), content, F.lit("}")))
+    json = F.concat(F.lit('{"type":"'), role, F.lit('","uuid":"u'), F.col("seq").cast("string"), F.lit('",'), message)
+    return r.select("source", "session", "seq", F.parse_json(json).alias("record"))
 
 
-@query("replay_blocks", f"with {_ROWS} select seq, kind, 'claude:u' || seq || ':0' as key, case when kind = 'ToolCall' then null else coalesce(detail, '') end as detail, call_id from r where source = 'claude' and (kind not in ('User', 'Assistant', 'System') or coalesce(detail, '') <> '' or (kind <> 'System' and seq % 7 = 0))")
+@query("replay_blocks", f"""with {_ROWS}, b as (select *, kind in ('User', 'Assistant', 'System') as talk, seq % 7 as form, {_flat('detail')} as shown, case when kind = 'ToolCall' then case when title is null then 'tool' else {_flat('title')} end end as called from r where source = 'claude')
+  select session, seq, case when talk and form = 4 then 'System' when kind = 'System' then 'Assistant' else kind end as kind,
+    case when talk then case kind when 'Assistant' then 'assistant' when 'System' then 'system' else 'user' end
+      else coalesce(called, last_value(called ignore nulls) over (partition by session, nullif(call_id, '') order by seq rows between unbounded preceding and 1 preceding), 'tool result') end as title,
+    case when kind = 'ToolCall' and shown = '' then '{{"text":""}}' when kind = 'ToolCall' and detail is null then '{{}}' else shown end as detail, case when talk and form in (0, 4) then 'u' || seq else 'claude:u' || seq || ':0' end as key, case when not talk then nullif(call_id, '') end as call_id
+  from b where kind is not null and (not talk or form = 0 or form > 3 and shown <> '')""")
 def replay_blocks(spark: SparkSession, folder: str) -> DataFrame:
-    out = replay.blocks(_as_a(spark, folder))
-    return out.select("seq", "kind", F.col("dedup_key").alias("key"), F.when(F.col("kind") != "ToolCall", F.col("detail")).alias("detail"), "call_id")
+    out = replay.titled(replay.blocks(_as_a(spark, folder)), "seq", "position")
+    return out.select("session", "seq", "kind", "title", "detail", F.col("dedup_key").alias("key"), "call_id")
 
 
 @query("replay_value_preview", f"with {_ROWS} select seq, {_flat('detail')} as shown, kind = 'ToolError' as failed from r where kind in ('ToolResult', 'ToolError')")

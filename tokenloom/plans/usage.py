@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tokenloom.functions import display
+from tokenloom.functions.json_fields import MOST
 from tokenloom.operators import calendar, delivery, devices, pricing, rollups
 from tokenloom.operators.filters import SHARED, UsageFilter, billable, last_days, synthetic
 from tokenloom.plans.registry import Registry
@@ -11,8 +12,9 @@ from tokenloom.sources.tables import TOKENS, table
 
 #: Queries end with a given day instead of the clock's.
 AS_OF, NOW = "2025-06-29", 1751241599
-LOCAL = "dev-700689b4e2"
-TOTAL = "input_tokens + output_tokens + cache_read + cache_write_5m + cache_write_1h"
+#: The local device of the queries; it has events at every scale.
+LOCAL = "dev-55ea50a63b"
+TOTAL = f"coalesce(try_add(try_add(try_add(try_add(input_tokens, output_tokens), cache_read), cache_write_5m), cache_write_1h), {MOST})"
 
 
 def raw(spark: SparkSession, folder: str) -> DataFrame:
@@ -101,8 +103,8 @@ def incremental_merge(spark: SparkSession, folder: str) -> DataFrame:
     """The later half of the batches put into the store of the earlier half: as one pass over all."""
     rank = {"source": F.lit(""), "key": F.col("dedup_key"), "better": [F.col("dedup_rank"), F.col("output_tokens")], "row": F.col("seq"), "clean": False}
     rows = raw(spark, folder).where("dedup_key is not null").select("seq", "batch_no", "source", "dedup_key", "dedup_rank", "output_tokens", "total")
-    half = (rows.agg(F.max("batch_no").alias("m")).withColumn("half", F.floor(F.col("m") / 2))).select("half")
-    old, new = (rows.join(F.broadcast(half), F.col("batch_no") <= F.col("half")).drop("half"), rows.join(F.broadcast(half), F.col("batch_no") > F.col("half")).drop("half"))
+    half = rows.agg(F.floor(F.max("batch_no") / 2)).scalar()
+    old, new = rows.where(F.col("batch_no") <= half), rows.where(F.col("batch_no") > half)
     stored = delivery.kept(old, **rank)
     fresh, better = delivery.accept_batch(stored, new, **rank)
     unbeaten = stored.join(better.select("dedup_key"), "dedup_key", "left_anti")
@@ -147,11 +149,26 @@ def filter_synthetic(spark: SparkSession, folder: str) -> DataFrame:
     return by_source.select("source", "kept", by_source.agg(F.sum("own")).scalar().alias("skipped"))
 
 
-@query("session_events", "with " + EVENTS + " select seq, ts, total from ev where source = 'claude' and session = (select min(session) from ev where source = 'claude' and session <> '')")
+_LATEST = EVENTS + f", fl as (select * from ev where ts <= {NOW}), la as (select session, arg_max(source, (ts, seq)) as source, max(ts) as last_ts, count(*) as requests from fl group by session)"
+
+
+def _latest_source(rows: DataFrame) -> DataFrame:
+    """session, source (that of its latest event, of equally late ones the last to arrive), last_ts, requests."""
+    return rows.groupBy("session").agg(F.max_by("source", F.struct("ts", "seq")).alias("source"), F.max("ts").alias("last_ts"), F.count("*").alias("requests"))
+
+
+@query("session_latest_source", f"with {_LATEST} select * from la")
+def session_latest_source(spark: SparkSession, folder: str) -> DataFrame:
+    """Of the events that the filter admits, which source a session's timeline is read from."""
+    return _latest_source(UsageFilter(until=AS_OF).apply(events(spark, folder)))
+
+
+@query("session_events", f"with {_LATEST} select seq, ts, total from fl where session = (select min(session) from la where session <> '') and source = (select source from la where session = (select min(session) from la where session <> ''))")
 def session_events(spark: SparkSession, folder: str) -> DataFrame:
-    rows = events(spark, folder).where("source = 'claude'")
-    first = rows.where("session <> ''").agg(F.min("session").alias("session"))
-    return rows.join(F.broadcast(first), "session").select("seq", "ts", "total")
+    """The admitted events of the first session by name, from its latest source."""
+    rows = UsageFilter(until=AS_OF).apply(events(spark, folder)).where("session <> ''")
+    first = _latest_source(rows).agg(F.min(F.struct("session", "source")).alias("x")).select("x.*")
+    return rows.where((F.col("session") == first.select("session").scalar()) & (F.col("source") == first.select("source").scalar())).select("seq", "ts", "total")
 
 
 # Roll-ups
@@ -301,16 +318,20 @@ def validate_rates(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("pricing_overrides", "with " + RATES + """, over as (select case when model_ref_id % 4 = 0 then model_name else model_name || '-new' end as model, case when model_ref_id % 3 = 0 then 0.0 else 9.5 end as input, case when model_ref_id % 3 = 0 then 0.0 else 19.5 end as output
   from model_reference where model_ref_id % 4 in (0, 1))
-  select model, cast(case when o.model is not null then o.input else r.input end as double) as input, cast(case when o.model is not null then o.output else r.output end as double) as output from rates r full join over o using (model) where r.model is not null or not (o.input = 0 and o.output = 0)""")
+  select model, cast(case when o.input + o.output > 0 then o.input else r.input end as double) as input, cast(case when o.input + o.output > 0 then o.output else r.output end as double) as output, coalesce(o.input = 0 and o.output = 0, false) as refused
+  from rates r full join over o using (model) where r.model is not null or not (o.input = 0 and o.output = 0)""")
 def pricing_overrides(spark: SparkSession, folder: str) -> DataFrame:
-    """Overrides as they are delivered: one JSON object from model to rate."""
+    """Overrides as they are delivered: one JSON object from model to rate. Zeros for a model with a
+    rate are refused, zeros for another one a placeholder."""
     n = F.col("model_ref_id")
     name = F.when(n % 4 == 0, F.col("model_name")).otherwise(F.concat("model_name", F.lit("-new")))
     rate = F.when(n % 3 == 0, F.struct(F.lit(0.0).alias("input"), F.lit(0.0).alias("output"))).otherwise(F.struct(F.lit(9.5).alias("input"), F.lit(19.5).alias("output")))
     document = table(spark, folder, "model_reference").where("model_ref_id % 4 in (0, 1)").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(name, rate)))).alias("json"))
     read = document.select(F.explode(F.from_json("json", "map<string,struct<input:decimal(12,6),output:decimal(12,6),cache_read:decimal(12,6),cache_write_5m:decimal(12,6),cache_write_1h:decimal(12,6)>>")).alias("model", "rate"))
-    out = pricing.overridden(rates(spark, folder), read.select("model", "rate.*"))
-    return out.select("model", F.col("input").cast("double").alias("input"), F.col("output").cast("double").alias("output"))
+    old, new = rates(spark, folder), read.select("model", "rate.*")
+    refused = pricing.refused_overrides(old, new).withColumn("refused", F.lit(True))
+    out = pricing.overridden(old, new).join(refused, "model", "left")
+    return out.select("model", F.col("input").cast("double").alias("input"), F.col("output").cast("double").alias("output"), F.coalesce("refused", F.lit(False)).alias("refused"))
 
 
 @query("pricing_starter", "with " + PRICED + " select model, coalesce(cast(any_value(r.input) as double), 0) as input, coalesce(cast(any_value(r.output) as double), 0) as output from (select distinct model from ev where model is not null) left join full_rates r using (model) group by model")

@@ -5,13 +5,13 @@ micro-batch is split by file, and the executors read their byte ranges themselve
 as soon as its line feed is there, so a torn tail is read with the batch that completes it.
 """
 
-import os
 from collections.abc import Iterator
 
+from pyarrow import fs
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 from pyspark.sql.types import StructType
 
-PIECE = 32 * 1024 * 1024
+from tokenloom.sources.files import PIECE, file_system, lines_of
 
 
 class Range(InputPartition):
@@ -20,55 +20,36 @@ class Range(InputPartition):
         self.path, self.begin, self.end = path, begin, end
 
 
-def lines_of(path: str, begin: int, end: int) -> Iterator[tuple[str, int, str]]:
-    """path, offset, line of the lines whose line feed lies in begin..end of the file."""
-    with open(path, "rb") as f:
-        start = begin
-        while start > 0:  # back to where the line that `begin` cuts began
-            step = min(65_536, start)
-            f.seek(start - step)
-            at = f.read(step).rfind(b"\n")
-            if at >= 0:
-                start = start - step + at + 1
-                break
-            start -= step
-        f.seek(start)
-        while start < end:
-            line = f.readline()
-            if not line.endswith(b"\n") or start + len(line) > end:
-                return
-            yield path, start, line[:-1].decode("utf-8", "replace")
-            start += len(line)
-
-
 class TailReader(DataSourceStreamReader):
     def __init__(self, folder: str) -> None:
         self.folder = folder
 
-    def _sizes(self) -> dict[str, int]:
-        found = {}
-        for top, folders, files in os.walk(self.folder):
-            folders[:] = sorted(d for d in folders if d != "archived_sessions")
-            found |= {os.path.join(top, f): os.path.getsize(os.path.join(top, f)) for f in files if f.endswith(".jsonl")}
-        return dict(sorted(found.items()))
+    def _files(self) -> dict[str, list[int]]:
+        """Size and time of change of each file."""
+        system, path = file_system(self.folder)
+        found = system.get_file_info(fs.FileSelector(path, recursive=True, allow_not_found=True))
+        ours = [f for f in found if f.type == fs.FileType.File and f.path.endswith(".jsonl") and "/archived_sessions/" not in f.path]
+        scheme = self.folder.partition("://")[0] + "://" if "://" in self.folder else ""
+        return {scheme + f.path: [f.size, f.mtime_ns or 0] for f in sorted(ours, key=lambda f: f.path)}
 
     def initialOffset(self) -> dict:
         return {"files": {}}
 
     def latestOffset(self) -> dict:
-        return {"files": self._sizes()}
+        return {"files": self._files()}
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
         out = []
-        for path, size in end["files"].items():
-            begin = start["files"].get(path, 0)
-            # A file that shrank was replaced and is read from its start.
-            begin = 0 if size < begin else begin
+        for path, (size, changed) in end["files"].items():
+            begin, before = start["files"].get(path, (0, 0))
+            # A file that shrank, or changed without growing, was replaced and is read from its start.
+            begin = 0 if size < begin or size == begin and changed != before else begin
             out += [Range(path, at, min(at + PIECE, size)) for at in range(begin, size, PIECE)]
         return out
 
     def read(self, partition: Range) -> Iterator[tuple[str, int, str]]:
-        return lines_of(partition.path, partition.begin, partition.end)
+        for offset, line in lines_of(partition.path, partition.begin, partition.end):
+            yield partition.path, offset, line
 
     def commit(self, end: dict) -> None:
         pass

@@ -28,23 +28,26 @@ def of_session(path: Column, session: Column) -> Column:
 
 
 def read_lines(spark: SparkSession, paths: list[str], source: str, recursive: bool = False) -> DataFrame:
-    """source, path, line, value of text files. The reader takes whole files, one a task at
-    least, and the line number is that of the file."""
-    reader = spark.read.option("wholetext", False)
+    """source, path, line, value, torn of text files. A line ends with a line feed and nothing else;
+    `torn` is the last one of a file that has none behind it: it is still being written. Files are read in
+    splits; the line's number is that of the file."""
+    reader = spark.read.option("lineSep", "\n")
     if recursive:
         reader = reader.option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl")
-    rows = reader.text(paths).select("value", "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("at"))
+    rows = reader.text(paths).select("value", "_metadata.file_path", "_metadata.file_size", "_metadata.file_block_start", F.monotonically_increasing_id().alias("at"))
     if recursive:
         rows = rows.where(not_archived(F.col("file_path")))
-    w = Window.partitionBy("file_path").orderBy("file_block_start", "at")
-    return rows.select(F.lit(source).alias("source"), F.col("file_path").alias("path"), F.row_number().over(w).alias("line"), "value")
+    whole, w = Window.partitionBy("file_path"), Window.partitionBy("file_path").orderBy("file_block_start", "at")
+    rows = rows.withColumns({"line": F.row_number().over(w), "lines": F.count("*").over(whole), "bytes": F.sum(F.octet_length("value") + 1).over(whole)})
+    # The reader leaves out a byte-order mark of three bytes.
+    over = F.col("bytes") - F.col("file_size")
+    torn = (F.col("line") == F.col("lines")) & over.isin(1, -2)
+    return rows.select(F.lit(source).alias("source"), F.col("file_path").alias("path"), "line", "value", torn.alias("torn"))
 
 
 def complete(lines: DataFrame) -> DataFrame:
-    """Lines without a torn tail: a file's last line that is no JSON is still being written."""
-    w = Window.partitionBy("path").orderBy(F.col("line").desc())
-    rows = lines.withColumn("back", F.row_number().over(w))
-    return rows.where((F.col("back") > 1) | F.try_parse_json("value").isNotNull()).drop("back")
+    """Lines without a torn tail, whatever it holds: the next scan reads it."""
+    return lines.where(~F.col("torn")).drop("torn")
 
 
 def records(lines: DataFrame) -> DataFrame:

@@ -4,8 +4,6 @@ Late rows always land in their own day, so no watermark drops them by default; w
 stays bounded and rows later than it are left out, which the caller asks for by name.
 """
 
-import os
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
@@ -19,7 +17,12 @@ def read(spark: SparkSession, folder: str, name: str, files: int = 50) -> DataFr
     path = f"{folder}/{name}.parquet"
     schema = spark.read.parquet(path).schema
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files)
-    return reader.option("pathGlobFilter", f"{name}.parquet").parquet(folder) if os.path.isfile(path) else reader.parquet(path)
+    return reader.parquet(path) if _is_folder(spark, path) else reader.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+
+
+def _is_folder(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
 
 
 def by_day(events: DataFrame, late: str | None = None) -> DataFrame:
@@ -33,11 +36,12 @@ def by_hour(events: DataFrame) -> DataFrame:
     return events.where("ts > 0").groupBy(F.hour(F.timestamp_seconds("ts")).cast("long").alias("hour")).agg(F.sum("total").alias("total"), F.count("*").alias("requests"))
 
 
-def finished(stream: DataFrame, mode: str) -> DataFrame:
+def finished(stream: DataFrame, mode: str, base: str | None = None) -> DataFrame:
     """The result after all input that is there now, written batch by batch to the shared folder;
-    in mode complete the last batch is the result, in mode append all are."""
+    in mode complete the last batch is the result, in mode append all are. With the folder `base` of an
+    earlier run the stream goes on where that ended."""
     spark = stream.sparkSession
-    base = scratch(spark)
+    base = base or scratch(spark)
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{base}/out/{number:010d}")
