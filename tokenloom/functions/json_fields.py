@@ -21,7 +21,7 @@ def u64(record: Column, path: str) -> Column:
     kind = F.schema_of_variant(F.try_variant_get(record, path, "variant"))
     whole = kind.isin("BIGINT", "INT", "SMALLINT", "TINYINT") | kind.rlike(r"^DECIMAL\((19|20),0\)$")
     number = F.when(whole & value.rlike(r"^[0-9]+$"), value.cast("decimal(20,0)"))
-    return F.coalesce(F.when(number <= F.lit((1 << 64) - 1).cast("decimal(20,0)"), number), F.lit(0).cast("decimal(20,0)"))
+    return F.coalesce(F.when(number <= F.lit(str((1 << 64) - 1)).cast("decimal(20,0)"), number), F.lit(0).cast("decimal(20,0)"))
 
 
 #: Counts are kept as whole numbers of 64 bits with sign; larger ones count as the largest.

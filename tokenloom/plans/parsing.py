@@ -167,7 +167,7 @@ def scan_folder(spark: SparkSession, folder: str) -> DataFrame:
   select dedup_rank, count(*) as requests, cast(least(sum(output_tokens), 9223372036854775807) as bigint) as output_tokens, cast(sum(input_tokens) as bigint) as input_tokens from u group by dedup_rank""")
 def parse_saturated(spark: SparkSession, folder: str) -> DataFrame:
     """Lines with the largest count without sign: it is cut to 64 bits with sign, and sums stop there."""
-    huge = F.lit((1 << 64) - 1).cast("decimal(20,0)")
+    huge = F.lit(str((1 << 64) - 1)).cast("decimal(20,0)")
     lines = lines_a(spark, folder, F.when(F.col("record_no") % 7 == 0, huge).otherwise(F.col("output_tokens").cast("decimal(20,0)")))
     return parse_a.usage(lines).groupBy("dedup_rank").agg(F.count("*").alias("requests"), summed("output_tokens").alias("output_tokens"), summed("input_tokens").alias("input_tokens"))
 
