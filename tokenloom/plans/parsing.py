@@ -164,12 +164,12 @@ def scan_folder(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("parse_saturated", f"""with {_A.replace("c as (", "l2 as (select * replace (case when line % 14 = 0 then 9223372036854775807 else output_tokens end as output_tokens) from l), c as (").replace("from l)", "from l2)").replace("from l2), c as", "from l), c as")} , u as ({_USAGE_A.replace(" + ".join(TOKENS), " + ".join(f"cast({t} as hugeint)" for t in TOKENS))})
-  select dedup_rank, count(*) as requests, cast(least(sum(output_tokens), 9223372036854775807) as bigint) as output_tokens, cast(sum(input_tokens) as bigint) as input_tokens from u group by dedup_rank""")
+  select dedup_rank, count(*) as requests, count(distinct project) as projects, cast(least(sum(output_tokens), 9223372036854775807) as bigint) as output_tokens, cast(sum(input_tokens) as bigint) as input_tokens from u group by dedup_rank""")
 def parse_saturated(spark: SparkSession, folder: str) -> DataFrame:
     """Lines with the largest count without sign: it is cut to 64 bits with sign, and sums stop there."""
     huge = F.lit(str((1 << 64) - 1)).cast("decimal(20,0)")
     lines = lines_a(spark, folder, F.when(F.col("record_no") % 7 == 0, huge).otherwise(F.col("output_tokens").cast("decimal(20,0)")))
-    return parse_a.usage(lines).groupBy("dedup_rank").agg(F.count("*").alias("requests"), summed("output_tokens").alias("output_tokens"), summed("input_tokens").alias("input_tokens"))
+    return parse_a.usage(lines).groupBy("dedup_rank").agg(F.count("*").alias("requests"), F.count_distinct("project").alias("projects"), summed("output_tokens").alias("output_tokens"), summed("input_tokens").alias("input_tokens"))
 
 
 # Source B
