@@ -64,3 +64,29 @@ def test_held_out_accuracy(spark):
     one = languages.labelled(documents.where("doc_id % 2 = 1"), model).where("label is not null and size(segments) = 1")
     right, n = one.agg(F.count_if(F.col("label") == F.col("lang")), F.count("*")).first()
     assert n > 300 and right / n > 0.9  # labels themselves are partly wrong
+
+
+@pytest.mark.skipif(not Path(DATA).exists(), reason="no test data")
+def test_languages_without_labelled_documents(spark):
+    model = languages.fitted_model(spark.read.parquet(DATA))
+    swedish = "Alla människor är födda fria och lika i värde och rättigheter. De är utrustade med förnuft och samvete."
+    turkish = "Bütün insanlar hür haysiyet ve haklar bakımından eşit doğarlar. Akıl ve vicdana sahiptirler."
+    english, german = "All human beings are born free and equal in dignity and rights.", "Alle Menschen sind frei und gleich an Würde und Rechten geboren."
+    rows = [(1, swedish, "sv"), (2, turkish, None), (3, f"{english} {turkish}", "en"), (4, english, "en"), (5, german, "fr")]
+    out, df = labelled(spark, model, rows)
+    assert {k: v[:2] for k, v in out.items()} == {1: ("und", ["und"]), 2: ("und", ["und"]), 3: (out[3][0], ["en", "und"]), 4: ("en", ["en"]), 5: ("de", ["de"])}
+    assert 1 not in {r.doc_id for r in languages.doubtful(languages.labelled(df, model)).collect()}
+
+
+@pytest.mark.skipif(not Path(DATA).exists(), reason="no test data")
+def test_held_out_accuracy_of_segments_and_confidence(spark):
+    """Texts put together from two documents of known languages: both are found, in order, and who is sure is right."""
+    documents = spark.read.parquet(DATA)
+    model = languages.fitted_model(documents.where("doc_id % 2 = 0"))
+    plain = languages.labelled(documents.where("doc_id % 2 = 1"), model).where("size(segments) = 1 and lang = label and confidence > 0.99").join(documents, "doc_id").select("doc_id", "label", "text").where("length(text) between 80 and 3000").orderBy("doc_id").limit(160).collect()
+    pairs = [(a, b) for a, b in zip(plain[::2], plain[1::2]) if a.label != b.label]
+    answers = languages.label_texts([f"{a.text}\n\n{b.text}" for a, b in pairs], model)
+    right = [[lang for lang, _ in segments] == [a.label, b.label] for (a, b), (_, _, segments) in zip(pairs, answers)]
+    assert len(pairs) > 30 and sum(right) / len(right) > 0.95
+    sure = [c for ok, (_, _, segments) in zip(right, answers) if ok for _, c in segments]
+    assert sum(c > 0.9 for c in sure) / len(sure) > 0.95

@@ -15,12 +15,14 @@ size (`CELLS` n-grams an order), which every task gets. All documents are labell
 Defined cases: null, empty and wordless texts have no segments and no language; null, blank and
 placeholder labels (`NO_LANGUAGE`) are absent; an unknown label is another language; repeated
 rows are labelled each; ties go to the language first in the alphabet; without any labelled
-document nothing is found; extra columns are ignored.
+document nothing is found; text of a language without labelled documents is `UNKNOWN` and doubtful to nobody; extra columns are ignored.
 """
 
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +35,13 @@ ORDERS, CELLS = 4, 1 << 16
 SAMPLE, SAMPLE_CHARS = 400, 20_000
 #: Share of probability spread over all n-grams, seen or not.
 UNSEEN = 0.05
-#: What a further language must add to a document's log-likelihood, and what it costs a sentence more.
-PENALTY, PER_LOG_SENTENCE = 3.0, 0.0
+#: Sentences whose scores a process remembers.
+REMEMBERED = 200_000
+#: What a further language must add to a document's log-likelihood.
+PENALTY = 3.0
+#: A sentence of `LONG_ENOUGH` letters is of none of the languages if its likelihood a letter lies so far below
+#: that of the labelled ones (all but one in a thousand), and ahead of the next language by less than that.
+UNKNOWN, LONG_ENOUGH, BELOW, AHEAD = "und", 20, 2.0, 0.45
 
 # Codes and names of the languages.
 LANGUAGES = {
@@ -54,8 +61,9 @@ NO_LANGUAGE = ("", "und", "zxx", "mul", "mis", "unk", "unknown", "none", "null",
 _FENCE = re.compile(r"```.*?(?:```|\Z)", re.S)
 _NOISE = re.compile(r"<\|[^|\n]*\|>|\\u[0-9a-f]{4}|https?://\S+")
 _CJK = "぀-ヿ㐀-䶿一-鿿豈-﫿"
-_SENTENCE = re.compile(rf"\n+|(?<=[.!?…])\s+|(?<=[。！？])(?![。！？」』）])|(?<=[.!?…])(?=[{_CJK}])")
-_WORD = re.compile(r"(?<!\S)[(\"'«“‘„¿¡>*_\[#-]*([^\W\d_]+(?:[-'’][^\W\d_]+)*)[.,;:!?…)\"'»”’“*_\]]*(?!\S)")
+#: Where a sentence ends: before line feeds, behind a mark.
+_END = re.compile(rf"\n+|[.!?…](?:\s+|(?=[{_CJK}]))|[。！？](?![。！？」』）])")
+_WORD = re.compile(r"[(\"'«“‘„¿¡>*_\[#-]*([^\W\d_]+(?:[-'’][^\W\d_]+)*)[.,;:!?…)\"'»”’“*_\]]*")
 _HAS_CJK = re.compile(rf"[{_CJK}]")
 _NOT_CJK = re.compile(rf"[^{_CJK}ー々]+")
 _COMMAND = re.compile(r"^\W*\$\s")
@@ -69,6 +77,13 @@ def language_of_label(label: Column) -> Column:
     return F.when(label.isNull() | clean.isin(*NO_LANGUAGE), None).otherwise(F.coalesce(known[clean], known[base], clean))
 
 
+@lru_cache(200_000)
+def _word(token: str) -> str:
+    """The word in a token, without the marks around it; the empty string if it is none."""
+    m = _WORD.fullmatch(token)
+    return m[1] if m else ""
+
+
 def sentences(text: str) -> list[str]:
     """The words of each sentence of natural language, in order."""
     if not text.isascii():
@@ -78,19 +93,21 @@ def sentences(text: str) -> list[str]:
         text = _FENCE.sub("\n", text)
     if "<|" in text or "\\u" in text or "http" in text:
         text = _NOISE.sub(" ", text)
+    cjk = not text.isascii() and _HAS_CJK.search(text) is not None
     out = []
-    for part in _SENTENCE.split(text):
-        if not part or _COMMAND.match(part):
-            continue
+    begin = 0
+    for m in chain(_END.finditer(text), (None,)):
+        part = text[begin:] if m is None else text[begin : m.start() + (text[m.start()] != "\n")]
+        begin = m.end() if m else 0
         tokens = part.split()
-        if _HAS_CJK.search(part):
+        if not tokens or "$" in part and _COMMAND.match(part):
+            continue
+        words = list(filter(None, map(_word, tokens)))
+        if cjk and _HAS_CJK.search(part):
             letters = _NOT_CJK.sub(" ", part).strip()
-            words = _WORD.findall(part)
             if len(letters) >= 2 and len(letters) >= sum(map(len, words)) / 2:
                 out.append(letters)
                 continue
-        else:
-            words = _WORD.findall(part)
         if len(words) >= 2 and 2 * len(words) >= len(tokens):
             out.append(" ".join(words))
     return out
@@ -118,8 +135,12 @@ def grams(units: list[str]) -> tuple[np.ndarray, np.ndarray]:
 class Model:
     """Log-probabilities of n-grams by language."""
 
-    def __init__(self, names: list[str], table: np.ndarray) -> None:
-        self.names, self.table = names, table
+    def __init__(self, names: list[str], table: np.ndarray, floor: float = -np.inf) -> None:
+        self.names, self.table, self.floor = names, table, floor
+        self.known: dict[str, np.ndarray] = {}
+
+    def __getstate__(self) -> dict:
+        return {"names": self.names, "table": self.table, "floor": self.floor, "known": {}}
 
     @classmethod
     def fit(cls, labelled: list[tuple[str, str]], rounds: int = 3) -> "Model | None":
@@ -131,22 +152,48 @@ class Model:
             lang += [names.index(name)] * len(own)
         if not units:
             return None
+        code: dict[str, int] = {}
+        at = np.array([code.setdefault(u, len(code)) for u in units])
         given, keep = np.array(lang), np.ones(len(units), bool)
         cell, owner = grams(units)
-        model = None
-        for _ in range(rounds):
+        lengths = np.array([len(u) for u in units])
+        model, floor = None, -np.inf
+        for turn in range(rounds):
             table = np.zeros((ORDERS * CELLS, len(names)))
             for k in range(len(names)):
                 table[:, k] = np.bincount(cell[(keep & (given == k))[owner]], minlength=ORDERS * CELLS)
             by_order = table.reshape(ORDERS, CELLS, len(names))
             share = by_order / np.maximum(by_order.sum(1, keepdims=True), 1)
-            model = cls(names, np.log((1 - UNSEEN) * share + UNSEEN / CELLS).reshape(ORDERS * CELLS, len(names)).astype(np.float32))
-            best = model.score(units).argmax(1)
+            model = cls(names, np.log((1 - UNSEEN) * share + UNSEEN / CELLS).reshape(ORDERS * CELLS, len(names)).astype(np.float32), floor)
+            if turn == rounds - 1:
+                break
+            scores = model.score(list(code))[at]
+            best = scores.argmax(1)
+            usual = (scores.max(1) / lengths)[(lengths >= LONG_ENOUGH) & (best == given)]
+            floor = float(np.quantile(usual, 0.001)) if len(usual) else floor
             # A language without any agreement keeps all it has.
             agree = best == given
             keep = agree | ~np.isin(given, given[agree])
         return model
 
+    def unknown(self, scores: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """How sure it is, from 0 on, that each sentence is of none of the languages."""
+        if len(self.names) < 2:
+            return np.zeros(len(scores))
+        first, second = -np.partition(-scores, 1, 1)[:, :2].T
+        low = (first / lengths < self.floor - BELOW) & (lengths >= LONG_ENOUGH)
+        return np.where(low, np.maximum(0.0, 1 - (first - second) / lengths / AHEAD), 0.0)
+
+    def remembered(self, units: list[str]) -> np.ndarray:
+        """`score`, each unit scored once a process while the memory of them (`REMEMBERED`) lasts."""
+        new = [u for u in units if u not in self.known]
+        if len(self.known) + len(new) > REMEMBERED:
+            self.known.clear()
+            new = units
+        self.known.update(zip(new, self.score(new)))
+        out = np.array([self.known[u] for u in units])
+        return out
+
     def score(self, units: list[str]) -> np.ndarray:
         """Log-likelihood of each unit under each language, averaged over the orders."""
         out = np.zeros((len(units), len(self.names)))
@@ -166,7 +213,6 @@ class Model:
 
 def mixture(scores: np.ndarray, rounds: int = 30) -> tuple[np.ndarray, np.ndarray]:
     """(languages, posteriors): the set of languages of a document and each sentence's posterior under their mixture."""
-    price = PENALTY + PER_LOG_SENTENCE * np.log(len(scores))
     chosen = np.unique(scores.argmax(1))
 
     def fitted(langs: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
@@ -183,7 +229,7 @@ def mixture(scores: np.ndarray, rounds: int = 30) -> tuple[np.ndarray, np.ndarra
             share = new
             if done:
                 break
-        return float((top + np.log(total)).sum()) - price * len(langs), share, posterior
+        return float((top + np.log(total)).sum()) - PENALTY * len(langs), share, posterior
 
     best, share, posterior = fitted(chosen)
     while len(chosen) > 1:
@@ -197,15 +243,27 @@ def mixture(scores: np.ndarray, rounds: int = 30) -> tuple[np.ndarray, np.ndarra
     return chosen, posterior
 
 
-def labelled_segments(scores: np.ndarray, lengths: np.ndarray, names: list[str]) -> tuple[str, float, list[tuple[str, float]]]:
+def labelled_segments(scores: np.ndarray, lengths: np.ndarray, names: list[str], unknown: np.ndarray | None = None) -> tuple[str, float, list[tuple[str, float]]]:
     """(language, confidence, segments of language and confidence) of a document's sentences. A
     document's language is the one of most letters, its confidence the share of letters, weighted
-    by their posterior; the posterior is taken against all languages."""
-    langs, posterior = mixture(scores)
-    pick = posterior.argmax(1)
-    joint = scores - scores.max(1, keepdims=True)
-    sure = np.exp(joint[np.arange(len(pick)), langs[pick]]) / np.exp(joint).sum(1)
-    sure = np.maximum(sure, posterior[np.arange(len(pick)), pick] * sure) * lengths
+    by their posterior; the posterior is taken against all languages. Sentences of none of them (`unknown`, how
+    surely) are left out of the mixture and are segments of the language `UNKNOWN`."""
+    if unknown is not None and unknown.any():
+        known = unknown == 0
+        pick, sure, langs = np.zeros(len(scores), np.int64), unknown * lengths, np.zeros(0, np.int64)
+        if known.any():
+            langs, posterior = mixture(scores[known])
+            pick[known] = posterior.argmax(1)
+            joint = scores[known] - scores[known].max(1, keepdims=True)
+            sure[known] = np.exp(joint[np.arange(len(joint)), langs[pick[known]]]) / np.exp(joint).sum(1) * lengths[known]
+        pick[~known] = len(langs)
+        langs, names = np.append(langs, len(names)), [*names, UNKNOWN]
+    else:
+        langs, posterior = mixture(scores)
+        pick = posterior.argmax(1)
+        joint = scores - scores.max(1, keepdims=True)
+        sure = np.exp(joint[np.arange(len(pick)), langs[pick]]) / np.exp(joint).sum(1)
+        sure = np.maximum(sure, posterior[np.arange(len(pick)), pick] * sure) * lengths
     letters = np.bincount(pick, lengths, len(langs))
     main = int(letters.argmax())
     edges = np.concatenate([[0], np.nonzero(pick[1:] != pick[:-1])[0] + 1, [len(pick)]])
@@ -222,9 +280,9 @@ def label_texts(texts: list[str | None], model: Model | None) -> list[tuple[str
         return [(None, None, [])] * len(texts)
     code: dict[str, int] = {}
     at = np.array([code.setdefault(u, len(code)) for u in flat])
-    scores = model.score(list(code))[at]
+    scores = model.remembered(list(code))[at]
     lengths = np.array([len(u) for u in flat], float)
-    best = scores.argmax(1)
+    best, unknown = scores.argmax(1), model.unknown(scores, lengths)
     sure = lengths / np.exp(scores - scores.max(1, keepdims=True)).sum(1)
     counts = np.array([len(own) for own in units])
     ends = np.cumsum(counts)
@@ -233,11 +291,11 @@ def label_texts(texts: list[str | None], model: Model | None) -> list[tuple[str
         own = slice(end - n, end)
         if not n:
             out.append((None, None, []))
-        elif (best[own] == best[end - 1]).all():
+        elif (best[own] == best[end - 1]).all() and not unknown[own].any():
             lang, confidence = model.names[best[end - 1]], float(sure[own].sum() / lengths[own].sum())
             out.append((lang, confidence, [(lang, confidence)]))
         else:
-            out.append(labelled_segments(scores[own], lengths[own], model.names))
+            out.append(labelled_segments(scores[own], lengths[own], model.names, unknown[own]))
     return out
 
 
@@ -284,4 +342,4 @@ def _by_letters(texts: list[str | None], most: int = 1_000_000) -> Iterator[list
 
 def doubtful(labels: DataFrame) -> DataFrame:
     """The documents whose label is absent, names another language, or names one of several."""
-    return labels.where("lang is not null and (label is null or label <> lang or size(array_distinct(transform(segments, s -> s.lang))) > 1)")
+    return labels.where(f"lang is not null and lang <> '{UNKNOWN}' and (label is null or label <> lang or size(array_distinct(transform(segments, s -> s.lang))) > 1)")

@@ -95,16 +95,16 @@ def containers(sized: DataFrame, capacity: int = CAPACITY, group: int = GROUP, r
         items = np.nonzero(rest)[0]
         place = pack(rest[items], capacity)
         used = int(place.max()) + 1 if len(place) else 0
-        owner = np.concatenate([np.repeat(np.arange(len(n)), full), items])
-        start = np.arange(len(owner) - len(items)) - np.repeat(np.cumsum(full) - full, full)
-        part = np.concatenate([start, full[items]])
-        where = np.concatenate([used + np.arange(len(start)), place]) + first_id
-        size = np.concatenate([np.full(len(start), capacity), rest[items]])
+        none = np.nonzero(n == 0)[0]
+        owner = np.concatenate([np.repeat(np.arange(len(n)), full), items, none])
+        start = np.arange(full.sum()) - np.repeat(np.cumsum(full) - full, full)
+        part = np.concatenate([start, full[items], n[none]])
+        where = np.concatenate([used + np.arange(len(start)), place, n[none]]) + first_id
+        size = np.concatenate([np.full(len(start), capacity), rest[items], n[none]])
         yield pa.RecordBatch.from_arrays([
-            pa.array(where, pa.int64()), table.column("doc_id").combine_chunks().take(pa.array(owner)), pa.array(part, pa.int32()),
+            pa.array(where, pa.int64(), mask=size == 0), table.column("doc_id").combine_chunks().take(pa.array(owner)), pa.array(part, pa.int32()),
             pa.array(part * capacity, pa.int64()), pa.array(size, pa.int64())], ["container_id", "doc_id", "part_no", "first_token", "n_tokens"])
 
-    spread = sized.where("n_tokens > 0").select("doc_id", F.col("n_tokens").cast("long").alias("n_tokens"), F.pmod(F.xxhash64("doc_id"), F.lit(groups)).alias("g"))
-    packed = spread.groupBy("g").applyInArrow(fill, f"container_id bigint, doc_id {kind}, part_no int, first_token bigint, n_tokens bigint")
-    none = sized.where("n_tokens = 0").select(F.lit(None).cast("long").alias("container_id"), "doc_id", F.lit(0).alias("part_no"), F.lit(0).cast("long").alias("first_token"), F.lit(0).cast("long").alias("n_tokens"))
-    return packed.unionByName(none)
+    # Every text goes through the groups, so that the sizes are computed once.
+    spread = sized.select("doc_id", F.col("n_tokens").cast("long").alias("n_tokens"), F.pmod(F.xxhash64("doc_id"), F.lit(groups)).alias("g"))
+    return spread.groupBy("g").applyInArrow(fill, f"container_id bigint, doc_id {kind}, part_no int, first_token bigint, n_tokens bigint")

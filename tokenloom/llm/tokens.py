@@ -6,8 +6,8 @@ character and white space always falls between two words of the tokenizer, so id
 stay. Where a stretch has no such place the cut falls inside a word, and the word's two halves
 are joined by re-encoding a growing window around the cut until both sides agree: a sequence of
 tokens is the encoding of its bytes exactly if each pair of neighbours encodes to itself, so it
-is enough that the pairs at both ends of the window do. Halves of one very long word are split
-and joined the same way, as a tree, inside a task.
+is enough that the pairs at both ends of the window do. Parts of one very long word are
+joined the same way, as a tree, within a piece and across pieces.
 
 Defined cases: null and empty texts give an empty list; strings of special tokens are ordinary
 text; repeated rows give a list each; an empty table gives an empty result; extra columns are
@@ -158,18 +158,28 @@ def encoded(documents: DataFrame, vocabulary: str = VOCABULARY, long: int = LONG
 
 
 def join_pieces(coder: Bpe, pieces: list[tuple[bool, list[int], int, int]]) -> list[int]:
-    """ids of a text from its pieces (inside a word, ids, tokens of the first and last word)."""
+    """ids of a text from its pieces (inside a word, ids, tokens of the first and last word). The
+    parts of a word that goes through many pieces are joined as a tree."""
     out: list[int] = []
-    tail = 0
+    word: list[list[int]] = []  # the parts so far of the word that the last piece ends with
+
+    def close() -> None:
+        while len(word) > 1:
+            word[:] = [coder.join(*pair) if len(pair) > 1 else pair[0] for pair in (word[i : i + 2] for i in range(0, len(word), 2))]
+        out.extend(word.pop() if word else ())
+
     for inside, ids, first, last in pieces:
         if inside:
-            word = coder.join(out[len(out) - tail :], ids[:first])
-            out[len(out) - tail :] = word
-            out += ids[first:]
-            tail = len(word) if first == len(ids) else last
+            word.append(ids[:first])
+            if first == len(ids):
+                continue
+            close()
+            ids = ids[first:]
         else:
-            out += ids
-            tail = last
+            close()
+        out += ids[: len(ids) - last]
+        word.append(ids[len(ids) - last :])
+    close()
     return out
 
 
