@@ -1,12 +1,15 @@
 """Queries on usage events: deduplication, filters, roll-ups, costs, calendars, devices, reports."""
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tokenloom.functions import display
 from tokenloom.functions.json_fields import MOST
-from tokenloom.operators import calendar, delivery, devices, pricing, rollups
+from tokenloom.operators import calendar, delivery, devices, pricing, reports, rollups
 from tokenloom.operators.filters import SHARED, UsageFilter, billable, last_days, synthetic
+from tokenloom.operators.graph import checkpointed
 from tokenloom.plans.registry import Registry
 from tokenloom.sources.tables import TOKENS, table
 
@@ -358,14 +361,16 @@ def daily_dense(spark: SparkSession, folder: str) -> DataFrame:
 @query("report_daily_csv", "with " + PRICED + f""", d as (select cast(unnest(range(date '{AS_OF}' - 29, date '{AS_OF}' + 1, interval 1 day)) as date) as date),
   s as (select date, cast(coalesce(sum(total), 0) as bigint) as total, cast(round(coalesce(sum(cost), 0), 0) as bigint) as micro, cast(coalesce(sum(priced_tokens), 0) as bigint) as priced, count(pr.seq) as requests from d left join pr on day = date group by date),
   c as (select *, case when total = 0 then 1000000 else (2000000 * priced + total) // (2 * total) end as cover from s)
-  select strftime(date, '%Y-%m-%d') || ',' || total || ',' || micro // 1000000 || '.' || lpad(cast(micro % 1000000 as varchar), 6, '0') || ',' || cover // 1000000 || '.' || lpad(cast(cover % 1000000 as varchar), 6, '0') || ',' || requests as line from c""")
+  select strftime(date, '%Y-%m-%d') || ',' || total || ',' || micro // 1000000 || '.' || lpad(cast(micro % 1000000 as varchar), 6, '0') || ',' || cover // 1000000 || '.' || lpad(cast(cover % 1000000 as varchar), 6, '0') || ',' || requests as line from c union all select 'date,tokens,cost_usd,cost_coverage,requests'""")
 def report_daily_csv(spark: SparkSession, folder: str) -> DataFrame:
-    """date,tokens,cost_usd,cost_coverage,requests of each day, both fractions with 6 digits."""
+    """A header, then date,tokens,cost_usd,cost_coverage,requests of each day, both fractions with 6 digits."""
     rows = daily(spark, folder, cost=True).select("date", "total", F.round("cost", 0).cast("long").alias("micro"), "priced_tokens", "requests")
     full = calendar.dense(spark, rows, AS_OF, 30, {"total": 0, "micro": 0, "priced_tokens": 0, "requests": 0})
     cover = F.when(F.col("total") == 0, 1_000_000).otherwise(F.floor((F.col("priced_tokens").cast("decimal(28,0)") * 2_000_000 + F.col("total")) / (F.col("total") * 2)))
     six = lambda c: F.format_string("%d.%06d", F.floor(c / 1_000_000), c % 1_000_000)
-    return full.select(F.concat_ws(",", F.col("date").cast("string"), F.col("total").cast("string"), six(F.col("micro")), six(cover.cast("long")), F.col("requests").cast("string")).alias("line"))
+    header = spark.range(1).select(F.lit(0).alias("n"), F.lit("date,tokens,cost_usd,cost_coverage,requests").alias("line"))
+    lines = full.select(F.lit(1).alias("n"), F.concat_ws(",", F.col("date").cast("string"), F.col("total").cast("string"), six(F.col("micro")), six(cover.cast("long")), F.col("requests").cast("string")).alias("line"))
+    return header.unionByName(lines).orderBy("n", "line").select("line")
 
 
 @query("today_bucket", "with " + EVENTS + f" select strftime(day, '%Y-%m-%d') as date, {SUMS} from ev where day = date '{AS_OF}' group by day")
@@ -441,27 +446,60 @@ def report_text_models(spark: SparkSession, folder: str) -> DataFrame:
     return sums.select("model", "total", F.when(full, "priced").otherwise("—").alias("cost")).orderBy(F.col("total").desc(), "model").limit(12)
 
 
-@query("report_json", "with " + OBSERVED + """ select (select cast(sum(total) as bigint) from ob) as total, (select count(*) from ob) as requests, (select count(distinct model) + max(case when model is null then 1 else 0 end) from ob) as models, (select count(distinct ts // 86400) from ob where ts > 0) as days""")
+_REPORT = OBSERVED + ", " + RATES + f""", pr as (select e.*, case when coalesce(a.model, b.model) is null then 0 else e.input_tokens * coalesce(a.input, b.input) + e.output_tokens * coalesce(a.output, b.output)
+    + e.cache_read * case when a.model is null then b.cache_read else a.cache_read end + e.cache_write_5m * case when a.model is null then b.cache_write_5m else a.cache_write_5m end
+    + e.cache_write_1h * case when a.model is null then b.cache_write_1h else a.cache_write_1h end end as cost,
+  case when coalesce(a.model, b.model) is null then 0 else total end as priced_tokens, case when coalesce(a.model, b.model) is null then total else 0 end as unpriced_tokens
+  from ob e left join full_rates a on a.model = e.model left join full_rates b on b.model = {PKEY.replace('model,', 'e.model,')}),
+  x as (select *, coalesce(model, 'unknown') as m, coalesce(project, 'unknown') as p, case when len(observed_on) = 1 then observed_on[1] else '@shared' end as dv, case when ts > 0 then strftime(make_timestamp(ts * 1000000), '%Y-%m-%d') end as dy,
+    case when ts > 0 then strftime(make_timestamp(ts * 1000000), '%H') end as hr from pr)"""
+_SECTIONS = {"by_source": "source", "by_model": "m", "by_project": "p", "by_device": "dv", "daily": "dy", "by_hour": "hr"}
+_SQL_MEASURES = f"{SUMS}, {COSTS.replace('cast(sum(priced_tokens) as bigint) as priced_tokens, cast(sum(unpriced_tokens) as bigint) as unpriced_tokens, ', '').replace('as coverage', 'as cost_coverage')}"
+_NONE = ", ".join(f"0 as {c}" for c in (*TOKENS, "total", "requests", "sessions", "last_ts", "cost_usd", "cost_coverage"))
+_NO_MEASURES = _NONE.replace("0 as total", "{total} as total")
+
+
+@query("report_json", "with " + _REPORT + f" select 'total' as section, '' as label, '' as name, {_SQL_MEASURES} from x union all select 'today', dy, '', {_SQL_MEASURES} from x where dy = '{AS_OF}' group by dy union all "
+       + " union all ".join(f"select '{k}', {c}, {'case when ' + c + chr(61) + chr(39) + '@shared' + chr(39) + ' then ' + chr(39) + 'Shared' + chr(39) + ' else coalesce((select name from device_record d where d.device_id = ' + c + '), ' + c + ') end' if k == 'by_device' else chr(39) * 2}, {_SQL_MEASURES} from x where {c} is not null group by {c}" for k, c in _SECTIONS.items())
+       + f" union all select 'devices', device_id, name, {_NO_MEASURES.format(total='coalesce(generated_at, 0)')} from device_record union all select 'unpriced_models', model, '', {_NO_MEASURES.format(total='0')} from (select distinct model from x where model is not null and priced_tokens + unpriced_tokens >= 0 and model not in (select model from rates) and ({PKEY}) not in (select model from rates))"
+       + f" union all select 'scan', k, '', {_NO_MEASURES.format(total='v')} from (select unnest(['events', 'duplicates', 'synthetic']) as k, unnest([count(*), count(*) - (count(distinct dedup_key) + count(*) filter (dedup_key is null)), count(*) filter (starts_with(model, '<'))]) as v from raw)")
 def report_json(spark: SparkSession, folder: str) -> DataFrame:
-    """The report is one JSON document; what it says is read back from it."""
-    out = json_report(spark, folder)
-    g = lambda path, kind="bigint": F.try_variant_get(F.parse_json("json"), path, kind)
-    items = lambda path: F.size(F.try_variant_get(F.parse_json("json"), path, "array<variant>")).cast("long")
-    return out.select(g("$.total.total").alias("total"), g("$.total.requests").alias("requests"), items("$.by_model").alias("models"), items("$.daily").alias("days"))
+    """The report is one JSON document; what it says is read back from it, every bucket of every section."""
+    doc = json_report(spark, folder).select(F.parse_json("json").alias("doc"))
+    counts = [*TOKENS, "total"]
+    schema = "label string, tokens struct<" + ", ".join(f"{t}: bigint" for t in counts) + ">, cost_usd double, cost_coverage double, requests bigint, sessions bigint, last_ts bigint, device string"
+    bucket = lambda b, section: [F.lit(section).alias("section"), b["label"].alias("label"), b["device"].alias("name"), *(b["tokens"][t].alias(t) for t in counts), *(b[m].alias(m) for m in ("requests", "sessions", "last_ts", "cost_usd", "cost_coverage"))]
+    got = lambda path, kind: F.from_json(F.to_json(F.try_variant_get("doc", path, "variant")), kind)
+    out = [doc.select(got(f"$.{k}", schema).alias("b")).where("b.tokens is not null").select(*bucket(F.col("b"), k)) for k in ("total", "today")]
+    for k in _SECTIONS:
+        rows = doc.select(F.explode(got(f"$.{k}", f"array<struct<{schema.replace(' string', ': string').replace(' struct', ': struct').replace(' double', ': double').replace('requests bigint', 'requests: bigint').replace('sessions bigint', 'sessions: bigint').replace('last_ts bigint', 'last_ts: bigint')}>>")).alias("b"))
+        out.append(rows.select(*bucket(F.col("b"), k)).where("requests > 0"))
+    empty = {c: F.lit(None).cast("double" if c.startswith("cost") else "bigint") for c in (*counts, "requests", "sessions", "last_ts", "cost_usd", "cost_coverage")}
+    other = lambda section, df: df.select(F.lit(section).alias("section"), "label", "name", *((F.col(c) if c in df.columns else v).alias(c) for c, v in empty.items()))
+    known = doc.select(F.explode(got("$.devices", "array<struct<id: string, name: string, synced_ts: bigint>>")).alias("d")).select(F.col("d.id").alias("label"), "d.name", F.col("d.synced_ts").alias("total"))
+    missing = doc.select(F.explode(got("$.unpriced_models", "array<string>")).alias("label")).withColumn("name", F.lit(None).cast("string"))
+    scan = doc.select(F.explode(got("$.scan", "map<string, bigint>")).alias("label", "total")).withColumn("name", F.lit(None).cast("string"))
+    for section, df in (("devices", known), ("unpriced_models", missing), ("scan", scan)):
+        out.append(other(section, df))
+    return reduce(DataFrame.unionByName, out).fillna(0).fillna("")
+
+
+def _report_parts(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Buckets, written once as each part of a report reads them, models without a price, and the scan's numbers."""
+    seen = observed(spark, folder)
+    return checkpointed(reports.buckets(pricing.priced(seen, rates(spark, folder)))), pricing.unpriced_models(seen, rates(spark, folder)), scan_stats(spark, folder)
 
 
 def json_report(spark: SparkSession, folder: str) -> DataFrame:
-    """json: the report of all roll-ups. Its lists are as long as there are models, projects and days."""
-    rows = rollups.all_rollups(observed(spark, folder))
-    bucket = F.struct("label", *TOKENS, "total", "requests")
-    lists = [F.sort_array(F.collect_list(F.when(F.col("dimension") == d, bucket))).alias(name) for d, name in (("source", "by_source"), ("model", "by_model"), ("project", "by_project"), ("device", "by_device"), ("day", "daily"), ("hour", "by_hour"))]
-    # The model null has no label, and is counted by what the labelled leave over.
-    total = F.first(F.when(F.col("dimension") == "total", bucket), ignorenulls=True).alias("total")
-    doc = rows.agg(total, *lists)
-    rest = F.col("total.requests") - F.aggregate("by_model", F.lit(0).cast("long"), lambda a, x: a + x["requests"])
-    unknown = F.array(F.struct(F.lit("unknown").alias("label"), *(F.lit(0).cast("long").alias(t) for t in TOKENS), F.lit(0).cast("long").alias("total"), rest.alias("requests")))
-    doc = doc.withColumn("by_model", F.when(rest > 0, F.concat("by_model", unknown)).otherwise(F.col("by_model")))
-    return doc.select(F.to_json(F.struct(F.lit(None).cast("int").alias("window_days"), F.lit(NOW).alias("generated_ts"), *doc.columns)).alias("json"))
+    """json: the whole report, with all devices."""
+    found, missing, scan = _report_parts(spark, folder)
+    return reports.json_document(found, table(spark, folder, "device_record"), missing, scan, AS_OF, NOW)
+
+
+@query("report_text")
+def report_text(spark: SparkSession, folder: str) -> DataFrame:
+    """n, line: the report as it is printed."""
+    return reports.text_lines(*_report_parts(spark, folder), AS_OF, NOW)
 
 
 # Devices
