@@ -88,6 +88,11 @@ def p5_table(spark: SparkSession, folder: str) -> DataFrame:
     return drift.consistent(lines, drift.union_schema(lines))
 
 
+def p5_records(spark: SparkSession, folder: str) -> DataFrame:
+    """Of the consistent table: records of each file and the sum of a field that has changed its name."""
+    return p5_table(spark, folder).groupBy("file_no").agg(F.count("*").alias("records"), F.coalesce(F.sum(F.col("tokens_input").cast("double")), F.lit(0.0)).cast("long").alias("input"))
+
+
 _STRIP = r"regexp_replace({c}, '^[\s\p{{Z}}\p{{Cf}}\x00-\x20]+|[\s\p{{Z}}\p{{Cf}}\x00-\x20]+$', '', 'g')"
 _KEY = r"nullif(regexp_replace(lower(" + _STRIP + r"), '^(?:claude|codex):(?:v\d+:)?', ''), '')"
 _KEPT = f"""(select * from (select *, {_KEY.format(c='dedup_key')} as k from usage_event)
@@ -106,12 +111,14 @@ rolled as (select project, strftime(date '1970-01-01' + cast(day as int), '%Y-%m
   from dense window w7 as (partition by project order by day rows 6 preceding), w30 as (partition by project order by day rows 29 preceding))
 """
 
-QUERIES = {"p4_found": p4_found, "p4_rolling": p4_rolling, "p4_corrected": p4_corrected, "p5_found": p5_found, "p5_table": p5_table, "p6_found": p6_found, "p6_kept": p6_kept}
+QUERIES = {"p4_found": p4_found, "p4_rolling": p4_rolling, "p4_corrected": p4_corrected, "p5_found": p5_found, "p5_table": p5_table, "p5_records": p5_records, "p6_found": p6_found, "p6_kept": p6_kept}
 
 SQL = {
     "p4_found": _ROLLING + "select project, day_text from rolled where total_7 = 0 and total_30 <> 0",
     "p4_rolling": _ROLLING + "select * from rolled",
     "p4_corrected": _ROLLING + "select * from rolled",
+    "p5_records": """select file_no, count(*) as records, cast(coalesce(sum(cast(coalesce(nullif(raw_line ->> '$.tokens.input', ''), nullif(raw_line ->> '$.tokens.inputTokens', ''), nullif(raw_line ->> '$.tokens.input_tokens', '')) as double)), 0) as bigint) as input
+  from raw_record where json_valid(raw_line) and json_type(case when json_valid(raw_line) then raw_line end) = 'OBJECT' group by file_no""",
     "p6_found": f"""
 select 'usage_event' as record_table, seq as row_id from (
   select seq, row_number() over (partition by source, k order by dedup_rank desc nulls last, output_tokens desc nulls last, seq) as place
