@@ -65,28 +65,50 @@ def _folders(spark: SparkSession, path: str) -> list[str]:
     return sorted(s.getPath().toString() for s in fs.listStatus(p) if s.isDirectory()) if fs.exists(p) else []
 
 
-def replaced(stream: DataFrame, key: Column, better: list[Column], row: Column) -> DataFrame:
+def replaced(stream: DataFrame, key: Column, better: list[Column], row: Column, buckets: int = 32) -> DataFrame:
     """Exactly one row of each message after all input that is there now, a better copy in a later
-    batch taking the place of an earlier one. Each batch writes the next version of the store:
-    what was kept and not beaten, and the new rows; a batch that is done again writes the same."""
+    batch taking the place of an earlier one. The store is bucketed by key; a batch reads and writes
+    anew only the buckets that its keys fall into: what was kept and not beaten, and the new rows. A batch that is
+    done again reads the same versions and writes the same; of a bucket the version before the last is deleted."""
     spark = stream.sparkSession
     base = scratch(spark)
+    store, columns = f"{base}/store", stream.columns
+    bucket = F.pmod(F.xxhash64(F.coalesce(key.cast("string"), row.cast("string"))), F.lit(buckets)).cast("int").alias("bucket")
+
+    def versions() -> dict[int, list[str]]:
+        """The versions of each bucket, as folders, the last one last."""
+        out: dict[int, list[str]] = {}
+        for version in _folders(spark, store):
+            for folder in _folders(spark, version):
+                out.setdefault(int(folder.rpartition("=")[2]), []).append(folder)
+        return out
 
     def merge(batch: DataFrame, number: int) -> None:
-        versions = [v for v in _folders(spark, f"{base}/store") if v.rsplit("/", 1)[1] < f"{number:010d}"]
-        if versions:
-            stored = spark.read.parquet(versions[-1])
+        new = f"{store}/{number:010d}"
+        there = {k: [v for v in of if v.rsplit("/", 2)[1] < f"{number:010d}"] for k, of in versions().items()}
+        hit = [r.bucket for r in batch.select(bucket).distinct().collect()]  # at most so many as there are buckets
+        read = [there[k][-1] for k in hit if there.get(k)]
+        if read:
+            stored = spark.read.parquet(*read).select(columns)
             fresh, won = delivery.accept_batch(stored.where(key.isNotNull()), batch.where(key.isNotNull()), F.lit(""), key, better, row, clean=False)
             beaten = won.select(key.alias("__beaten"))
             rest = stored.join(beaten, key.eqNullSafe(F.col("__beaten")), "left_anti")
             out = rest.unionByName(fresh).unionByName(won).unionByName(batch.where(key.isNull()))
         else:
             out = delivery.kept(batch, F.lit(""), key, better, row, clean=False)
-        out.write.mode("overwrite").parquet(f"{base}/store/{number:010d}")
+        out.withColumn("bucket", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(new)
+        for k in hit:
+            for old in there.get(k, [])[:-1]:
+                _delete(spark, old)
 
     _run(stream.writeStream.foreachBatch(merge).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start())
-    versions = _folders(spark, f"{base}/store")
-    return spark.read.parquet(versions[-1]) if versions else spark.createDataFrame([], stream.schema)
+    last = [of[-1] for of in versions().values()]
+    return spark.read.parquet(*last).select(columns) if last else spark.createDataFrame([], stream.schema)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def signature(events: DataFrame) -> DataFrame:
