@@ -53,7 +53,7 @@ def test_rollups_agree(some):
 
 def test_top_ties_go_to_the_smallest_name(spark):
     df = events(spark, ("claude", 1, "b", "s", "p", 5, ["a"]), ("claude", 1, "a", "s", "p", 5, ["a"]), ("claude", 1, "c", "s", "p", 1, ["a"]))
-    assert rollups.top(df, ["session"], "model").first().top_model == "a"
+    assert rollups.tops(df, ["session"], ["model"]).first().top_model == "a"
 
 
 def rates(spark, *rows):

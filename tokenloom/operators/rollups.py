@@ -58,7 +58,14 @@ def all_rollups(events: DataFrame) -> DataFrame:
     return grouped.select(name.alias("dimension"), label.alias("label"), *TOKENS, "total", "requests").where("dimension = 'total' or label is not null")
 
 
-def top(events: DataFrame, by: list[str], what: str) -> DataFrame:
-    """The value of `what` with most tokens in each group; ties go to the smallest name."""
-    sums = events.where(F.col(what).isNotNull()).groupBy(*by, what).agg(F.sum("total").alias("t"))
-    return sums.groupBy(*by).agg(F.min_by(what, F.struct(-F.col("t"), what)).alias(f"top_{what}"))
+def tops(events: DataFrame, by: list[str], what: list[str]) -> DataFrame:
+    """For each of `what` its value with most tokens in each group, as top_...; ties go to the smallest name.
+    All are found in one pass; a group without any value is left out."""
+    columns = [F.col(c) for c in (*by, *what)]
+    sums = events.groupingSets([[*(F.col(c) for c in by), F.col(w)] for w in what], *columns).agg(F.grouping_id().alias("__gid"), F.sum("total").alias("__t"))
+    whole = (1 << len(what)) - 1
+    best = []
+    for i, w in enumerate(what):
+        own = (F.col("__gid") == whole - (1 << (len(what) - 1 - i))) & F.col(w).isNotNull()
+        best.append(F.min_by(w, F.when(own, F.struct(-F.col("__t"), F.col(w)))).alias(f"top_{w}"))
+    return sums.groupBy(*by).agg(*best).where(F.coalesce(*(F.col(f"top_{w}") for w in what)).isNotNull())

@@ -26,10 +26,13 @@ def raw(spark: SparkSession, folder: str) -> DataFrame:
     return rows.withColumn("total", F.expr(TOTAL))
 
 
-def events(spark: SparkSession, folder: str) -> DataFrame:
-    """Each message once, by its identifier as written."""
+def events(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+    """Each message once, by its identifier as written. columns: those that are needed besides the key and the
+    rank; a winner is carried as one value, of which later pruning takes nothing."""
     rank = [F.col("dedup_rank"), F.col("output_tokens")]
-    return delivery.kept(raw(spark, folder), F.lit(""), F.col("dedup_key"), rank, F.col("seq"), clean=False)
+    rows = raw(spark, folder)
+    rows = rows.select(*dict.fromkeys(("seq", "dedup_key", "dedup_rank", "output_tokens", *columns))) if columns else rows
+    return delivery.kept(rows, F.lit(""), F.col("dedup_key"), rank, F.col("seq"), clean=False)
 
 
 def observed(spark: SparkSession, folder: str) -> DataFrame:
@@ -93,12 +96,12 @@ def daily(spark: SparkSession, folder: str, cost: bool = False) -> DataFrame:
 
 @query("dedup_rank", "with " + EVENTS + " select seq, dedup_key, dedup_rank, output_tokens from ev where dedup_key is not null")
 def dedup_rank(spark: SparkSession, folder: str) -> DataFrame:
-    return events(spark, folder).where("dedup_key is not null").select("seq", "dedup_key", "dedup_rank", "output_tokens")
+    return events(spark, folder, "dedup_key").where("dedup_key is not null").select("seq", "dedup_key", "dedup_rank", "output_tokens")
 
 
 @query("dedup_keyless", "with " + EVENTS + " select seq, source, total from ev where dedup_key is null")
 def dedup_keyless(spark: SparkSession, folder: str) -> DataFrame:
-    return events(spark, folder).where("dedup_key is null").select("seq", "source", "total")
+    return events(spark, folder, "source", "total").where("dedup_key is null").select("seq", "source", "total")
 
 
 @query("incremental_merge", "with " + EVENTS + " select seq, source, total from ev where dedup_key is not null")
@@ -143,12 +146,12 @@ _filter("filter_shared", UsageFilter(device=SHARED), "len(observed_on) > 1", Tru
 
 @query("filter_billable", "with " + EVENTS + " select seq, total from ev where total > 0")
 def filter_billable(spark: SparkSession, folder: str) -> DataFrame:
-    return events(spark, folder).where(billable()).select("seq", "total")
+    return events(spark, folder, "total").where(billable()).select("seq", "total")
 
 
 @query("filter_synthetic", "with " + EVENTS + " select source, count(*) as kept, (select count(*) from ev where starts_with(model, '<')) as skipped from ev where not coalesce(starts_with(model, '<'), false) group by source")
 def filter_synthetic(spark: SparkSession, folder: str) -> DataFrame:
-    by_source = events(spark, folder).groupBy("source").agg(F.count_if(~synthetic()).alias("kept"), F.count_if(synthetic()).alias("own"))
+    by_source = events(spark, folder, "source", "model").groupBy("source").agg(F.count_if(~synthetic()).alias("kept"), F.count_if(synthetic()).alias("own"))
     return by_source.select("source", "kept", by_source.agg(F.sum("own")).scalar().alias("skipped"))
 
 
@@ -163,13 +166,13 @@ def _latest_source(rows: DataFrame) -> DataFrame:
 @query("session_latest_source", f"with {_LATEST} select * from la")
 def session_latest_source(spark: SparkSession, folder: str) -> DataFrame:
     """Of the events that the filter admits, which source a session's timeline is read from."""
-    return _latest_source(UsageFilter(until=AS_OF).apply(events(spark, folder)))
+    return _latest_source(UsageFilter(until=AS_OF).apply(events(spark, folder, "source", "session", "ts")))
 
 
 @query("session_events", f"with {_LATEST} select seq, ts, total from fl where session = (select min(session) from la where session <> '') and source = (select source from la where session = (select min(session) from la where session <> ''))")
 def session_events(spark: SparkSession, folder: str) -> DataFrame:
     """The admitted events of the first session by name, from its latest source."""
-    rows = UsageFilter(until=AS_OF).apply(events(spark, folder)).where("session <> ''")
+    rows = UsageFilter(until=AS_OF).apply(events(spark, folder, "source", "session", "ts", "total")).where("session <> ''")
     first = _latest_source(rows).agg(F.min(F.struct("session", "source")).alias("x")).select("x.*")
     return rows.where((F.col("session") == first.select("session").scalar()) & (F.col("source") == first.select("source").scalar())).select("seq", "ts", "total")
 
@@ -204,7 +207,7 @@ def rollup_device(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("rollup_hour", "with " + EVENTS + ", hours as (select unnest(range(24)) as hour) select printf('%02d', hour) as label, cast(coalesce(sum(total), 0) as bigint) as total, count(ev.seq) as requests from hours left join ev on hr = hour group by hour")
 def rollup_hour(spark: SparkSession, folder: str) -> DataFrame:
-    sums = events(spark, folder).where("ts > 0").groupBy(rollups.hour().alias("hour")).agg(F.sum("total").alias("total"), F.count("*").alias("requests"))
+    sums = events(spark, folder, "ts", "total").where("ts > 0").groupBy(rollups.hour().alias("hour")).agg(F.sum("total").alias("total"), F.count("*").alias("requests"))
     hours = spark.range(24).select(F.col("id").cast("int").alias("hour"))
     return hours.join(sums, "hour", "left").fillna(0).select(F.format_string("%02d", "hour").alias("label"), "total", "requests")
 
@@ -222,20 +225,19 @@ def rollup_all(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("activity_span", "with " + EVENTS + " select coalesce(min(ts), 0) as first_ts, coalesce(max(ts), 0) as last_ts from ev where ts > 0")
 def activity_span(spark: SparkSession, folder: str) -> DataFrame:
-    return events(spark, folder).where("ts > 0").agg(F.coalesce(F.min("ts"), F.lit(0)).alias("first_ts"), F.coalesce(F.max("ts"), F.lit(0)).alias("last_ts"))
+    return events(spark, folder, "ts").where("ts > 0").agg(F.coalesce(F.min("ts"), F.lit(0)).alias("first_ts"), F.coalesce(F.max("ts"), F.lit(0)).alias("last_ts"))
 
 
 @query("count_sessions", "with " + EVENTS + " select project, count(distinct case when session <> '' then source || chr(1) || session end) as sessions from ev group by project")
 def count_sessions(spark: SparkSession, folder: str) -> DataFrame:
-    return events(spark, folder).groupBy("project").agg(rollups.sessions().alias("sessions"))
+    return events(spark, folder, "project", "source", "session").groupBy("project").agg(rollups.sessions().alias("sessions"))
 
 
 @query("session_top_dims", "with " + EVENTS + """, m as (select * from (select source, session, model, sum(total) as t from ev where model is not null group by all) qualify row_number() over (partition by source, session order by t desc, model) = 1),
   p as (select * from (select source, session, project, sum(total) as t from ev where project is not null group by all) qualify row_number() over (partition by source, session order by t desc, project) = 1)
   select source, session, m.model as top_model, p.project as top_project from m full join p using (source, session)""")
 def session_top_dims(spark: SparkSession, folder: str) -> DataFrame:
-    rows = events(spark, folder)
-    return rollups.top(rows, ["source", "session"], "model").join(rollups.top(rows, ["source", "session"], "project"), ["source", "session"], "full")
+    return rollups.tops(events(spark, folder, "source", "session", "model", "project", "total"), ["source", "session"], ["model", "project"])
 
 
 @query("session_devices", "with " + OBSERVED + ", f as (select source, session, unnest(observed_on) as d from ob) select source, session, case when count(distinct d) = 1 then min(d) else 'Shared' end as device from f group by source, session")
@@ -246,13 +248,9 @@ def session_devices(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("headline_shape", "with " + EVENTS + " select count(distinct case when session <> '' then source || chr(1) || session end) as sessions, count(distinct project) as projects, count(distinct model) as models from ev")
 def headline_shape(spark: SparkSession, folder: str) -> DataFrame:
-    """Three counts, each from its own distinct values, so that no row is multiplied."""
-    rows = events(spark, folder)
-    one = lambda c, name: rows.where(c.isNotNull()).select(c.alias("v")).distinct().agg(F.count("*").alias(name))
-    session = F.when(F.col("session") != "", F.concat_ws("\u0001", "source", "session"))
-    parts = [one(session, "sessions"), one(F.col("project"), "projects"), one(F.col("model"), "models")]
-    flat = [p.select(*(F.col(c) if c in p.columns else F.lit(0).cast("long").alias(c) for c in ("sessions", "projects", "models"))) for p in parts]
-    return flat[0].unionByName(flat[1]).unionByName(flat[2]).agg(*(F.sum(c).alias(c) for c in ("sessions", "projects", "models")))
+    """Three counts over one deduplication."""
+    rows = events(spark, folder, "source", "session", "project", "model")
+    return rows.agg(rollups.sessions().alias("sessions"), F.count_distinct("project").alias("projects"), F.count_distinct("model").alias("models"))
 
 
 @query("scan_stats", "with " + RAW + """, k as (select count(*) as n, count(distinct dedup_key) + count(*) filter (dedup_key is null) as kept, count(*) filter (starts_with(model, '<')) as synthetic from raw)
@@ -266,20 +264,20 @@ def scan_stats(spark: SparkSession, folder: str) -> DataFrame:
 @query("text_bytes", "with " + EVENTS + " select source, cast(sum(coalesce(strlen(model), 0) + strlen(session) + coalesce(strlen(project), 0) + coalesce(strlen(dedup_key), 0)) as bigint) as bytes from ev group by source")
 def text_bytes(spark: SparkSession, folder: str) -> DataFrame:
     size = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in ("model", "session", "project", "dedup_key")), F.lit(0))
-    return events(spark, folder).groupBy("source").agg(F.sum(size).alias("bytes"))
+    return events(spark, folder, "source", "model", "session", "project").groupBy("source").agg(F.sum(size).alias("bytes"))
 
 
 @query("breakdown_share", "with " + EVENTS + " select project, cast(sum(total) as bigint) as total, case when sum(sum(total)) over () = 0 then 0 else cast(sum(total) as double) * 100 / cast(sum(sum(total)) over () as double) end as share from ev group by project")
 def breakdown_share(spark: SparkSession, folder: str) -> DataFrame:
     """The grand total is a scalar subquery over the same sums, whose shuffle is reused."""
-    sums = events(spark, folder).groupBy("project").agg(F.sum("total").alias("total"))
+    sums = events(spark, folder, "project", "total").groupBy("project").agg(F.sum("total").alias("total"))
     grand = sums.agg(F.sum("total")).scalar()
     return sums.withColumn("share", F.when(grand == 0, F.lit(0.0)).otherwise(F.col("total").cast("double") * 100 / grand.cast("double")))
 
 
 @query("bar_fraction", "with " + EVENTS + " select model, cast(sum(total) as double) / greatest(cast(max(sum(total)) over () as double), 1) as fraction from ev group by model")
 def bar_fraction(spark: SparkSession, folder: str) -> DataFrame:
-    sums = events(spark, folder).groupBy("model").agg(F.sum("total").alias("total"))
+    sums = events(spark, folder, "model", "total").groupBy("model").agg(F.sum("total").alias("total"))
     most = sums.agg(F.max("total")).scalar()
     return sums.select("model", (F.col("total").cast("double") / F.greatest(most.cast("double"), F.lit(1.0))).alias("fraction"))
 
@@ -294,7 +292,7 @@ def price_events(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("unpriced_models", "with " + PRICED + " select distinct model from pr where model is not null and model not in (select model from rates) and (" + PKEY + ") not in (select model from rates)")
 def unpriced_models(spark: SparkSession, folder: str) -> DataFrame:
-    return pricing.unpriced_models(events(spark, folder), rates(spark, folder))
+    return pricing.unpriced_models(events(spark, folder, "model"), rates(spark, folder))
 
 
 @query("cost_coverage", "with " + PRICED + f" select project, {COSTS}, case when cast(sum(unpriced_tokens) as double) / greatest(cast(sum(total) as double), 1) >= 0.5 then 'serious' when sum(unpriced_tokens) > 0 then 'warning' else 'none' end as severity from pr group by project")
@@ -340,7 +338,7 @@ def pricing_overrides(spark: SparkSession, folder: str) -> DataFrame:
 @query("pricing_starter", "with " + PRICED + " select model, coalesce(cast(any_value(r.input) as double), 0) as input, coalesce(cast(any_value(r.output) as double), 0) as output from (select distinct model from ev where model is not null) left join full_rates r using (model) group by model")
 def pricing_starter(spark: SparkSession, folder: str) -> DataFrame:
     """The models observed with their rate; zeros stand for rates to be filled in."""
-    seen = events(spark, folder).select("model").where("model is not null").distinct()
+    seen = events(spark, folder, "model").select("model").where("model is not null").distinct()
     full = pricing.effective(rates(spark, folder)).select("model", F.col("input").cast("double").alias("input"), F.col("output").cast("double").alias("output"))
     return seen.join(full, "model", "left").fillna(0.0)
 
@@ -395,7 +393,7 @@ def current_streak(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("chart_span", "with " + EVENTS + f" select project, greatest(30, least(365, ({NOW} - min(ts)) // 86400 + 1)) as days from ev where ts > 0 group by project")
 def chart_span(spark: SparkSession, folder: str) -> DataFrame:
-    first = events(spark, folder).where("ts > 0").groupBy("project").agg(F.min("ts").alias("first"))
+    first = events(spark, folder, "project", "ts").where("ts > 0").groupBy("project").agg(F.min("ts").alias("first"))
     return first.select("project", F.greatest(F.lit(30), F.least(F.lit(365), F.floor((NOW - F.col("first")) / 86_400) + 1)).alias("days"))
 
 
@@ -408,12 +406,12 @@ def busiest_day(spark: SparkSession, folder: str) -> DataFrame:
 @query("hour_rebucket", "with " + EVENTS + " select hr // 3 as bucket, cast(sum(total) as bigint) as total from ev where ts > 0 group by 1")
 def hour_rebucket(spark: SparkSession, folder: str) -> DataFrame:
     """Hours merged for a plot of 8 columns."""
-    return events(spark, folder).where("ts > 0").groupBy(F.floor(rollups.hour() / 3).alias("bucket")).agg(F.sum("total").alias("total"))
+    return events(spark, folder, "ts", "total").where("ts > 0").groupBy(F.floor(rollups.hour() / 3).alias("bucket")).agg(F.sum("total").alias("total"))
 
 
 @query("hour_band_rollup", "with " + EVENTS + " select case when hr < 6 then 'night' when hr < 12 then 'morning' when hr < 18 then 'afternoon' else 'evening' end as band, cast(sum(total) as bigint) as total from ev where ts > 0 group by 1")
 def hour_band_rollup(spark: SparkSession, folder: str) -> DataFrame:
-    return events(spark, folder).where("ts > 0").groupBy(display.hour_band(rollups.hour()).alias("band")).agg(F.sum("total").alias("total"))
+    return events(spark, folder, "ts", "total").where("ts > 0").groupBy(display.hour_band(rollups.hour()).alias("band")).agg(F.sum("total").alias("total"))
 
 
 # Top lists
@@ -421,7 +419,7 @@ def hour_band_rollup(spark: SparkSession, folder: str) -> DataFrame:
 
 def _top(name: str, key: str, n: int, offset: int = 0) -> None:
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        sums = events(spark, folder).groupBy(key).agg(F.sum("total").alias("total"), F.count("*").alias("requests"))
+        sums = events(spark, folder, key, "total").groupBy(key).agg(F.sum("total").alias("total"), F.count("*").alias("requests"))
         return sums.orderBy(F.col("total").desc(), F.col(key).asc_nulls_last()).offset(offset).limit(n)
 
     query(name, f"with {EVENTS} select {key}, cast(sum(total) as bigint) as total, count(*) as requests from ev group by {key} order by sum(total) desc, {key} nulls last limit {n} offset {offset}")(run)
@@ -434,7 +432,7 @@ _top("page_models", "model", 20, 20)
 
 @query("recent_sessions", "with " + EVENTS + " select source, session, max(ts) as last_ts, cast(sum(total) as bigint) as total from ev group by source, session order by max(ts) desc, sum(total) desc, source, session limit 25")
 def recent_sessions(spark: SparkSession, folder: str) -> DataFrame:
-    sums = events(spark, folder).groupBy("source", "session").agg(F.max("ts").alias("last_ts"), F.sum("total").alias("total"))
+    sums = events(spark, folder, "source", "session", "ts", "total").groupBy("source", "session").agg(F.max("ts").alias("last_ts"), F.sum("total").alias("total"))
     return sums.orderBy(F.col("last_ts").desc(), F.col("total").desc(), "source", "session").limit(25)
 
 
@@ -554,7 +552,7 @@ def bundle_read(spark: SparkSession, folder: str) -> DataFrame:
 @query("project_alias_join", "with " + EVENTS + """, alias as (select project as path, min('alias-' || right(project, 3)) as name from ev where project like '/srv/work/%' group by project)
   select coalesce(a.name, e.project) as project, cast(sum(total) as bigint) as total from ev e left join alias a on a.path = e.project group by 1""")
 def project_alias_join(spark: SparkSession, folder: str) -> DataFrame:
-    rows = events(spark, folder)
+    rows = events(spark, folder, "project", "total")
     aliases = rows.where(F.col("project").startswith("/srv/work/")).select(F.col("project").alias("path"), F.concat(F.lit("alias-"), F.right("project", F.lit(3))).alias("name")).distinct()
     return devices.aliased(rows, aliases).groupBy("project").agg(F.sum("total").alias("total"))
 
