@@ -463,7 +463,7 @@ _NO_MEASURES = _NONE.replace("0 as total", "{total} as total")
        + f" union all select 'scan', k, '', {_NO_MEASURES.format(total='v')} from (select unnest(['events', 'duplicates', 'synthetic']) as k, unnest([count(*), count(*) - (count(distinct dedup_key) + count(*) filter (dedup_key is null)), count(*) filter (starts_with(model, '<'))]) as v from raw)")
 def report_json(spark: SparkSession, folder: str) -> DataFrame:
     """The report is one JSON document; what it says is read back from it, every bucket of every section."""
-    doc = json_report(spark, folder).select(F.parse_json("json").alias("doc"))
+    doc = checkpointed(json_report(spark, folder)).select(F.parse_json("json").alias("doc"))  # one row, read by each section
     counts = [*TOKENS, "total"]
     schema = "label string, tokens struct<" + ", ".join(f"{t}: bigint" for t in counts) + ">, cost_usd double, cost_coverage double, requests bigint, sessions bigint, last_ts bigint, device string"
     bucket = lambda b, section: [F.lit(section).alias("section"), b["label"].alias("label"), b["device"].alias("name"), *(b["tokens"][t].alias(t) for t in counts), *(b[m].alias(m) for m in ("requests", "sessions", "last_ts", "cost_usd", "cost_coverage"))]

@@ -65,14 +65,15 @@ def _folders(spark: SparkSession, path: str) -> list[str]:
     return sorted(s.getPath().toString() for s in fs.listStatus(p) if s.isDirectory()) if fs.exists(p) else []
 
 
-def replaced(stream: DataFrame, key: Column, better: list[Column], row: Column, buckets: int = 32) -> DataFrame:
+def replaced(stream: DataFrame, key: Column, better: list[Column], row: Column, buckets: int | None = None) -> DataFrame:
     """Exactly one row of each message after all input that is there now, a better copy in a later
-    batch taking the place of an earlier one. The store is bucketed by key; a batch reads and writes
+    batch taking the place of an earlier one. The store is bucketed by key, in as many buckets as the session has shuffle partitions; a batch reads and writes
     anew only the buckets that its keys fall into: what was kept and not beaten, and the new rows. A batch that is
     done again reads the same versions and writes the same; of a bucket the version before the last is deleted."""
     spark = stream.sparkSession
     base = scratch(spark)
     store, columns = f"{base}/store", stream.columns
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     bucket = F.pmod(F.xxhash64(F.coalesce(key.cast("string"), row.cast("string"))), F.lit(buckets)).cast("int").alias("bucket")
 
     def versions() -> dict[int, list[str]]:
