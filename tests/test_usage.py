@@ -100,6 +100,16 @@ def test_merge_of_devices(spark):
     assert devices.merged(devices.with_canonical_id(df.where("false"))).count() == 0
 
 
+def test_bundles_are_refused_whole(spark):
+    bundles = [(0, 1, "d-1", "0.4"), (1, 2, "d-1", "0.4"), (2, 1, "d_1", "0.4"), (3, 1, "me", "0.4"), (4, 1, "d-1", None), (5, 1, "d-2", "0.4"), (6, 1, "d-1", "0.4"), (7, 1, "d-1", "0.4"), (8, 1, "d-1", "0.4"), (9, None, None, None), (10, 1, "d-1", "0.4")]
+    rows = [(0, "i", "m", "s", "p"), (6, "i", "m", "s", "a\u202eb"), (7, "i", "m", "s", "p"), (7, "j", "m", "s", "p"), (8, "i" * 90, "m", "s", "p")]
+    of = lambda rows, schema: spark.createDataFrame(rows, schema)
+    found = devices.bundle_problems(
+        of(bundles, "bundle_id long, bundle_version int, device_id string, exporter_version string"), of(rows, "bundle_id long, id string, model string, session string, project string"),
+        of([("d-1", "anvil"), ("me", "here"), ("d-2", "x" * 129)], "device_id string, name string"), "me", most_events=1, most_bytes=90)
+    assert {r.bundle_id: r.problem for r in found.collect()} == {1: "version", 2: "device id", 3: "local device", 4: "exporter version", 5: "device name", 6: "unsafe text", 7: "too many events", 8: "too much text", 9: "version"}
+
+
 def shown(spark, f, *values, kind="long"):
     df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], f"i int, x {kind}")
     return [r.y for r in df.select("i", f(F.col("x")).alias("y")).orderBy("i").collect()]

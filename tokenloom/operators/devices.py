@@ -1,5 +1,8 @@
 """Events of several devices: export, validation, and the merge that counts each event once."""
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -8,6 +11,8 @@ from tokenloom.functions.models import event_id, keyed_id
 from tokenloom.sources.tables import TOKENS
 
 LONGEST_TEXT = 4096
+# Events and bytes of text that one bundle may have.
+MOST_EVENTS, MOST_BYTES = 1_000_000, 128 * 1024 * 1024
 
 
 def with_canonical_id(events: DataFrame) -> DataFrame:
@@ -40,17 +45,29 @@ def aliased(events: DataFrame, aliases: DataFrame) -> DataFrame:
     return events.join(one, F.col("project") == F.col("__path"), "left").withColumn("project", F.coalesce("__name", "project")).drop("__path", "__name")
 
 
-def safe_text(c: Column) -> Column:
-    return c.isNotNull() & (c != "") & (F.octet_length(c) <= LONGEST_TEXT) & (terminal_text(c) == c)
-
-
-def bundle_problems(bundles: DataFrame, events: DataFrame, version: int = 1) -> DataFrame:
-    """bundle_id, problem of each bundle that is refused as a whole: another version, or an event
-    whose id, model, session or project is missing, too long or unsafe to show."""
-    bad = ~(safe_text(F.col("id")) & safe_text(F.col("model")) & safe_text(F.col("session")) & safe_text(F.col("project")))
-    unsafe = events.groupBy("bundle_id").agg(F.count_if(bad).alias("bad"))
-    joined = bundles.join(unsafe, "bundle_id", "left")
-    problem = F.when(F.coalesce(F.col("bundle_version") != version, F.lit(True)), "version").when(F.col("bad") > 0, "unsafe text")
+def safe_text(c: Column, most: int = LONGEST_TEXT) -> Column:
+    return c.isNotNull() & (c != "") & (F.octet_length(c) <= most) & (terminal_text(c) == c)
+
+
+def bundle_problems(bundles: DataFrame, events: DataFrame, devices: DataFrame | None = None, local: str | None = None, version: int = 1, most_events: int = MOST_EVENTS, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """bundle_id, problem of each bundle that is refused as a whole, the first that applies: another version, a
+    device id that isn't 1 to 96 letters, digits and dashes or is that of this machine (`local`), an exporter
+    version or device name that is missing, too long or unsafe to show, an event whose id, model, session or project
+    is, more events or text than is taken. devices: device_id, name; without it names aren't looked at."""
+    texts = [F.col(c) for c in ("id", "model", "session", "project")]
+    bad = ~reduce(and_, map(safe_text, texts))
+    size = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in texts), F.lit(0)).cast("long")
+    sums = events.groupBy("bundle_id").agg(F.count_if(bad).alias("bad"), F.count("*").alias("n"), F.sum(size).alias("bytes"))
+    joined = bundles.join(sums, "bundle_id", "left")
+    named = F.lit(True)
+    if devices is not None:
+        joined = joined.join(devices.groupBy("device_id").agg(F.min("name").alias("__name")), "device_id", "left")
+        named = safe_text(F.col("__name"), 128)
+    own = F.coalesce(F.col("device_id") == local, F.lit(False)) if local else F.lit(False)
+    problem = (
+        F.when(F.coalesce(F.col("bundle_version") != version, F.lit(True)), "version").when(~F.coalesce(F.col("device_id").rlike("^[A-Za-z0-9-]{1,96}$"), F.lit(False)), "device id").when(own, "local device")
+        .when(~safe_text(F.col("exporter_version")), "exporter version").when(~named, "device name").when(F.col("bad") > 0, "unsafe text").when(F.col("n") > most_events, "too many events").when(F.col("bytes") > most_bytes, "too much text")
+    )
     return joined.select("bundle_id", problem.alias("problem")).where("problem is not null")
 
 

@@ -533,9 +533,12 @@ def bundle_export(spark: SparkSession, folder: str) -> DataFrame:
 _UNSAFE = r"(coalesce({c}, '') = '' or strlen({c}) > 4096 or regexp_matches({c}, '[\p{{Cc}}\x{{061c}}\x{{200e}}\x{{200f}}\x{{202a}}-\x{{202e}}\x{{2066}}-\x{{2069}}]'))"
 
 
-@query("validate_bundle", "with e as (select bundle_id, count(*) filter (" + " or ".join(_UNSAFE.format(c=c) for c in ("id", "model", "session", "project")) + ") as bad from bundle_event group by bundle_id) select bundle_id, case when bundle_version is distinct from 1 then 'version' else 'unsafe text' end as problem from usage_bundle left join e using (bundle_id) where bundle_version is distinct from 1 or bad > 0")
+_NOT_NAMED = _UNSAFE.replace("4096", "128")
+
+
+@query("validate_bundle", "with e as (select bundle_id, count(*) filter (" + " or ".join(_UNSAFE.format(c=c) for c in ("id", "model", "session", "project")) + f") as bad from bundle_event group by bundle_id), p as (select bundle_id, case when bundle_version is distinct from 1 then 'version' when not coalesce(regexp_full_match(b.device_id, '[A-Za-z0-9-]{{1,96}}'), false) then 'device id' when b.device_id = '{LOCAL}' then 'local device' when {_UNSAFE.format(c='b.exporter_version')} then 'exporter version' when {_NOT_NAMED.format(c='name')} then 'device name' when bad > 0 then 'unsafe text' end as problem from usage_bundle b left join e using (bundle_id) left join device_record d on d.device_id = b.device_id) select * from p where problem is not null")
 def validate_bundle(spark: SparkSession, folder: str) -> DataFrame:
-    return devices.bundle_problems(table(spark, folder, "usage_bundle"), table(spark, folder, "bundle_event"))
+    return devices.bundle_problems(table(spark, folder, "usage_bundle"), table(spark, folder, "bundle_event"), table(spark, folder, "device_record"), LOCAL)
 
 
 @query("bundle_read", "select source, count(*) as events, cast(sum(input_tokens + output_tokens + cache_read + cache_write_5m + cache_write_1h) as bigint) as total from bundle_event where source = 'claude' group by source")
