@@ -79,8 +79,7 @@ def test_batch_by_batch(spark, tmp_path):
 def in_batches(spark, folder, *batches):
     store = history.History(spark, str(folder))
     for rows in batches:
-        batch = prepared(spark, rows)
-        store.append(batch, store.check(batch))
+        store.accept(prepared(spark, rows))
     return {r.row_id_b: r.row_id_a for r in store.repeated().collect()}
 
 

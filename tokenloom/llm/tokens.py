@@ -25,7 +25,8 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+#: Where the vocabulary is, unless the session names another file as `SETTING`.
+VOCABULARY, SETTING = "/opt/tokenizers/byte_bpe_50k.tiktoken", "spark.tokenloom.vocabulary"
 LONG = 16_384
 #: Bytes of a word from which its halves are encoded on their own.
 LEAF = 4_096
@@ -112,8 +113,9 @@ def cuts(text: str, size: int = LONG) -> list[tuple[int, bool]]:
     return out
 
 
-def encoded(documents: DataFrame, vocabulary: str = VOCABULARY, long: int = LONG) -> DataFrame:
-    """doc_id, ids (array of int) of every row."""
+def encoded(documents: DataFrame, vocabulary: str | None = None, long: int = LONG) -> DataFrame:
+    """doc_id, ids (array of int) of every row. vocabulary: a file that every executor can read."""
+    vocabulary = vocabulary or documents.sparkSession.conf.get(SETTING, VOCABULARY)
     kind = documents.schema["doc_id"].dataType.simpleString()
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,6 +185,6 @@ def join_pieces(coder: Bpe, pieces: list[tuple[bool, list[int], int, int]]) -> l
     return out
 
 
-def sizes(documents: DataFrame, vocabulary: str = VOCABULARY, long: int = LONG) -> DataFrame:
+def sizes(documents: DataFrame, vocabulary: str | None = None, long: int = LONG) -> DataFrame:
     """doc_id, n_tokens of every row."""
     return encoded(documents, vocabulary, long).select("doc_id", F.size("ids").alias("n_tokens"))
