@@ -106,3 +106,37 @@ def test_gap_is_calibrated(spark):
         rows.append(event(i, "a", i, ts, "User"))
     gap = conversations.calibrated_gap(conversations.with_shard(conversations.timeline(spark.createDataFrame(rows, EVENTS))))
     assert 30_000 < gap < 5 * 3_600_000
+
+
+def worked_days(days=16):
+    """Days of messages ten minutes apart, some with a pause of 20 or 40 minutes, 14 hours or so between the days."""
+    rows, ts = [], 1_700_000_000_000
+    for day in range(days):
+        for n in range(20):
+            ts += 60_000 * (14 * 60 if n == 0 else 20 if n == 9 and day < 10 else 40 if n == 9 and day < 13 else 10)
+            rows.append(event(len(rows), "a", len(rows), ts, "User" if n % 2 == 0 else "Assistant"))
+    return rows
+
+
+def test_gaps_between_shards_are_counted(spark):
+    df = spark.createDataFrame(worked_days(), EVENTS)
+    assert conversations.calibrated_gap(conversations.with_shard(conversations.timeline(df))) == 1 << 22  # the pauses of a day don't part it
+    out = conversations.conversations(df, spark.createDataFrame([], REQUESTS)).collect()
+    assert {r.event_id: r.part_no for r in out} == {i: i // 20 for i in range(320)}
+
+
+@pytest.mark.parametrize("crowded", [50_000, 7, 1])
+def test_every_gap_is_counted_once(spark, crowded):
+    rnd, rows = random.Random(3), worked_days(3)
+    for s in ("a", "b", None):
+        ts = 1_700_000_000_000
+        for order in range(60):
+            ts += rnd.choice([0, 1, 3, 1000, 70_000, 4_000_000, 21_600_000, 90_000_000, 3_000_000_000])
+            rows.append(event(len(rows), s, order, rnd.choice([ts, ts, ts, 0, None]), "User"))
+    want = {}
+    for s in ("a", "b", None):
+        at = sorted(e[5] for e in rows if e[2] == s and e[5])
+        for gap in (b - a for a, b in zip(at, at[1:]) if b > a):
+            want[gap.bit_length() - 1] = want.get(gap.bit_length() - 1, 0) + 1
+    placed = conversations.with_shard(conversations.timeline(spark.createDataFrame(rows, EVENTS)), crowded)
+    assert conversations.gap_bins(placed) == want

@@ -117,12 +117,21 @@ def defects(events: DataFrame, requests: DataFrame, rows: DataFrame | None = Non
     return joined.select(*KEY, defect.alias("defect")).where("defect is not null")
 
 
+def gap_bins(rows: DataFrame) -> dict[int, int]:
+    """The number of gaps between dated rows by power of two (bin 5 is 32 to 63 ms), within shards
+    (of `rows`) and from each to the next of its session. The driver gets one row a bin, 64 at most."""
+    dated = rows.where("not undated")
+    within = dated.select((F.col("ts") - F.lag("ts").over(_in_shard())).alias("gap"))
+    shards = dated.groupBy(*SHARD).agg(F.min("ts").alias("from_ts"), F.max("ts").alias("to_ts"))
+    between = shards.select((F.col("from_ts") - F.lag("to_ts").over(_over_shards())).alias("gap"))
+    gaps = within.unionByName(between).where("gap > 0")
+    return {r["bin"]: r["count"] for r in gaps.groupBy(F.floor(F.log2("gap")).cast("int").alias("bin")).count().collect()}
+
+
 def calibrated_gap(rows: DataFrame, least_ms: int = 60_000) -> int:
     """The inactivity gap in ms above which a conversation is taken up anew: the emptiest bin of
-    the histogram of gaps (powers of two) between its two highest modes, from `least_ms` on. All
-    gaps within shards (of `rows`) are counted; the driver gets one row a bin, 64 at most."""
-    gaps = rows.where("not undated").withColumn("gap", F.col("ts") - F.lag("ts").over(_in_shard())).where("gap > 0")
-    bins = {r["bin"]: r["count"] for r in gaps.groupBy(F.floor(F.log2("gap")).cast("int").alias("bin")).count().collect()}
+    the histogram of gaps (powers of two) between its two highest modes, from `least_ms` on."""
+    bins = gap_bins(rows)
     if not bins:
         return 30 * 60_000
     low = max(min(bins), least_ms.bit_length() - 1)
